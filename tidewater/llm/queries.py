@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import simhash
+from tidewater.llm import embedding_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op4_simhash": simhash.op4_simhash,
 }
 
