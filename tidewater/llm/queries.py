@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import chat_format, embedding_dedup, mixing, simhash
+from tidewater.llm import ann, chat_format, embedding_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_ann": ann.op6_ann,
 }
 
 SQL: dict[str, str] = {}
