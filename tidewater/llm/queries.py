@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, chat_format, embedding_dedup, mixing, simhash, token_files
+from tidewater.llm import ann, chat_format, embedding_dedup, mixing, sentencepieces, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_ann": ann.op6_ann,
     "op9_token_files": token_files.op9_token_files,
+    "op10_sentencepieces": sentencepieces.op10_sentencepieces,
 }
 
 SQL: dict[str, str] = {}
