@@ -109,7 +109,8 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
     for _ in range(ROUNDS):
         a, b = seq[:-1], seq[1:]
         slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(12)
-        frequent = np.bincount(slot, minlength=1 << 20) >= LEAST_FREQUENCY  # at least as often as each pair in the slot
+        often = np.bincount(slot, minlength=1 << 20)  # at least as often as each pair in the slot
+        frequent = often >= max(LEAST_FREQUENCY, np.partition(often, -2 * ROUND_PAIRS)[-2 * ROUND_PAIRS])  # no more than a round can take
         at = np.flatnonzero(frequent[slot] & ~last[a] & (a != b))
         pairs, which, counts = np.unique((a[at].astype(np.int64) << 32) | b[at], return_inverse=True, return_counts=True)
         order = np.argsort(-counts, kind="stable")[: 4 * ROUND_PAIRS]
