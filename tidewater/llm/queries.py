@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, chat_format, embedding_dedup, license_scan, mixing, sentencepieces, simhash, token_files
+from tidewater.llm import ann, chat_format, embedding_dedup, license_scan, mixing, secret_scan, sentencepieces, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_ann": ann.op6_ann,
