@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, chat_format, embedding_dedup, license_scan, mixing, secret_scan, sentencepieces, simhash, token_files
+from tidewater.llm import ann, chat_format, embedding_dedup, language_id, license_scan, mixing, secret_scan, sentencepieces, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_ann": ann.op6_ann,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_language_id": language_id.op8_language_id,
     "op9_token_files": token_files.op9_token_files,
     "op10_sentencepieces": sentencepieces.op10_sentencepieces,
 }
