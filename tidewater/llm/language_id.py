@@ -32,6 +32,8 @@ HIDDEN, WINDOW = 8, 64
 STEPS, BATCH, RATE = 500, 256, 0.02
 #: Windows that are read side by side.
 LANES = 4096
+#: In the place of a byte: the state stays as it is.
+PAD = 256
 UNDETERMINED = "und"
 #: Documents whose best label has less of the probability are rejected by the pipeline's stage.
 LEAST_SCORE = 0.3
@@ -54,7 +56,8 @@ class Network:
 
     def states(self, x: np.ndarray, direction: int, kept: list | None = None) -> np.ndarray:
         """Hidden states (T, H, N) of byte windows x (T, N); what backpropagation needs goes into kept."""
-        h, w, u = HIDDEN, np.ascontiguousarray(self.w[direction].T), self.u[direction]
+        h, u = HIDDEN, self.u[direction]
+        w = np.concatenate([self.w[direction].T, np.full((3 * h, 1), -1e9, np.float32)], axis=1)  # PAD: the update gate stays shut
         now, out = np.zeros((h, x.shape[1]), np.float32), np.empty((len(x), h, x.shape[1]), np.float32)
         for t in range(len(x)) if direction == 0 else range(len(x) - 1, -1, -1):
             given = np.take(w, x[t], axis=1)
@@ -171,7 +174,7 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
         x = flat[at[lanes] + np.arange(int(size[0]))[:, None]]
         inside = np.arange(int(size[0]))[:, None] < size
         if not inside.all():
-            x = np.where(inside, x, np.uint8(32))
+            x = np.where(inside, x, np.int16(PAD))
         p = net.probabilities(x)
         got = p.sum(axis=0) if inside.all() else (p * inside[:, None, :]).sum(axis=0)
         for k in range(len(net.labels)):
