@@ -28,6 +28,13 @@ def test_encoding_is_the_librarys(library, texts):
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_slices_and_capitals(library):
+    texts = ["Ärger, UND x.", "<|ENDOFTEXT|> A.b,C", "x" * 50 + ".", "éa, Àb. İc,d"] * 5
+    for i in range(len(texts)):
+        ids, _ = T.encoder(PATH).encode(pa.array(texts).slice(i, 3))
+        assert ids.tolist() == [x for t in texts[i : i + 3] for x in library.encode(t, add_special_tokens=False).ids]
+
+
 def test_forgets_what_it_does_not_keep(library, monkeypatch):
     monkeypatch.setattr(T, "KEPT_RUNS", 3)
     e = T.Encoder(PATH)

@@ -37,7 +37,9 @@ SHARD_TOKENS = 1 << 20
 #: Rounds, pairs a round and least frequency of a pair that is replaced.
 ROUNDS, ROUND_PAIRS, LEAST_FREQUENCY = 10, 2048, 24
 #: Runs that a worker keeps, and bytes of text that it encodes at once.
-KEPT_RUNS, CHUNK_BYTES = 400_000, 4 << 20
+KEPT_RUNS, CHUNK_BYTES = 400_000, 8 << 20
+#: Runs of letters that are encoded as one text.
+JOINED = 128
 SHARDS = "shard long, doc_ids array<long>, doc_tokens binary, doc_at binary, vocab int, rules binary, rule_tokens binary, wide boolean, sequence binary"
 
 
@@ -53,6 +55,11 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if "'behavior': 'Removed', 'invert': True" not in str(spec["pre_tokenizer"]) or "\\s" not in str(spec["pre_tokenizer"]) or any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError(f"{path}: its pre-tokenizer may join text across white space")
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for x, i in pieces.items() if x.endswith("</w>")]] = True
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.lower = "Lowercase" in str(spec["normalizer"])
         self.runs: dict[str, int] = {}
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -63,19 +70,40 @@ class Encoder:
         numbers = np.fromiter((known.get(x, -1) for x in runs), np.int64, len(runs))
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([runs[i] for i in missing], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, lengths = self._new([runs[i] for i in missing])
             numbers[missing] = np.arange(len(self.length), len(self.length) + len(missing))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(lengths) - lengths]
             self.length = np.r_[self.length, lengths]
-            self.flat = np.r_[self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(lengths.sum()))]
+            self.flat = np.r_[self.flat, ids]
             for i in missing[: max(0, KEPT_RUNS - len(known))].tolist():
                 known[runs[i]] = int(numbers[i])
         return numbers
 
+    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, number of ids of each). Runs of letters are one word each: they go in together, and ends tell them apart."""
+        words = [i for i, x in enumerate(runs) if x.isalpha()]
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found: list[np.ndarray | None] = [None] * len(runs)
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(ids):  # else some word comes apart: one by one
+                for i, x in zip(group, np.split(ids, cuts[:-1])):
+                    found[i] = x
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        """With fewer distinct runs and the same ids: ASCII letters lower, as the tokenizer makes them, and commas and full stops off the words, where it cuts anyway."""
+        if not self.lower or any(pc.any(pc.match_substring(texts, x, ignore_case=True)).as_py() for x in self.special):
+            return texts
+        return pc.ascii_lower(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([,.])", r"\1 \2"))  # in this order: ascii_lower goes wrong on a slice
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        split = pc.ascii_split_whitespace(self._prepared(pc.fill_null(texts.cast(pa.large_string()), "")))
         offsets = np.asarray(split.offsets, np.int64)
         offsets, words = offsets - offsets[0], split.flatten().dictionary_encode()
         runs = words.dictionary.to_pylist()
