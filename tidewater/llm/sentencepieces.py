@@ -33,7 +33,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Units that a worker keeps.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -129,7 +129,8 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.library = SentencePieceProcessor(model_file=path)
         self.by_unit = self.model.splits_at_marks() and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces_go
-        self.known: dict[str, tuple[np.ndarray, bool]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32
+        self.differs: set[str] = set()  # units without parity
         self.as_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def _both(self, texts: list[str], marked: list[str]) -> list[tuple[np.ndarray, bool]]:
@@ -154,14 +155,14 @@ class Codec:
         missing = [u for u in dict.fromkeys(u for units in split for u in units) if u not in known]
         if missing:  # the first unit of a text starts with the dummy prefix; so does every other one here
             held = [u if u[0] == MARK else MARK + u for u in missing]
-            known.update(zip(missing, self._both([u[1:].replace(MARK, " ") for u in held], held)))
+            for u, (ids, ok) in zip(missing, self._both([u[1:].replace(MARK, " ") for u in held], held)):
+                known[u] = ids.tobytes()
+                if not ok:
+                    self.differs.add(u)
             if MARK in missing:  # a marker alone, at the end of a text; alone it is the prefix of no text
-                known[MARK] = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int32), True
-        none = np.zeros(0, np.int32)
-        out = []
-        for units in split:
-            found = [known[u] for u in units]
-            out.append((np.concatenate([x for x, _ in found]) if found else none, all(ok for _, ok in found)))
+                known[MARK] = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int32).tobytes()
+                self.differs.discard(MARK)
+        out = [(np.frombuffer(b"".join([known[u] for u in units]), np.int32), not self.differs or self.differs.isdisjoint(units)) for units in split]
         for u in missing[max(0, KEPT_UNITS - len(known) + len(missing)) :]:
             del known[u]
         return out
