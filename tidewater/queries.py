@@ -1,6 +1,8 @@
-"""Queries by name and their SQL equivalents."""
+"""Queries by name and their SQL equivalents, for the market's operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidewater import queries_decisions, queries_features, queries_quality
+
+QUERIES: dict = {**queries_features.QUERIES, **queries_decisions.QUERIES, **queries_quality.QUERIES}
+SQL: dict[str, str] = {**queries_features.SQL, **queries_decisions.SQL, **queries_quality.SQL}
