@@ -28,7 +28,7 @@ def query(sql: str):
 
 
 def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
-    return df.select(*(F.round(F.round(c, 9), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +93,14 @@ def symmetric_edges(spark, sf_dir):
 STATS = ["local_competitor_min_price_cpl", "local_competitor_max_price_cpl", "local_competitor_median_price_cpl", "local_competitor_mean_price_cpl", "station_price_percentile"]
 
 
-@query(f"select station_id, fuel_type, market_date, competitor_count, rank_within_local_market, {rounded(STATS)} from cstats")
+@query(f"select station_id, fuel_type, market_date, competitor_count, rank_within_local_market, {rounded(STATS, 8)} from cstats")
 def competitor_stats(spark, sf_dir):
-    return round_doubles(P.competitor_stats(P.rivals(daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))))
+    return round_doubles(P.competitor_stats(P.rivals(daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))), 8)
 
 
-@query(f"select station_id, fuel_type, market_date, {rounded(OHLC + STATS + ['market_median_price_cpl', 'price_vs_market_median_cpl', 'station_vs_competitor_median_cpl'])}, daily_observation_count, last_observed_at, competitor_count, rank_within_local_market from market")
+@query(f"select station_id, fuel_type, market_date, {rounded(OHLC + STATS + ['market_median_price_cpl', 'price_vs_market_median_cpl', 'station_vs_competitor_median_cpl'], 8)}, daily_observation_count, last_observed_at, competitor_count, rank_within_local_market from market")
 def station_daily_market(spark, sf_dir):
-    return round_doubles(market(spark, sf_dir))
+    return round_doubles(market(spark, sf_dir), 8)
 
 
 @query("""select r.station_id, fuel_type, market_date, competitor_station_id, s.brand competitor_brand, round(distance_km, 3) distance_km, round(own_price, 4) station_price_cpl, round(competitor_price, 4) competitor_price_cpl,
@@ -152,17 +152,17 @@ def margin_percentile_30d_compat(spark, sf_dir):
 CYCLE = ["rolling_7d_min_price", "rolling_7d_max_price", "rolling_7d_mean_price", "rolling_7d_std_price", "rolling_14d_min_price", "rolling_14d_max_price", "rolling_14d_price_change_cpl", "price_position_within_14d_range", "tgp_7d_change_cpl", "margin_compression_cpl"]
 
 
-@query(f"select station_id, fuel_type, market_date, {rounded(CYCLE + ['market_median_price_cpl', 'market_daily_change_cpl'])}, days_since_local_minimum, days_since_last_detected_jump, day_of_week, is_public_holiday from cycle")
+@query(f"select station_id, fuel_type, market_date, {rounded(CYCLE + ['market_median_price_cpl', 'market_daily_change_cpl'], 8)}, days_since_local_minimum, days_since_last_detected_jump, day_of_week, is_public_holiday from cycle")
 def market_cycle_features(spark, sf_dir):
-    return round_doubles(cycle(spark, sf_dir))
+    return round_doubles(cycle(spark, sf_dir), 8)
 
 
 INPUTS = CYCLE + STATS[:3] + ["daily_close_price_cpl", "market_median_price_cpl", "station_price_percentile", "station_vs_competitor_median_cpl", "tgp_cpl", "indicative_margin_cpl"]
 
 
-@query(f"select station_id, fuel_type, market_date, rank_within_local_market, competitor_count, days_since_local_minimum, days_since_last_detected_jump, day_of_week, is_public_holiday, {rounded(INPUTS)} from (select m.*, c.* exclude (station_id, fuel_type, market_date, market_median_price_cpl), i.tgp_cpl, i.indicative_margin_cpl from market m left join cycle c using (station_id, fuel_type, market_date) left join margin i using (station_id, fuel_type, market_date)) x")
+@query(f"select station_id, fuel_type, market_date, rank_within_local_market, competitor_count, days_since_local_minimum, days_since_last_detected_jump, day_of_week, is_public_holiday, {rounded(INPUTS, 8)} from (select m.*, c.* exclude (station_id, fuel_type, market_date, market_median_price_cpl), i.tgp_cpl, i.indicative_margin_cpl from market m left join cycle c using (station_id, fuel_type, market_date) left join margin i using (station_id, fuel_type, market_date)) x")
 def daily_pricing_inputs(spark, sf_dir):
-    return round_doubles(P.daily_pricing_inputs(market(spark, sf_dir), margin(spark, sf_dir), cycle(spark, sf_dir)))
+    return round_doubles(P.daily_pricing_inputs(market(spark, sf_dir), margin(spark, sf_dir), cycle(spark, sf_dir)), 8)
 
 
 @query("select fuel_type, market_date, round(market_median_price_cpl, 4) market_median_price_cpl, round(market_daily_change_cpl, 4) market_daily_change_cpl, jump_today, jump_within_24h, jump_within_48h from labels")

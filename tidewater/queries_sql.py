@@ -72,4 +72,5 @@ def with_(select: str) -> str:
 
 
 def rounded(names: list[str], places: int = 4) -> str:
-    return ", ".join(f"round(round({n}, 9), {places}) as {n}" for n in names)  # twice: engines differ in the last bits, and on halves
+    """Engines round halves differently: means of a few prices take 8 places, which none of them halves."""
+    return ", ".join(f"round({n}, {places}) as {n}" for n in names)
