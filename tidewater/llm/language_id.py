@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import bounded_batches, table
 
 #: Labelled rows that training may read for each label, and labels at most (the commonest).
 SAMPLE_ROWS, LABELS = 400, 64
@@ -214,6 +214,7 @@ def labelled(docs: DataFrame, net: Network | None) -> DataFrame:
                     score[at[i : i + 2000]] = np.clip(p[np.arange(len(p)), best], 0, 1)
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("_predicted", predict("text")).select(*docs.columns, F.col("_predicted.lang_pred").alias("lang_pred"), F.col("_predicted.score").alias("score"))
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import connected_components, table, written
+from tidewater.llm.common import bounded_batches, connected_components, table, written
 
 BITS = 64
 SEED = 42
@@ -99,6 +99,7 @@ def _by_points(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id that links lead to, a row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     prints, _ = written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle_words).alias("fp")), "prints")
     distinct, _ = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     # Fingerprints that share their smallest doc_id (repeated ids) meet in one node of the graph by themselves.

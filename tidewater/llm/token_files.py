@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import new_path, table
+from tidewater.llm.common import bounded_batches, new_path, table
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -260,6 +260,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         if doc_ids:
             yield closed()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, SHARDS)
 
