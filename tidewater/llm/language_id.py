@@ -183,12 +183,12 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def network(docs: DataFrame, learns: Column) -> Network | None:
-    """Trained on up to SAMPLE_ROWS rows a label of those that learns is true of, those with the smallest hash of their text."""
-    rows = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("lang", F.xxhash64("text").alias("h"))
+    """Trained on about SAMPLE_ROWS rows a label of those that learns is true of, drawn by a hash of text and doc_id."""
+    rows = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
     if not common:
         return None
-    parts = [docs.where(learns & (F.col("lang") == c.lang) & (F.col("text") != "") & (F.pmod(F.xxhash64("text"), F.lit(max(c["count"], SAMPLE_ROWS))) < SAMPLE_ROWS)).select("lang", F.substring("text", 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))).cast("int"), F.lit(2000)).alias("text")).limit(2 * SAMPLE_ROWS) for c in common]
+    parts = [docs.where(learns & (F.col("lang") == c.lang) & (F.col("text") != "") & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(c["count"], SAMPLE_ROWS))) < SAMPLE_ROWS)).select("lang", F.substring("text", 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))).cast("int"), F.lit(2000)).alias("text")).limit(2 * SAMPLE_ROWS) for c in common]
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
