@@ -21,4 +21,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepieces": sentencepieces.op10_sentencepieces,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_embedding_dedup": """with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and vec_id is not null),
+        l as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+        r as (select vec_id x, vec_id c from v union select l.y, r.c from r join l on l.x = r.x)
+        select e.vec_id, coalesce(n, 0) n_links, coalesce(m, e.vec_id) component_id, coalesce(m, e.vec_id) = e.vec_id kept from embeddings e
+        left join (select x, count(*) n from l group by 1) a on a.x = e.vec_id left join (select x, min(c) m from r group by 1) b on b.x = e.vec_id""",
+    "op5_chat_format": """with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+        sum(length(text) + len(regexp_extract_all(text, '[<\\[]\\\\*/?(?:s>|INST\\]|TURN\\])')) + case role when 'user' then 15 when 'assistant' then 4
+            else 17 + length(role) + len(regexp_extract_all(role, '[<\\[]\\\\*/?(?:s>|INST\\]|TURN\\])')) end)::bigint formatted_chars from t group by conv_id""",
+}
