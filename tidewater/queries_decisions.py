@@ -251,3 +251,19 @@ def latest_scorable(spark, sf_dir):
     last = d.agg(F.max("market_date").alias("_last"))
     recent = d.join(F.broadcast(last), F.col("market_date") > F.date_sub("_last", 20))
     return recent.groupBy("fuel_type", "station_id").agg(F.count("*").alias("n"), F.max("market_date").alias("market_date")).where("n >= 3").drop("n")
+
+
+@query(f"select fuel_type, arg_min(method, (round(wape, 6), method)) best_method, round(min(wape), 4) wape from (select fuel_type, method, 100 * sum(off) / nullif(sum(abs(actual)), 0) wape from ({LONG}) x group by 1, 2) y group by 1")
+def best_forecast(spark, sf_dir):
+    """The method of the least WAPE by fuel; of equals the first by name."""
+    m = D.forecast_metrics(D.forecasts(changes(spark, sf_dir), HORIZON).withColumn("trend", F.round("trend", 9)), ["fuel_type"])
+    return round_doubles(m.groupBy("fuel_type").agg(F.min_by("method", F.struct(F.round("wape", 6), F.col("method"))).alias("best_method"), F.min("wape").alias("wape")))
+
+
+@query("select fuel_type, market_date, count(*) n, count(*) filter (p) positives, count(*) filter (p and actual) hits, round(coalesce((count(*) filter (p and actual))::double / nullif(count(*) filter (p), 0), 0), 6) as precision from (select *, probability >= 0.5 p from scores) s group by grouping sets ((fuel_type), (fuel_type, market_date))")
+def day_metrics(spark, sf_dir):
+    """Row precision by fuel and by fuel and day, in one pass over grouping sets."""
+    s = scores(spark, sf_dir).withColumn("p", F.col("probability") >= 0.5)
+    hits = F.count_if(F.col("p") & F.col("actual"))
+    g = s.groupingSets([["fuel_type"], ["fuel_type", "market_date"]], "fuel_type", "market_date")
+    return g.agg(F.count("*").alias("n"), F.count_if("p").alias("positives"), hits.alias("hits"), F.round(F.coalesce(F.try_divide(hits, F.count_if("p")), F.lit(0.0)), 6).alias("precision"))

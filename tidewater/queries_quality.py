@@ -197,3 +197,38 @@ def top_latest(spark, sf_dir):
 def json_payload(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct("event_type", "user_id")).alias("payload"))
+
+
+AUDIT = "select o_orderkey run_id, o_orderpriority source, o_orderdate finished_at, o_orderstatus status, cast(o_custkey % 5 as varchar) checksum from orders"
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load log made of orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("finished_at"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 5).cast("string").alias("checksum"))
+
+
+@query(f"select source, max(run_id) run_id, checksum from (select *, row_number() over (partition by source order by finished_at desc, run_id desc) n from ({AUDIT}) a where status = 'F') x where n = 1 group by source, checksum")
+def last_checksum(spark, sf_dir):
+    """The checksum of each source's last successful load."""
+    return audit(spark, sf_dir).where("status = 'F'").groupBy("source").agg(F.max_by(F.struct("run_id", "checksum"), F.struct("finished_at", "run_id")).alias("b")).select("source", "b.run_id", "b.checksum")
+
+
+@query(f"select run_id, source, case when source like '1%' or source like '2%' then 'urgent' when status = 'P' then 'pending' else status end status from ({AUDIT}) a where run_id % 7 = 0")
+def update_case(spark, sf_dir):
+    """An UPDATE with CASE as a projection."""
+    status = F.when(F.col("source").startswith("1") | F.col("source").startswith("2"), "urgent").when(F.col("status") == "P", "pending").otherwise(F.col("status"))
+    return audit(spark, sf_dir).where("run_id % 7 = 0").select("run_id", "source", status.alias("status"))
+
+
+@query("select cast(d as date) holiday_date, dayofweek(cast(d as date)) + 1 day_of_week, year(cast(d as date)) as year, regexp_replace(n, '^[0-9]+', '') holiday_name from (values ('2024-01-01', '1New Year''s Day'), ('2024-01-26', 'Australia Day'), ('2024-04-25', '2Anzac Day'), ('2024-12-25', 'Christmas Day')) h(d, n)")
+def holiday_calendar(spark, sf_dir):
+    rows = [("2024-01-01", "1New Year's Day"), ("2024-01-26", "Australia Day"), ("2024-04-25", "2Anzac Day"), ("2024-12-25", "Christmas Day")]
+    day = F.col("d").try_cast("date")
+    return spark.createDataFrame(rows, "d string, n string").select(day.alias("holiday_date"), F.dayofweek(day).cast("long").alias("day_of_week"), F.year(day).cast("long").alias("year"), T.clean_holiday(F.col("n")).alias("holiday_name"))
+
+
+@query("select station_id, names_agree from (select station_id, case station_id::bigint % 3 when 0 then upper(brand) || ' Hill' when 1 then '' else 'Other' end other, brand, trim(upper(brand)) a, trim(upper(other)) b, a <> '' and b <> '' and (contains(a, b) or contains(b, a)) names_agree from stations) x")
+def names_agree(spark, sf_dir):
+    other = F.when(F.col("station_id").cast("long") % 3 == 0, F.concat(F.upper("brand"), F.lit(" Hill"))).when(F.col("station_id").cast("long") % 3 == 1, "").otherwise("Other")
+    return E.stations(spark, sf_dir).select("station_id", T.names_agree(F.col("brand"), other).alias("names_agree"))
