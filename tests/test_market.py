@@ -131,6 +131,15 @@ def test_quality(spark):
     assert found == {("1", "not_null_name"), ("2", "not_null_name"), ("2", "bounds_price"), ("3", "numeric_price"), ("2", "coordinates_numeric"), ("3", "coordinates_missing"), ("4", "coordinates_in_box")}
 
 
+def test_configured_rules(spark):
+    df = spark.createDataFrame([("1", "5", "2024-01-01", "a"), ("2", "-1", "never", "z"), ("3", "x", None, "a")], "id string, n string, d string, c string")
+    rules = quality.from_config([{"rule": "greater_than", "column": "n", "value": 0, "severity": "warning"}, {"rule": "is_numeric", "column": "n"}, {"rule": "is_date", "column": "d"}, {"rule": "in_set", "column": "c", "values": ["a"]}, {"rule": "between", "column": "n", "min": 0, "max": 4}])
+    found = sorted((r.record_identifier, r.rule_name, r.severity) for r in quality.issues(df, rules, "id", "s", "t").collect())
+    assert found == [("1", "bounds_n", "error"), ("2", "above_n", "warning"), ("2", "bounds_n", "error"), ("2", "date_d", "error"), ("2", "in_set_c", "error"), ("3", "date_d", "error"), ("3", "numeric_n", "error")]
+    with pytest.raises(ValueError):
+        quality.from_config([{"rule": "magic"}])
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("ServiceStationName,Address,Suburb,Postcode,Brand,FuelCode,PriceUpdatedDate,Price\nA,1 High St,Hill,0800,B,U91,2025-04-01 12:00:00,180.5\nA,1 High St,Hill,0800,B,U91,never,181\n")
     got = raw.monthly_prices(spark, str(tmp_path / "m.csv")).collect()

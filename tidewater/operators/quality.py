@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +55,32 @@ def parses(column: str, kind: str) -> Rule:
     return Rule(f"{kind}_{column}", column, F.col(column).try_cast(kind).isNull())
 
 
+def from_config(entries: list[dict]) -> list[Rule]:
+    """Rules from entries such as {"rule": "between", "column": "price", "min": 80, "max": 300, "severity": "warning"}.
+
+    Kinds: not_null, is_numeric, between, greater_than, is_date, is_timestamp, in_set, valid_coordinates. An unknown kind raises
+    ValueError. unique_combination isn't a condition on a row: see duplicates().
+    """
+    out = []
+    for e in entries:
+        kind, column = e["rule"], e.get("column", "")
+        x = F.col(column).try_cast("double") if column else None
+        made = {
+            "not_null": lambda: [not_null(column)],
+            "is_numeric": lambda: [Rule(f"numeric_{column}", column, F.col(column).isNotNull() & x.isNull())],
+            "between": lambda: [Rule(f"bounds_{column}", column, (x < e["min"]) | (x > e["max"]))],
+            "greater_than": lambda: [Rule(f"above_{column}", column, x <= e["value"])],
+            "is_date": lambda: [parses(column, "date")],
+            "is_timestamp": lambda: [parses(column, "timestamp")],
+            "in_set": lambda: [one_of(column, e["values"])],
+            "valid_coordinates": lambda: coordinates(e.get("latitude", "latitude"), e.get("longitude", "longitude")),
+        }
+        if kind not in made:
+            raise ValueError(f"no rule {kind!r}")
+        out += [replace(r, severity=e.get("severity", r.severity), action=e.get("action", r.action)) for r in made[kind]()]
+    return out
+
+
 def issues(rows: DataFrame, rules: list[Rule], identifier: str, source: str, target: str) -> DataFrame:
     """A row for each broken rule of each row, in one pass; issue_id is a hash of record and rule, so reruns find it again."""
     found = F.filter(F.array(*(F.when(r.broken, F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.column).alias("column_name"), F.lit(r.action).alias("action_taken"))) for r in rules)), lambda x: x.isNotNull())
