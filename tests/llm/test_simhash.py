@@ -68,3 +68,27 @@ def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (2000, 1999), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1999: 1999, 2000: 1999}
+
+
+def test_stage_drops_near_copies(spark):
+    """Texts with a few changed words, of which fingerprints differ in more than 2 bits, against all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 200))]
+        for _ in range(80 if group == 0 else rng.randint(1, 4)):  # the first group's shingles are common
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    rng.shuffle(rows)
+    sets = {i: {tuple(x) for x in zip(*(t.split()[k:] for k in range(5)))} for i, t in rows}
+    ids = sorted(sets)
+    near = {i: [j for j in ids if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in ids}
+    label = {i: i for i in ids}
+    while (new := {i: min(label[j] for j in near[i]) for i in ids}) != label:
+        label = new
+    docs = spark.createDataFrame([(*r, "i", "f", "c", 1) for r in rows], SCHEMA)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == label
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == sorted(set(label.values()))
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() > len(set(label.values()))  # the 2-bit rule keeps more
