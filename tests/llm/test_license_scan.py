@@ -60,3 +60,44 @@ def test_rows_and_sql(spark):
     want = {r[0] for r in duckdb.sql(f"select doc_id from '{path}' where regexp_matches(text, 'Licensed under the Apache License, Version 2.0\\.|Released under the MIT License\\.|Licensed under CC BY-NC 4.0\\.|licensed under the GNU General Public License, version 3\\.')").fetchall()}
     got = {r.doc_id for r in L.licenses(spark.read.parquet(path)).where("license is not null").collect()}
     assert got <= want and len(got) > 0.8 * len(want)
+
+
+def test_standard_licences_inside_longer_files():
+    known = L.Templates(L.TEMPLATES, L.THRESHOLD)
+    rng = random.Random(4)
+    prose = lambda: "\n".join(" ".join(rng.choices("a reader of the house went to see seven ships on that day".split(), k=12)) for _ in range(300))
+    for name, text in L.TEMPLATES:
+        w = text.split()
+        if len(w) < 30:
+            continue
+        third = len(w) // 3
+        parts = [w[:third], w[third : 2 * third], w[2 * third :]]  # three paragraphs of short lines
+        body = "\n\n".join("\n".join(" ".join(p[i : i + 11]) for i in range(0, len(p), 11)) for p in parts)
+        got = L.scanned(prose() + "\n\nCopyright (c) 2020 A. B.\n\n" + body + "\n\n" + prose(), known)
+        assert name in got[0] and got[1] == name and got[2] > 0.95, (name, got)
+    isc, mit = (t for n, t in L.TEMPLATES if n in ("ISC", "MIT") and len(t) > 400)
+    two = prose() + "\n\n" + isc.replace(". ", ".\n\n") + "\n\n" + prose() + "\n\n" + mit.replace(": ", ":\n\n").replace("Software. THE", "Software.\n\nTHE")
+    assert L.scanned(two, known)[0] == ["ISC", "MIT"]
+    gpl = next(t for n, t in L.TEMPLATES if n == "GPL-3.0" and 400 < len(t) < 2000)
+    assert L.scanned(gpl.split(" This program is distributed")[0].replace("\nThis program", " "), known)[1] != "GPL-2.0"
+
+
+def test_runs_against_all_runs():
+    """The best line or run of each text against every run of lines and every template."""
+    known = L.Templates(L.TEMPLATES[:24], L.THRESHOLD)
+    rng = random.Random(6)
+    for _ in range(60):
+        w = rng.choice(L.TEMPLATES[:24])[1].split()
+        lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
+        if rng.random() < 0.5 and len(lines) > 2:
+            lines.insert(rng.randrange(len(lines)), "some other words in between")
+        text = "\n".join(["first words", *lines, "last words", ""])
+        own = [L.words(x) for x in text.splitlines()]
+        best = 0
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                a = L.bigrams(sum(own[i:j], []))
+                best = max([best, *(2 * sum((a & b).values()) / (sum(a.values()) + n) for _, b, n in known.all)])
+        lone = [d for x in own for d, _ in known.best(L.bigrams(x), max(1, len(x) - 1))]
+        got = max([0, *lone, *(d for d, *_ in L.runs(text, known))])
+        assert got == (pytest.approx(best) if best >= 0.8 else 0), text

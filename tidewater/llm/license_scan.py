@@ -1,6 +1,7 @@
 """License scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Segments of a document are its whole text, its paragraphs (split at blank lines) and its lines. A segment is lower-cased,
+Segments of a document are its whole text, its paragraphs (split at blank lines), its lines, and of the runs of consecutive lines
+those that match best: none that shares over half of the larger one's words with a match at least as good. A segment is lower-cased,
 copyright lines are dropped where it has others, everything but letters and digits becomes a space, and the multiset of its
 word bigrams is compared with that of each template: dice = 2 |both| / (|segment| + |template|). Two multisets of sizes m and n
 can't exceed 2 min(m, n) / (m + n), so only templates whose size lies within [m t / (2 - t), m (2 - t) / t] are compared at threshold t.
@@ -13,6 +14,7 @@ count twice). Null or empty text: no licence. An empty table gives no rows. Othe
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bounded_batches, table
+from tidewater.llm.license_texts import TEXTS
 
 THRESHOLD = 0.8
 
@@ -47,23 +50,68 @@ License."""),
     ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
 published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
-FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU
+General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
-published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU
+General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor,
+Boston, MA 02110-1301 USA."""),
     ("LGPL-3.0", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have
+received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>."""),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have
+received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
 following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-following disclaimer in the documentation and/or other materials provided with the distribution."""),
+following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS
+PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright
+holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission. THIS SOFTWARE IS
+PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-that the above copyright notice and this permission notice appear in all copies."""),
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights
+to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+<https://unlicense.org>"""),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -72,6 +120,7 @@ that the above copyright notice and this permission notice appear in all copies.
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    *TEXTS,
 ]
 
 _COPYRIGHT = re.compile(r"^\W*(?:copyright\b|\(c\)\s|©).*$", re.IGNORECASE | re.MULTILINE)
@@ -94,6 +143,10 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.threshold = threshold
         self.all = [(name, b, sum(b.values())) for name, text in templates for b in [bigrams(words(text))]]
+        self.holders: dict[tuple, list[int]] = {}
+        for i, (_, b, _) in enumerate(self.all):
+            for pair in b:
+                self.holders.setdefault(pair, []).append(i)
         self.words = frozenset(w for _, b, _ in self.all for pair in b for w in pair)
 
     def best(self, found: Counter, size: int) -> list[tuple[float, int]]:
@@ -126,11 +179,91 @@ def segments(text: str) -> list[str]:
     return out
 
 
+def runs(text: str, templates: Templates) -> list[tuple[float, int, int, int]]:
+    """(dice, start, end, template) of runs of two or more consecutive lines at the threshold, by word numbers.
+
+    Of each template and first line, the best run; paragraphs are runs of lines. Copyright lines count as empty. A first or last line
+    without a bigram of the template is left out: the run is better without it.
+    """
+    t, w, lines = templates.threshold, [], []
+    for line in text.splitlines():
+        own = _BREAK.sub(" ", _COPYRIGHT.sub(" ", line).lower()).split()
+        if own:
+            lines.append(len(w))
+            w += own
+    if len(lines) < 2:
+        return []
+    hits: dict[int, list[int]] = {}
+    for p, pair in enumerate(zip(w, w[1:])):
+        for i in templates.holders.get(pair, ()):
+            hits.setdefault(i, []).append(p)
+    ends, out = [*lines[1:], len(w)], []
+    line_of = [k for k, (a, b) in enumerate(zip(lines, ends)) for _ in range(b - a)]
+    for i, at in hits.items():
+        _, b, n = templates.all[i]
+        least, most = n * t / (2 - t), n * (2 - t) / t  # a match shares at least the least size
+        if len(at) < least or sum(min(k, b[x]) for x, k in Counter((w[p], w[p + 1]) for p in at).items()) < least - 1e-9:
+            continue
+        for first in sorted({line_of[p] for p in at}):
+            start, left, shared, best = lines[first], {}, 0, None
+            begin = bisect_left(at, start)
+            if bisect_left(at, start + most + 1) - begin < least - 1e-9:
+                continue
+            for k in range(begin, len(at)):
+                p = at[k]
+                last = line_of[p + 1]
+                if p + 1 - start > most + 1:
+                    break
+                pair = (w[p], w[p + 1])
+                room = left.get(pair, b[pair])
+                left[pair] = room - 1
+                shared += room > 0
+                end = ends[last]
+                if k + 1 < len(at) and at[k + 1] + 1 < end:
+                    continue  # the line holds more of them
+                size = end - start - 1
+                if last > first and size <= most + 1e-9:
+                    dice = 2 * shared / (size + n)
+                    if dice >= t and (best is None or dice > best[0]):
+                        best = (dice, start, end, i)
+            if best:
+                out.append(best)
+    return out
+
+
+def apart(found: list[tuple[float, int, int, int]], taken: list[tuple[float, int, int]]) -> list[tuple[float, int, int, int]]:
+    """The best runs: none that shares over half of the larger one's words with a run, or a matching segment (dice, start, end), at least as good."""
+    kept: list[tuple[float, int, int]] = []
+    out = []
+    for d, a, e, i in sorted(found, key=lambda r: (-r[0], r[2] - r[1], r[3], r[1])):
+        if all(x < d or 2 * (min(e, f) - max(a, b)) <= max(e - a, f - b) for x, b, f in taken + kept):
+            kept.append((d, a, e))
+            out.append((d, a, e, i))
+    return out
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Of each of segments(text) its first and last word's numbers among the words outside copyright lines."""
+    paragraphs, at, out = re.split(r"\n\s*\n", text), 0, []
+    for p in paragraphs:
+        lines, first = [], at
+        for line in p.splitlines():
+            n = len(_BREAK.sub(" ", _COPYRIGHT.sub(" ", line)).split())
+            lines.append((at, at + n))
+            at += n
+        if len(paragraphs) > 1:
+            out.append((first, at))
+        if len(lines) > 1:
+            out += lines
+    return [(0, at), *out]
+
+
 def scanned(text: str | None, templates: Templates) -> tuple[list[str], str | None, float, int]:
     """(licenses, license, dice, segments) of one text."""
     found, least, most = [], *templates.sizes
     known, t = templates.words, templates.threshold
-    for s in segments(text) if text else []:
+    whole = []
+    for k, s in enumerate(segments(text) if text else []):
         if len(s) > 60 * (most + 1):  # words of over 58 letters on average: no template has such
             if s.count(" ") + s.count("\n") > most + 1:
                 continue
@@ -142,6 +275,11 @@ def scanned(text: str | None, templates: Templates) -> tuple[list[str], str | No
         best = templates.best(bigrams(w), size)
         if best:
             found.append(best[0])
+            whole.append((best[0][0], k))
+    more = runs(text, templates) if text else []
+    if more:
+        at = spans(text) if whole else []
+        found += [(d, i) for d, _, _, i in apart(more, [(d, *at[k]) for d, k in whole])]
     if not found:
         return [], None, 0.0, 0
     dice, first = min(((-d, i) for d, i in found))
