@@ -74,3 +74,14 @@ def test_rows(spark, quick):
     empty = docs.where(F.lit(False))
     assert L.network(empty, F.lit(True)) is None and L.stage(spark, empty, "").count() == 0
     assert {r.lang_pred for r in L.labelled(docs.select("text"), None).collect()} == {"und"}
+
+
+def test_learns_every_label(spark, monkeypatch):
+    """Also those beyond the 64 commonest."""
+    seen = {}
+    monkeypatch.setattr(L, "trained", lambda texts, labels: seen.update(rows=list(zip(texts, labels))))
+    rows = [(i, f"text {i} of {i % 90}", f"l{i % 90}") for i in range(1800)] + [(9999, "a lone text", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    L.network(docs, F.lit(True))
+    assert {x for _, x in seen["rows"]} == {x for _, _, x in rows}
+    assert len(seen["rows"]) == len(rows)

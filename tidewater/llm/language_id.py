@@ -3,7 +3,7 @@
 The network reads UTF-8 bytes. Every byte has a learned input for the update gate, reset gate and candidate of a recurrent layer in each
 direction; both directions' states give the position's label probabilities. Gates are piecewise linear (clip(x/4 + 1/2, 0, 1), candidates
 clip(x, -1, 1)), which numpy does without transcendental functions. It is trained in numpy by backpropagation through time on
-SNIPPETS snippets of SNIPPET bytes of a bounded sample of labelled rows.
+SNIPPETS snippets (more where there are over 187 labels) of SNIPPET bytes of a bounded sample of labelled rows.
 
 A whole text is cut into windows of WINDOW bytes which the network reads side by side; every position of every window is labelled,
 and a document's probabilities are the mean over all its positions.
@@ -20,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, table
+from tidewater.llm.common import bounded_batches, table, written
 
-#: Labelled rows that training may read for each label, and labels at most (the commonest).
-SAMPLE_ROWS, LABELS = 400, 64
+#: Labelled rows that training reads for each label, and for all together: every label has its share, but at least LEAST_ROWS.
+SAMPLE_ROWS, TOTAL_ROWS, LEAST_ROWS = 400, 25_600, 32
 SNIPPETS, SNIPPET = 6000, 64
 HIDDEN, WINDOW = 8, 64
 STEPS, BATCH, RATE = 500, 256, 0.02
@@ -130,9 +130,10 @@ def trained(texts: list[str], labels: list[str], seed: int = 5) -> Network | Non
     net = Network.fresh(names, rng)
     if len(names) == 1:
         return net
-    x, y = np.full((SNIPPETS, SNIPPET), 32, np.uint8), np.arange(SNIPPETS) % len(names)
+    snippets = max(SNIPPETS, LEAST_ROWS * len(names))
+    x, y = np.full((snippets, SNIPPET), 32, np.uint8), np.arange(snippets) % len(names)
     encoded = {k: [t.encode("utf-8", "replace") for t in v] for k, v in by.items()}
-    for i in range(SNIPPETS):
+    for i in range(snippets):
         own = encoded[names[y[i]]]
         raw = own[rng.integers(len(own))]
         at = int(rng.integers(max(1, len(raw) - SNIPPET + 1)))
@@ -141,7 +142,7 @@ def trained(texts: list[str], labels: list[str], seed: int = 5) -> Network | Non
     weights = [net.w, net.u, net.out, net.bias]
     m, v = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights]
     for step in range(1, STEPS + 1):
-        at = rng.integers(SNIPPETS, size=BATCH)
+        at = rng.integers(snippets, size=BATCH)
         grads = net.gradients(np.ascontiguousarray(x[at].T), y[at])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * (1 - step / (STEPS + 1))
@@ -183,16 +184,18 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def network(docs: DataFrame, learns: Column) -> Network | None:
-    """Trained on about SAMPLE_ROWS rows a label of those that learns is true of, drawn by a hash of text and doc_id."""
+    """Trained on every label of the rows that learns is true of, about SAMPLE_ROWS rows a label (fewer of many labels), drawn by a hash of text and doc_id."""
     rows = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
-    if not common:
+    counts, _ = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    labels = counts.count()
+    if not labels:
         return None
-    parts = [docs.where(learns & (F.col("lang") == c.lang) & (F.col("text") != "") & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(c["count"], SAMPLE_ROWS))) < SAMPLE_ROWS)).select("lang", F.substring("text", 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))).cast("int"), F.lit(2000)).alias("text")).limit(2 * SAMPLE_ROWS) for c in common]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    got = sorted((r.lang, r.text) for r in found.collect())
+    share = min(SAMPLE_ROWS, max(LEAST_ROWS, TOTAL_ROWS // labels))
+    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.greatest("n", F.lit(share)))
+    at = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))).cast("int")
+    found = rows.join(F.broadcast(counts), "lang").withColumn("_drawn", drawn).where(F.col("_drawn") < share).select("lang", F.substring("text", at, F.lit(2000)).alias("text"), "_drawn")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_drawn", "text"))  # repeated rows are drawn alike
+    got = sorted((r.lang, r.text) for r in found.withColumn("_nth", nth).where(F.col("_nth") <= 2 * share).select("lang", "text").collect())
     return trained([t for _, t in got], [l for l, _ in got])
 
 
