@@ -58,7 +58,7 @@ def test_rows_in_rows_out(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(3, 1), (1, 1), (2, 2), (9, 2), (None, None), (4, 4), (5, 5), (6, 5), (7, 4)}
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 4, 5]
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "x y z w"), (1, "x y z w"), (2, ""), (4, "one"), (5, long), (7, "alone in the world")]
     empty = docs.where(F.lit(False))
     assert simhash.near_duplicates(empty).count() == 0 and simhash.stage(spark, empty, "").count() == 0
 

@@ -1,40 +1,46 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has 64 bits, one for each bit that is set in over half of the XXH64 hashes (seed 42) of the text's word
-shingles. Two fingerprints link at no more than 2 differing bits. The search splits a fingerprint into two segments of 32
-bits: if two of them differ in at most 2 bits, the high segments differ in at most 1 or the low ones in none. So the high
-segment's Hamming ball of radius 1 and the low segment itself are looked up in the table of each segment, and what is
-fetched is verified by its complete distance. Equal fingerprints count once; their rows share the search.
+shingles. Two fingerprints link at no more than 2 differing bits. The index takes, of each of the two 32-bit segments, the
+Hamming ball of radius 1 around the segment's value, with the other segment as it is. Two fingerprints that differ in at most
+2 bits share a point of these balls, and the complete distance of what meets is verified. At most 65 different fingerprints
+meet in a point, so no entry is ever crowded. Equal fingerprints count once; their rows share the search.
 
 Defined results. Null or empty text, or no word: fingerprint 0, linked like any other. Fewer words than a shingle has: the
 whole sequence is the one shingle. A null doc_id gets its fingerprint and no component. Repeated doc_ids share a component.
-An empty table gives no rows. Other columns are neither read nor returned.
+Very long texts are read whole, in slices. Ties: the smallest doc_id names a component. An empty table gives no rows. Other
+columns are neither read nor returned.
 
-The pipeline's stage has a rule of its own (similar_documents): 5-word shingles, Jaccard similarity of 0.8 or more.
+The pipeline's stage has a rule of its own (similar_documents): 5-word shingles, Jaccard similarity of 0.8 or more. Its index
+is the same method with wider fingerprints, see there.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, connected_components, table, written
+from tidewater.llm.common import connected_components, in_bytes, table, written
 
 BITS = 64
 SEED = 42
 SHINGLE_WORDS = 3
-#: Segment-table entries with one key beyond which members are linked through shared points of their balls (_by_points).
-CROWDED = 32
 #: The rule of the pipeline's stage: Jaccard similarity of the sets of shingles of so many words.
 STAGE_SHINGLE_WORDS, STAGE_SIMILARITY = 5, 0.8
-#: Texts of one partition that share a shingle before it may count as common.
-LOCALLY = 4
+#: Its index: fingerprints of 256 bits over 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
+INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 8, 32
+#: Complete distances, of 256 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
+#: shingles. At a similarity of 0.8 the expected distance is 39 at most (an angle of acos(8/9)), with a standard deviation of 5.7.
+MOST_INDEX_BITS, MOST_STAGE_BITS = 64, 64
+#: Members of an entry that the others are compared with first, and how many of them at most.
+HEADS = 3
 
 
 def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -68,45 +74,16 @@ def fingerprint_column(text, shingle_words: int = SHINGLE_WORDS):
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the ids of prints (id long, fp long; one row a fingerprint) at no more than 2 differing bits.
 
-    Pairs that meet in a crowded segment entry aren't paired off but linked through the points at one bit from both
-    (_by_points): components are the same, and a group of n fingerprints costs 65 n rows instead of n squared.
+    Each point links what meets in it to the smallest id there, which makes the components that all pairs would make.
     """
-    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    entries = F.array(F.struct(F.lit(0).alias("seg"), high.alias("key")), F.struct(F.lit(1).alias("seg"), low.alias("key")))
-    in_table = prints.select("id", "fp", F.inline(entries))
-    # Of two high segments that differ in one bit, the one that lacks it looks the other up; so each pair comes once.
-    bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("shiftrightunsigned(fp, 32)").bitwiseAND(_bit(i)) == 0)
-    ball = prints.select("id", "fp", F.lit(0).alias("seg"), F.explode(F.transform(bits, lambda i: F.expr("shiftrightunsigned(fp, 32)").bitwiseOR(_bit(i)))).alias("key"))
-    crowded = in_table.groupBy("seg", "key").count().where(F.col("count") > CROWDED).select("seg", "key")
-    crowded, _ = written(crowded, "crowded")
-    sparse = in_table.join(crowded, ["seg", "key"], "left_anti")
-    probes = sparse.withColumn("exact", F.lit(True)).unionByName(ball.withColumn("exact", F.lit(False)))
-    found = (
-        probes.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "seg", "key", "exact")
-        .join(sparse.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "seg", "key"), ["seg", "key"])
-        .where("(not exact or fa < fb) and bit_count(fa ^ fb) <= 2")
-        .select("a", "b")
-    )
-    meeting = in_table.unionByName(ball).join(crowded, ["seg", "key"], "left_semi").select("id", "fp").distinct()
-    return found.union(_by_points(meeting))
-
-
-def _bit(i):
-    return F.pow(F.lit(2.0), i).cast("long")
-
-
-def _by_points(prints: DataFrame) -> DataFrame:
-    """Two fingerprints differ in at most 2 bits just if some point differs from both in at most one: link by such points."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.element_at(F.lit([1 << k for k in range(63)] + [-(1 << 63)]), i + 1)))
-    points = prints.select("id", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
-    least, size = F.min("id").alias("b"), F.count("*").alias("n")
-    shared = points.groupBy("point").agg(least, size).where("n > 1").select("point", "b")
-    return points.join(shared, "point").where("id <> b").select(F.col("id").alias("a"), "b")
+    flips = F.lit([0, *(1 << k for k in range(63)), -(1 << 63)])
+    points = prints.select("id", "fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    met = points.withColumn("first", F.min(F.struct("id", "fp")).over(Window.partitionBy("point")))
+    return met.where("id <> first.id and bit_count(fp ^ first.fp) <= 2").select(F.col("id").alias("a"), F.col("first.id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id that links lead to, a row for each row of docs."""
-    bounded_batches(docs.sparkSession)
     prints, _ = written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle_words).alias("fp")), "prints")
     distinct, _ = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     # Fingerprints that share their smallest doc_id (repeated ids) meet in one node of the graph by themselves.
@@ -127,124 +104,187 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles_of(text: str | None, shingle_words: int) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's word shingles, sorted; of a text without words, 0."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(1, np.int64)
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(min(shingle_words, len(words)))))])
-    return np.unique(np.frombuffer(hashes, ">i8").astype(np.int64))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all others (multiply and shift)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, offsets of each text's words and the end): A-Z lower, words by ASCII white space; null: no words."""
+    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    split = pc.ascii_split_whitespace(lower)
+    words, offsets = split.flatten(), np.asarray(split.offsets, np.int64)
+    offsets = offsets - offsets[0]
+    real = np.asarray(pc.binary_length(words)) > 0  # white space at an end leaves an empty word
+    coded = words.dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    found = hashes[coded.indices.to_numpy()[real]] if len(words) else np.zeros(0, np.uint64)
+    return found, np.r_[0, np.cumsum(real)][offsets]
+
+
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every shingle, offsets of each text's shingles and the end); a text of fewer words has its whole sequence, one without words 0."""
+    n = np.diff(offsets)
+    count = np.maximum(n - size + 1, 1)
+    upto = np.r_[0, np.cumsum(count)]
+    at = np.arange(upto[-1]) + np.repeat(offsets[:-1] - upto[:-1], count)
+    left = np.repeat(n, count)
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = np.where(k < left, _mixed(out * np.uint64(3) + (words[np.minimum(at + k, len(words) - 1)] if len(words) else np.uint64(0))), out)
+    return out, upto
+
+
+def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of SEGMENTS x SEGMENT_BITS bits, as signed longs: (texts, 4)."""
+    lanes = SEGMENTS * SEGMENT_BITS // 64
+    salts = _mixed(np.arange(1, lanes + 1, dtype=np.uint64) << np.uint64(32))
+    counts = np.zeros((len(offsets) - 1, lanes * 64), np.int64)
+    for i in range(0, len(shingles), 65_536):  # no more memory than for this many shingles
+        part = shingles[i : i + 65_536]
+        bits = np.concatenate([np.unpackbits(_mixed(part + s).view(np.uint8).reshape(-1, 8), axis=1) for s in salts], axis=1)
+        first, last = np.searchsorted(offsets, i, side="right") - 1, np.searchsorted(offsets, i + len(part), side="left")
+        counts[first:last] += np.add.reduceat(bits, np.maximum(offsets[first:last] - i, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > np.diff(offsets)[:, None], axis=1).view(np.int64)
+
+
+def shingle_sets(shingles: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    return [np.unique(shingles[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
 
 
 def _set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
 
-def _common_shingles(texts: DataFrame, shingle_words: int) -> np.ndarray:
-    """Shingles of many texts, sorted. They only set an order, so that it doesn't matter if one is missed."""
+def _prints(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id, key (of the shingle set), n (its size), index and fp (fingerprints over INDEX_WORDS and shingle_words words), same (a hash of the text)."""
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, kept = set(), []
-        for f in frames:
-            for x in f.text:
-                own = shingles_of(x, shingle_words)
-                key = _set_key(own)
-                if key not in seen:
-                    seen.add(key)
-                    kept.append(own)
-        shingle, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.int64), return_counts=True)
-        yield pd.DataFrame({"shingle": shingle[n >= LOCALLY], "n": n[n >= LOCALLY]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_bytes(batches, "text"):
+            words, offsets = word_hashes(b.column("text"))
+            wide = wide_fingerprints(*shingle_hashes(words, offsets, INDEX_WORDS))
+            shingles, at = shingle_hashes(words, offsets, shingle_words)
+            sets = shingle_sets(shingles, at)
+            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(shingles, at))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *longs, b.column("same")], ["doc_id", "key", "n", "index", "fp", "same"]
+            )
 
-    found = texts.mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("shingle").toPandas()
-    return np.sort(found.shingle.to_numpy(np.int64))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, index array<long>, fp array<long>, same long")
 
 
-def _prefixes(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """doc_id, key (of the shingle set), n (its size) and prefix: the first n - ceil(least n) + 1 shingles, common ones last.
+def _entries(prints: DataFrame) -> DataFrame:
+    """(entry, key): the Hamming ball of radius 1 around each segment of the index's fingerprint; entry holds the segment's number and a point."""
+    flips = F.lit([0, *(1 << k for k in range(SEGMENT_BITS))])
+    values = F.flatten(F.transform("index", lambda x: F.array(F.shiftrightunsigned(x, SEGMENT_BITS), x.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))))
+    entries = F.flatten(F.transform(values, lambda v, k: F.transform(flips, lambda x: v.bitwiseXOR(x) + k * F.lit(1 << SEGMENT_BITS))))
+    return prints.select("key", F.explode(entries).alias("entry"))
 
-    Two sets of a Jaccard similarity of least or more share a shingle of their prefixes, whatever the order.
-    """
-    common = _common_shingles(docs.select("text"), shingle_words)
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, x in zip(f.doc_id, f.text):
-                own = shingles_of(x, shingle_words)
-                n = len(own)
-                last = np.isin(own, common, assume_unique=True) if len(common) else np.zeros(n, bool)
-                rows.append((i, _set_key(own), n, np.concatenate([own[~last], own[last]])[: n - math.ceil(least * n - 1e-9) + 1]))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "prefix"])
+def _distance(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SEGMENTS * SEGMENT_BITS // 64)), F.lit(0))
 
-    return docs.mapInPandas(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, prefix array<long>")
 
+def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """a, b, bits (distance of the stage's fingerprints) of the pairs (a, b) of keys whose complete distances and sizes allow the similarity."""
+    of = lambda c: prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("index").alias(f"i{c}"), F.col("fp").alias(f"f{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9))
+    return both.where(_distance("ia", "ib") <= MOST_INDEX_BITS).select("a", "b", _distance("fa", "fb").alias("bits")).where(F.col("bits") <= MOST_STAGE_BITS)
 
-def _verified(pairs: DataFrame, docs: DataFrame, of_key: DataFrame, shingle_words: int, least: float) -> DataFrame:
+
+def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """Of pairs (a, b) of keys those whose shingle sets have a Jaccard similarity of least or more."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingles_of(x, shingle_words) for x in texts])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_bytes(batches, "text"):
+            found = shingle_sets(*shingle_hashes(*word_hashes(b.column("text")), shingle_words))
+            flat = pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], pa.int64()), lists], ["key", "set"])
 
-    pairs, _ = written(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = of_key.join(needed, "key", "left_semi").select("key", F.col("id").alias("doc_id"))
-    # A repeated doc_id has several texts: each is taken by the key of its own set.
-    sets = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles("text").alias("set"))
-    sets, _ = written(sets, "sets")
-    keyed = sets.select("doc_id", "set", _key_column(F.col("set")).alias("key")).join(chosen, ["doc_id", "key"], "left_semi").select("key", "set").dropDuplicates(["key"])
-    both = pairs.join(keyed.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(keyed.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    chosen = prints.join(needed, "key", "left_semi").select("doc_id", "same")
+    # One row has the text of a key; a repeated doc_id may come with several texts.
+    texts = docs.join(chosen.withColumnRenamed("same", "_same"), "doc_id").where(F.xxhash64("text") == F.col("_same")).select("text")
+    keyed, _ = written(texts.mapInArrow(sets, "key long, set array<long>"), "sets")
+    keyed = keyed.dropDuplicates(["key"])
+    both = pairs.select("a", "b").join(keyed.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(keyed.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def _key_column(shingles):
-    @F.pandas_udf("long")
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sets in batches:
-            yield pd.Series([_set_key(np.asarray(x, np.int64)) for x in sets], dtype="int64")
-
-    return key(shingles)
+def _components(links: DataFrame) -> DataFrame:
+    return written(connected_components(links).withColumnRenamed("id", "key"), "component")[0]
+
+
+def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """doc_id, same (hash of the text), component: a row for each row of docs (doc_id, text)."""
+    rows, _ = written(_prints(docs, shingle_words), "prints")
+    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "fp")).alias("one"))
+    prints, _ = written(one.select("key", "one.*"), "distinct")
+    entry = Window.partitionBy("entry")
+    # Members that the others are compared with first: least by key, by its mirror image and by a hash.
+    heads = [F.min("key").over(entry), F.max("key").over(entry), F.min(F.struct(F.xxhash64("key"), "key")).over(entry)["key"]]
+    shared, _ = written(_entries(prints).withColumns({f"h{i}": h for i, h in enumerate(heads)}).where("h0 <> h1"), "entries")
+    pairs = shared.select(F.explode(F.array("h0", "h1", "h2")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+    nearest = F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))
+    first, _ = written(_near(pairs, prints, least).withColumn("nth", nearest).where(F.col("nth") <= HEADS), "pairs")
+    links, _ = written(_verified(first, docs, prints, shingle_words, least), "links")
+    component = _components(links)
+    for nearest_only in (True, False):
+        # What still lies apart: every pair of an entry's members whose components differ. First each member's nearest of every other component.
+        named = shared.select("entry", "key").join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).select("entry", "key", "c")
+        several = named.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry", "c0")
+        named, _ = written(named.join(several, "entry"), "named")
+        left = named.where("c <> c0").select("entry", F.col("key").alias("a"), F.col("c").alias("ac"))
+        right = named.select("entry", F.col("key").alias("b"), F.col("c").alias("bc"))
+        # Either side may be of the first component; of two others, one order is enough.
+        rest = left.join(right, "entry").where("ac > bc").select("a", "b").distinct()
+        near = _near(rest, prints, least)
+        if nearest_only:
+            near = near.join(component.select(F.col("key").alias("b"), "component"), "b", "left").withColumn("bc", F.coalesce("component", "b"))
+            near = near.withColumn("nth", F.row_number().over(Window.partitionBy("a", "bc").orderBy("bits", "b"))).where("nth = 1")
+        near, _ = written(near.select("a", "b"), "pairs")
+        more, _ = written(_verified(near, docs, prints, shingle_words, least), "links")
+        links = links.union(more)
+        component = _components(links)
+    return rows.select("doc_id", "same", "key").join(component, "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = STAGE_SHINGLE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that links lead to; texts link at a Jaccard similarity of least or more between shingle sets.
+    """doc_id, component_id, a row for each row of docs with a doc_id: the smallest doc_id that links lead to.
 
-    64 bits can't find these by segments: at 0.8 about 10 of them differ. Candidates share a shingle of their prefixes
-    instead, which misses none, and each is verified by its complete sets. Members of a prefix entry are compared with the
-    entry's first one; then pairs are made only where a component other than that one's takes part, so that a group of n
-    near copies costs n pairs. Null doc_ids are left out.
+    Texts link at a Jaccard similarity of least or more between the sets of their shingles. Multi-index hashing finds the candidates: of each of the SEGMENTS
+    segments of a wide fingerprint the Hamming ball of radius 1 is entered in a table, so that texts whose fingerprints differ in at most 2 bits of some segment
+    meet; complete distances are verified, and what remains by the sets themselves. Equal sets count once. Members of an entry are compared with a few of them
+    first, and all pairs only between components that are still apart, so that a group of n near copies costs about n comparisons. README has the recall.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows, _ = written(_prefixes(docs, shingle_words, least), "prefixes")
-    of_key, _ = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    entries = of_key.select("key", "n", F.explode("prefix").alias("shingle"))
-    first = F.min(F.struct("key", "n")).alias("first")
-    heads, _ = written(entries.groupBy("shingle").agg(first, F.count("*").alias("m")).where("m > 1").select("shingle", F.col("first.key").alias("head"), F.col("first.n").alias("head_n")), "heads")
-    entries, _ = written(entries.join(heads, "shingle"), "entries")
-    near = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
-    star = entries.where((F.col("key") != F.col("head")) & near("n", "head_n")).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    links, _ = written(_verified(star, docs, of_key, shingle_words, least), "links")
-    component, _ = written(connected_components(links).withColumnRenamed("id", "key"), "component")
-    named = entries.join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-    named = named.join(component.select(F.col("key").alias("head"), F.col("component").alias("head_c")), "head", "left").withColumn("head_c", F.coalesce("head_c", "head"))
-    named, _ = written(named.select("shingle", "key", "n", "c", "head", (F.col("c") != F.col("head_c")).alias("other")), "named")
-    left = named.where("other").select("shingle", F.col("key").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    right = named.where("key <> head").select("shingle", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("other").alias("b_other"))
-    rest = left.join(right, "shingle").where("ac <> bc and (not b_other or a < b)").where(near("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(_verified(rest, docs, of_key, shingle_words, least))
-    same_id = rows.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id", "x")
-    links = links.union(rows.join(same_id, "doc_id").where("key <> x").select(F.col("key").alias("a"), F.col("x").alias("b")))
-    component, _ = written(connected_components(links).withColumnRenamed("id", "key"), "component")
-    of_key = of_key.select("key", "id").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least_id = of_key.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.select("doc_id", "key").join(of_key.select("key", "component"), "key").join(least_id, "component").select("doc_id", "component_id")
+    rows, _ = written(similar_sets(docs.where("doc_id is not null").select("doc_id", "text"), shingle_words, least), "similar")
+    least_id = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least_id, "component").select("doc_id", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of similar_documents: the one with the smallest doc_id. Rows without doc_id stay."""
-    kept = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """Keep one row of each group of similar texts (similar_documents): the one with the smallest doc_id.
+
+    Defined results. Null and empty texts and texts without words are one group. Repeated doc_ids: rows are told apart by their texts, so that unrelated texts with
+    one doc_id both stay; of groups' rows with the smallest doc_id the one with the smallest text hash stays, of equal rows one, of rows that differ in
+    other columns the first by their JSON. Rows without doc_id stay. Very long texts are compared whole. An empty table gives no rows. All columns are
+    returned as they came, whatever their names.
+    """
+    rows, _ = written(similar_sets(docs.where("doc_id is not null").select("doc_id", "text"), STAGE_SHINGLE_WORDS, STAGE_SIMILARITY), "similar")
+    # Rows of one group that share doc_id and text are counted, as only they need an order among themselves.
+    row = rows.groupBy("component", "doc_id", "same").agg(F.count("*").alias("_times"))
+    kept = row.groupBy("component").agg(F.min(F.struct("doc_id", "same", "_times")).alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.same").alias("_same"), "k._times")
+    kept, _ = written(kept, "kept")
+    match = lambda k: docs.join(k, (docs["doc_id"] == k["_kept"]) & (F.xxhash64(docs["text"]) == k["_same"]), "left_semi")
+    several = match(kept.where("_times > 1"))
+    nth = F.row_number().over(Window.partitionBy(several["doc_id"], F.xxhash64(several["text"])).orderBy(F.to_json(F.struct(*several.columns))))
+    several = several.select(F.struct(*several.columns).alias("_row"), nth.alias("_nth")).where("_nth = 1").select("_row.*")
+    return match(kept.where("_times = 1")).union(several).union(docs.where("doc_id is null"))
