@@ -46,7 +46,7 @@ def test_forgets_what_it_does_not_keep(library, monkeypatch):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_repair_round_trip(monkeypatch, seed):
-    monkeypatch.setattr(T, "LEAST_FREQUENCY", 3)
+    monkeypatch.setattr(T, "RULE_BYTES", 4)
     rng = np.random.default_rng(seed)
     docs = [np.r_[np.tile(rng.integers(2, 30, 5), rng.integers(0, 30)), rng.integers(0, 12 if seed % 2 else 500, rng.integers(0, 200)), T.END_ID] for _ in range(40)] + [np.array([T.END_ID])] * 3
     ids = np.concatenate(docs)
@@ -75,3 +75,14 @@ def test_documents(spark, library, monkeypatch):
         start += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
     assert T.documents(T.shards(docs.where(F.lit(False)), PATH)).count() == 0
+
+
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(3)
+    for ids in (np.full(20_001, 7), rng.integers(2, 9, 5000), np.r_[np.tile([4, 4, 5], 900), rng.integers(2, 500, 3000)]):
+        seq, rules, lengths = T.compressed(ids, 500)
+        s = T.Shard(T.shard_row(0, [0], np.array([len(ids)]), ids, 500))
+        assert s.expanded(s.sequence).tolist() == ids.tolist() and len(rules)
+        pairs, n = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+        assert n.max(initial=0) < T.RULE_BYTES // 2 + 1
+    assert len(T.compressed(np.full(20_001, 7), 500)[0]) < 20

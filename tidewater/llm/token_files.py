@@ -1,9 +1,10 @@
 """Token ids in Re-Pair compressed files.
 
 Documents are range partitioned and sorted by doc_id; a task encodes its documents in order and closes a shard whenever
-SHARD_TOKENS ids have come together. A shard is compressed by Re-Pair: in rounds, the most frequent pairs of neighbouring ids
-that can't overlap each other are replaced by new ids (nonterminals). No rule reaches across the end of a document, so a
-document is a range of the compressed sequence.
+SHARD_TOKENS ids have come together. A shard is compressed by Re-Pair: frequent pairs of neighbouring ids are replaced by new ids
+(nonterminals) until no pair occurs often enough to pay for its rule. Pairs are replaced in rounds of falling frequency; those of one
+round don't overlap each other, and of a run of one id every other pair counts. No rule reaches across the end of a document, so
+a document is a range of the compressed sequence.
 
 File format: Parquet, one row a shard, in the order of shard: shard, doc_ids, doc_tokens (ids of each document), doc_at (where each
 begins in the sequence, and the end), vocab (nonterminals count from it), rules (pairs of uint32, a rule only has ids before its
@@ -13,8 +14,9 @@ itself: sums of expansion lengths find its place (decoded_range).
 Encoding takes each run of non-space characters once a task batch and keeps the commonest of a worker: the tokenizer drops white
 space and never joins across it, which is checked when it is loaded.
 
-Defined results. Null text: empty, just the end id. Rows go by doc_id, null first, then text; all rows stay. An empty table
-gives no rows. Other columns are neither read nor returned.
+Defined results. Null text: empty, just the end id. Rows go by doc_id, null first, then text; all rows stay, rows of one doc_id with
+different beginnings in several tasks. A very long text is encoded as a whole and stays in one shard, however large. An empty
+table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import new_path, table
+from tidewater.llm.common import in_bytes, new_path, table
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: Rounds, pairs a round and least frequency of a pair that is replaced.
-ROUNDS, ROUND_PAIRS, LEAST_FREQUENCY = 10, 2048, 24
+#: A rule takes 12 bytes: its pair and its expansion length. A pair pays from the occurrence on that saves more, at 2 or 4 bytes an id.
+RULE_BYTES = 12
+#: Each round takes pairs that are at least one FALL-th as frequent as those of the round before.
+FALL = 4
 #: Runs that a worker keeps, and bytes of text that it encodes at once.
 KEPT_RUNS, CHUNK_BYTES = 400_000, 8 << 20
 #: Runs of letters that are encoded as one text.
 JOINED = 128
+#: Characters of a text that, beside doc_id, deal rows out.
+BEGINNING = 32
 SHARDS = "shard long, doc_ids array<long>, doc_tokens binary, doc_at binary, vocab int, rules binary, rule_tokens binary, wide boolean, sequence binary"
 
 
@@ -67,10 +74,11 @@ class Encoder:
     def _numbers(self, runs: list[str]) -> np.ndarray:
         """A number for each run, by which start and length know its ids."""
         known = self.runs
-        numbers = np.fromiter((known.get(x, -1) for x in runs), np.int64, len(runs))
+        numbers = np.fromiter(map(known.get, runs, repeat(-1)), np.int64, len(runs))
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            ids, lengths = self._new([runs[i] for i in missing])
+            order, ids, lengths = self._new([runs[i] for i in missing])
+            missing = missing[order]
             numbers[missing] = np.arange(len(self.length), len(self.length) + len(missing))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(lengths) - lengths]
             self.length = np.r_[self.length, lengths]
@@ -79,21 +87,24 @@ class Encoder:
                 known[runs[i]] = int(numbers[i])
         return numbers
 
-    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all runs, number of ids of each). Runs of letters are one word each: they go in together, and ends tell them apart."""
+    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an order of the runs, ids of all of them in it, number of ids of each). Runs of letters are one word each: they go in together, and ends tell them apart."""
         words = [i for i, x in enumerate(runs) if x.isalpha()]
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        found: list[np.ndarray | None] = [None] * len(runs)
+        order, found, lengths, apart = [], [], [], set(words)
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):  # else some word comes apart: one by one
-                for i, x in zip(group, np.split(ids, cuts[:-1])):
-                    found[i] = x
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False)):
-            found[i] = np.array(e.ids, np.uint32)
-        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+                order += group
+                found.append(ids)
+                lengths.append(np.diff(cuts, prepend=0))
+                apart.difference_update(group)
+        rest = [i for i, x in enumerate(runs) if i in apart or not x.isalpha()]
+        for e in self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False):
+            found.append(np.array(e.ids, np.uint32))
+            lengths.append(np.array([len(e.ids)]))
+        return np.array(order + rest), np.concatenate(found), np.concatenate(lengths)
 
     def _prepared(self, texts: pa.Array) -> pa.Array:
         """With fewer distinct runs and the same ids: ASCII letters lower, as the tokenizer makes them, and commas and full stops off the words, where it cuts anyway."""
@@ -127,44 +138,67 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _apart(pairs: np.ndarray) -> list[int]:
+    """Of pairs in order of preference those that can be replaced at once: no id is both the left one of a pair and the right one of another."""
+    lefts, rights, chosen = set(), set(), []
+    for i, (x, y) in enumerate(zip((pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist())):
+        if x not in rights and y not in lefts and (x != y or x not in lefts):
+            lefts.add(x)
+            rights.add(y)
+            chosen.append(i)
+    return chosen
+
+
 def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, expansion lengths) of ids; no rule holds end_id but as its last id."""
     seq = ids.astype(np.uint32)
-    rules, lengths = np.zeros((0, 2), np.uint32), np.ones(vocab, np.int64)
-    last = np.zeros(vocab, bool)  # symbols that end a document
-    if end_id < vocab:
-        last[end_id] = True
-    for _ in range(ROUNDS):
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(12)
-        often = np.bincount(slot, minlength=1 << 20)  # at least as often as each pair in the slot
-        frequent = often >= max(LEAST_FREQUENCY, np.partition(often, -2 * ROUND_PAIRS)[-2 * ROUND_PAIRS])  # no more than a round can take
-        at = np.flatnonzero(frequent[slot] & ~last[a] & (a != b))
-        pairs, which, counts = np.unique((a[at].astype(np.int64) << 32) | b[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[: 4 * ROUND_PAIRS]
-        lefts, rights, chosen = set(), set(), []
-        for i, x, y in zip(order.tolist(), (pairs[order] >> 32).tolist(), (pairs[order] & 0xFFFFFFFF).tolist()):
-            if counts[i] < LEAST_FREQUENCY or len(chosen) == ROUND_PAIRS:
-                break
-            if x not in rights and y not in lefts:  # so no two of them overlap
-                lefts.add(x)
-                rights.add(y)
-                chosen.append(i)
-        if not chosen:
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
+    last = np.arange(vocab) == end_id  # symbols that end a document
+    pays = RULE_BYTES // (2 if vocab < 1 << 16 else 4) + 1
+    limit = None
+    while True:
+        inside = ~last[seq[:-1]]
+        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        ordered = np.sort(pairs[inside])
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        counts = np.diff(first, append=len(ordered))
+        most = counts.max(initial=0)
+        if most < pays:
             break
-        new = np.zeros(len(pairs), np.uint32)
-        new[chosen] = np.arange(len(lengths), len(lengths) + len(chosen))
-        at, by = at[new[which] > 0], new[which][new[which] > 0]
-        seq = seq.copy()
+        limit = max(pays, most // FALL if limit is None else min(limit // FALL, most))
+        often = np.flatnonzero(counts >= limit)
+        found = ordered[first[often[np.argsort(-counts[often], kind="stable")]]]
+        found = found[_apart(found)]
+        # A table without collisions finds their places: of pairs with one slot, one is replaced now and the others in a later round.
+        bits = 18
+        slots, one = np.unique(_slots(found, bits), return_index=True)
+        found, of_slot = found[one], np.zeros(1 << bits, np.int32)
+        of_slot[slots] = np.arange(1, len(found) + 1)
+        which = of_slot[_slots(pairs, bits)] - 1
+        at = np.flatnonzero((which >= 0) & inside)
+        at = at[pairs[at] == found[which[at]]]
+        twice = seq[at] == seq[at + 1]
+        if twice.any():  # every other one of a run
+            run = at[twice]
+            begins = np.r_[True, run[1:] != run[:-1] + 1]
+            place = np.arange(len(run)) - np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))
+            taken = np.ones(len(at), bool)
+            taken[np.flatnonzero(twice)[place % 2 == 1]] = False
+            at = at[taken]
+        made = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        by = (len(lengths) + which[at]).astype(np.uint32)
         seq[at] = by
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        made = np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1).astype(np.uint32)
-        rules = np.r_[rules, made]
+        rules.append(made)
         lengths = np.r_[lengths, lengths[made].sum(axis=1)]
         last = np.r_[last, last[made[:, 1]]]
-    return seq, rules, lengths[vocab:].astype(np.uint32)
+    return seq, np.concatenate(rules), lengths[vocab:].astype(np.uint32)
 
 
 class Shard:
@@ -239,20 +273,22 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
             row = shard_row(shard, doc_ids, np.concatenate(counts), np.concatenate(parts), encode.vocab)
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.binary()), ("doc_at", pa.binary()), ("vocab", pa.int32()), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("wide", pa.bool_()), ("sequence", pa.binary())]))
 
-        for b in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
-            i = 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHUNK_BYTES, side="right")))
-                ids, n = encode.encode(b.column("text").slice(i, j - i))
-                out = np.full(len(ids) + len(n), end_id, np.uint32)
-                gap = np.cumsum(n + 1) - 1
-                out[np.delete(np.arange(len(out)), gap)] = ids
-                doc_ids += b.column("doc_id").slice(i, j - i).to_pylist()
-                counts.append(n + 1)
-                parts.append(out)
-                held += len(out)
-                i = j
+        for b in in_bytes(batches, "text", CHUNK_BYTES):
+            ids, n = encode.encode(b.column("text"))
+            own = b.column("doc_id").to_pylist()
+            ends, begin = np.cumsum(n + 1), 0
+            out = np.full(len(ids) + len(n), end_id, np.uint32)
+            inner = np.ones(len(out), bool)
+            inner[ends - 1] = False
+            out[inner] = ids
+            while begin < len(own):  # as many documents as complete the shard
+                before = int(ends[begin - 1]) if begin else 0
+                stop = min(len(own), int(np.searchsorted(ends, before + SHARD_TOKENS - held)) + 1)
+                doc_ids += own[begin:stop]
+                counts.append(n[begin:stop] + 1)
+                parts.append(out[before : ends[stop - 1]])
+                held += int(ends[stop - 1]) - before
+                begin = stop
                 if held >= SHARD_TOKENS:
                     yield closed()
                     shard += 1
@@ -260,7 +296,9 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         if doc_ids:
             yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # By beginnings too, so that rows of one doc_id, or without one, needn't meet in one task.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, BEGINNING)).sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, SHARDS)
 
 
@@ -277,9 +315,11 @@ def documents(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(crc)), pa.array(s.doc_ids, pa.int64()), pa.array(at[:-1]), pa.array(s.doc_tokens), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     found = files.mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # One number a shard is ordered as a whole.
-    sums = files.select("shard", "doc_tokens").mapInArrow(_shard_sums, "shard long, tokens long")
-    starts = sums.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("shard_start"))
+    # The shards of a task are summed by themselves; one number a task is ordered as a whole.
+    sums = files.select("shard", "doc_tokens").mapInArrow(_shard_sums, "shard long, tokens long").withColumn("task", F.shiftright("shard", 32))
+    tasks = sums.groupBy("task").agg(F.sum("tokens").alias("n")).select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("task_start"))
+    within = F.sum("tokens").over(Window.partitionBy("task").orderBy("shard")) - F.col("tokens")
+    starts = sums.withColumn("within", within).join(tasks, "task").select("shard", (F.col("task_start") + F.col("within")).alias("shard_start"))
     return found.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
