@@ -23,15 +23,15 @@ def library():
 @given(texts=st.lists(st.one_of(st.sampled_from(NASTY), st.text(st.characters(codec="utf-8"), max_size=80)), max_size=6))
 def test_parity(library, texts):
     c = S.codec(PATH)
-    for t, (ids, _) in zip(texts, c.encode(texts)):
-        assert ids.tolist() == library.encode(t)
-        assert c.decode(ids) == t.replace("▁", " ")
+    for t, (ids, same, back) in zip(texts, c.encode(texts)):
+        assert ids.tolist() == library.encode(t) == c.tokenizer.encode(t, add_special_tokens=False).ids and same
+        assert c.decode(ids) == t.replace("▁", " ") and back == (c.decode(ids) == t)
 
 
 def test_backend_itself_has_parity(library):
     c = S.codec(PATH)
     text = "The thonhation ofanin reonertion, ungheit lichkeit ésêtre ñciónadoó the theinhe erre 12:30 x=[1,2]; <b>ok</b> über Straße"
-    assert all(ok for _, ok in c.encode([text, *text.split()]))
+    assert all(ok for _, ok, _ in c.encode([text, *text.split()]))
     assert c.by_unit and len(c.model.pieces) == library.get_piece_size() and c.model.model_type == S.BPE and c.model.byte_fallback
 
 
@@ -52,7 +52,7 @@ def test_parses_a_unigram_model():
     m = S.Model.parse(data)
     assert m.model_type == S.UNIGRAM and m.byte_fallback and m.dummy_prefix and not m.extra_spaces_go
     t = m.tokenizer()
-    assert t.encode("▁ab▁a").ids == [3, 1] and t.encode("▁aé").ids == [1, 5 + 0xC3, 5 + 0xA9]
+    assert t.encode("ab a").ids == [3, 1] and t.encode("aé").ids == [1, 5 + 0xC3, 5 + 0xA9]
 
 
 def test_rows(spark, library):
@@ -67,3 +67,59 @@ def test_rows(spark, library):
         want.append((i, t, ids, zlib.crc32(np.array(ids, "<i4").tobytes()), "▁" not in (t or "")))
     assert got == sorted(want, key=str)
     assert S.stage(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_ids_are_the_backends(monkeypatch):
+    c = S.Codec(PATH)
+    right = c.encode(["some text"])[0]
+    assert right[1] and right[2]
+    c.known.clear()
+    from tokenizers import normalizers
+
+    c.tokenizer.normalizer = normalizers.Replace("e", "o")
+    wrong = c.encode(["some text"])[0]
+    assert wrong[0].tolist() != right[0].tolist() and not wrong[1] and not wrong[2]
+
+
+def _as_unigram(data: bytes) -> bytes:
+    """The model file as a unigram model: its pieces, with scores that make no ties."""
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out += bytes([n & 0x7F | 0x80])
+            n >>= 7
+        return out + bytes([n])
+
+    m, out = S.Model.parse(data), b""
+    for i, (p, _, kind) in enumerate(m.pieces):
+        score = np.float32(-np.sqrt(i + 2.0)).tobytes() if kind == S.NORMAL else bytes(4)
+        body = b"\x0a" + varint(len(p.encode())) + p.encode() + b"\x15" + score + b"\x18" + bytes([kind])
+        out += b"\x0a" + varint(len(body)) + body
+    for number, value in S._fields(data):
+        if number == 2:
+            value = value + b"\x18\x01"  # of a field that comes twice the last counts: model type unigram
+        if number != 1:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.one_of(st.sampled_from(NASTY), st.text(st.characters(codec="utf-8"), max_size=80), st.text("abcdefghilmnoprstu ", max_size=80)), min_size=1, max_size=6))
+def test_full_unigram_model(tmp_path_factory, texts):
+    if "unigram" not in _made:
+        path = tmp_path_factory.mktemp("m") / "u.model"
+        with open(PATH, "rb") as f:
+            path.write_bytes(_as_unigram(f.read()))
+        _made["unigram"] = S.Codec(str(path))
+    c = _made["unigram"]
+    assert c.model.model_type == S.UNIGRAM and len(c.model.pieces) == 32_000
+    score = lambda ids: sum(c.model.pieces[i][1] for i in ids)
+    for t, (ids, same, back) in zip(texts, c.encode(texts)):
+        want = c.library.encode(t)
+        # The same pieces in another order have the same score: either is right.
+        assert same == (ids.tolist() == want) and back == ("▁" not in t)
+        assert same or abs(score(ids) - score(want)) < 1e-2 and c.decode(ids) == t.replace("▁", " ")
+
+
+_made: dict = {}

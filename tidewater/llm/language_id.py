@@ -19,11 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table, written
+from tidewater.llm.common import in_bytes, table, written
 
 #: Labelled rows that training reads for each label, and for all together: every label has its share, but at least LEAST_ROWS.
 SAMPLE_ROWS, TOTAL_ROWS, LEAST_ROWS = 400, 25_600, 32
@@ -32,6 +32,8 @@ HIDDEN, WINDOW = 8, 64
 STEPS, BATCH, RATE = 500, 256, 0.02
 #: Windows that are read side by side.
 LANES = 4096
+#: Bytes of text that are labelled at once.
+CHUNK_BYTES = 2 << 20
 #: In the place of a byte: the state stays as it is.
 PAD = 256
 UNDETERMINED = "und"
@@ -202,20 +204,25 @@ def network(docs: DataFrame, learns: Column) -> Network | None:
 def labelled(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score, of the column text alone."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
-            score[~letters] = 1
-            at = np.flatnonzero(letters)
-            if net is not None:
-                for i in range(0, len(at), 2000):
-                    p = pooled(net, texts.iloc[at[i : i + 2000]].tolist())
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = []
+            for b in in_bytes([pa.RecordBatch.from_arrays([column], ["text"])], "text", CHUNK_BYTES):
+                texts = b.column(0).to_pylist()
+                pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+                score[~letters] = 1
+                at = np.flatnonzero(letters)
+                if net is not None and len(at):
+                    p = pooled(net, [texts[i] for i in at])
                     best = p.argmax(axis=1)
-                    pred[at[i : i + 2000]] = np.array(net.labels, object)[best]
-                    score[at[i : i + 2000]] = np.clip(p[np.arange(len(p)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+                    pred[at] = np.array(net.labels, object)[best]
+                    score[at] = np.clip(p[np.arange(len(p)), best], 0, 1)
+                parts.append(pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return docs.withColumn("_predicted", predict("text")).select(*docs.columns, F.col("_predicted.lang_pred").alias("lang_pred"), F.col("_predicted.score").alias("score"))
 

@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file (protobuf) is parsed here: pieces with scores and kinds, the trainer's model type and byte fallback, the
-normaliser's character map and flags. From it the library's tokenizer is rebuilt: normaliser (character map, dummy prefix, white
-space), the marker for spaces, the model (unigram scores; or for a BPE model merges ranked by the score of the merged piece) and
-byte fallback. Batches are encoded with the library's threads.
+normaliser's character map and flags. From it the library's tokenizer is rebuilt: normaliser (character map, spaces to be dropped, dummy
+prefix, marker for spaces), the model (unigram scores; or for a BPE model merges ranked by the score of the merged piece), byte
+fallback and decoder. Batches are encoded with the library's threads; its ids are what is returned.
 
 Where no piece has the marker behind another character, a text's ids are those of its units (markers and what follows up to the
-next one) one after the other, so every distinct unit of a batch is encoded once. Parity: each distinct unit is also encoded by
-the sentencepiece library when a worker first meets it; where the two differ, the sentencepiece ids count and parity is false
-for the document.
-
-Defined results. Null text: no ids, decoded as empty. Empty text: no ids. Rows that repeat stay. An empty table gives no
-rows. Text that holds the marker character itself decodes to a space there (round_trip false), as in sentencepiece.
+next one) one after the other, so every distinct unit of a batch is encoded once, and decoded once. Parity: each distinct unit is
+also encoded by the sentencepiece library when a worker first meets it; parity is false for a document with a unit whose ids differ.
+In a unigram model several ways to cut a unit can have one score (the same pieces in another order); the libraries may choose
+differently there.
+
+Defined results. Null text: no ids, decoded as empty. Empty text: no ids. Rows that repeat stay; ties don't arise. A very long text is
+encoded whole, with memory in proportion to it. An empty table gives no rows. Text that holds the marker character itself decodes
+to a space there (round_trip false), as in sentencepiece. Other columns come back as they were; where a name clashes with one of
+the results, the result is called piece_ and that name.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import in_bytes, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Units that a worker keeps.
-KEPT_UNITS = 150_000
+#: Score of pieces that no text is cut into.
+NEVER = -1e7
+#: Units that a worker keeps, and bytes of text that it encodes at once.
+KEPT_UNITS, CHUNK_BYTES = 150_000, 2 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,13 +94,14 @@ class Model:
         return m
 
     def tokenizer(self):
-        """The library's tokenizer; texts come in with the marker in place (see units)."""
-        from tokenizers import Tokenizer, models, normalizers
+        """The library's tokenizer for whole texts, and for their ids."""
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         unknown = next(p for p, _, kind in self.pieces if kind == UNKNOWN)
         if self.model_type == UNIGRAM:
             unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
-            t = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], unk, self.byte_fallback))
+            # The unknown, byte and control pieces stand for no text of their own: nothing is ever cheaper by them.
+            t = Tokenizer(models.Unigram([(p, s if kind in (NORMAL, USER) else NEVER) for p, s, kind in self.pieces], unk, self.byte_fallback))
         elif self.model_type == BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
             usable = {p for p, _, kind in self.pieces if kind in (NORMAL, USER)}
@@ -106,16 +112,23 @@ class Model:
             t = Tokenizer(models.BPE(vocab, [x[3:] for x in sorted(ranked)], unk_token=unknown, fuse_unk=True, byte_fallback=self.byte_fallback))
         else:
             raise ValueError(f"model type {self.model_type} is neither unigram nor BPE")
-        if self.charsmap:
-            t.normalizer = normalizers.Precompiled(self.charsmap)
+        steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
+        if self.extra_spaces_go:
+            steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        mark = MARK if self.escape_spaces else " "
+        steps += [normalizers.Prepend(mark)] if self.dummy_prefix else []
+        steps += [normalizers.Replace(" ", mark)]
+        t.normalizer = normalizers.Sequence(steps)
+        back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        t.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * self.dummy_prefix)
         return t
 
     def splits_at_marks(self) -> bool:
         return self.escape_spaces and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
 
-#: A unit: markers and what follows up to the next one; markers at the end of a text are a unit too.
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: A unit: markers and what follows up to the next one, with the markers at the end of the text; or all of a text of markers.
+_UNIT = re.compile(f"{MARK}*[^{MARK}]+(?:{MARK}+\\Z)?|{MARK}+")
 
 
 class Codec:
@@ -125,52 +138,51 @@ class Codec:
         from sentencepiece import SentencePieceProcessor
 
         with open(path, "rb") as f:
-            self.model = Model.parse(f.read())
+            data = f.read()
+        self.model = Model.parse(data)
         self.tokenizer = self.model.tokenizer()
-        self.library = SentencePieceProcessor(model_file=path)
+        self.library = SentencePieceProcessor(model_proto=data)
         self.by_unit = self.model.splits_at_marks() and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces_go
         self.known: dict[str, bytes] = {}  # ids as int32
         self.differs: set[str] = set()  # units without parity
-        self.as_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-
-    def _both(self, texts: list[str], marked: list[str]) -> list[tuple[np.ndarray, bool]]:
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        theirs = self.library.encode(texts, num_threads=1)
-        return [(np.array(b, np.int32), a == b) for a, b in zip(ours, theirs)]
-
-    def normalised(self, text: str) -> str:
-        """With the marker in place, as the tokenizer takes it."""
-        if self.model.extra_spaces_go:
-            text = re.sub(" +", " ", text).strip(" ")
-        if self.model.dummy_prefix and text:
-            text = " " + text
-        return text.replace(" ", MARK) if self.model.escape_spaces else text
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text."""
+        self.changed: set[str] = set()  # units that decode to something else
+
+    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """(ids, parity, whether they decode to the text) of each text, from the rebuilt tokenizer."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        same = [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1))]
+        back = [a == b for a, b in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), texts)]
+        return [np.array(x, np.int32) for x in ids], same, back
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round trip) of each text."""
         if not self.by_unit:
-            return self._both([t or "" for t in texts], [self.normalised(t or "") for t in texts])
-        split = [_UNIT.findall(self.normalised(t)) if t else [] for t in texts]
+            return list(zip(*self._encoded([t or "" for t in texts])))
+        split = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
         missing = [u for u in dict.fromkeys(u for units in split for u in units) if u not in known]
-        if missing:  # the first unit of a text starts with the dummy prefix; so does every other one here
-            held = [u if u[0] == MARK else MARK + u for u in missing]
-            for u, (ids, ok) in zip(missing, self._both([u[1:].replace(MARK, " ") for u in held], held)):
+        if missing:
+            # Every unit begins with a marker: the tokenizer puts it there as the dummy prefix.
+            for u, ids, same, back in zip(missing, *self._encoded([u[1:].replace(MARK, " ") for u in missing])):
                 known[u] = ids.tobytes()
-                if not ok:
+                if not same:
                     self.differs.add(u)
-            if MARK in missing:  # a marker alone, at the end of a text; alone it is the prefix of no text
-                known[MARK] = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int32).tobytes()
-                self.differs.discard(MARK)
-        out = [(np.frombuffer(b"".join([known[u] for u in units]), np.int32), not self.differs or self.differs.isdisjoint(units)) for units in split]
+                if not back:
+                    self.changed.add(u)
+        out = []
+        for t, units in zip(texts, split):
+            ids = np.frombuffer(b"".join([known[u] for u in units]), np.int32)
+            # Decoded units, with a space between them, are the decoded text: the text itself but for markers in it.
+            back = (not self.changed or self.changed.isdisjoint(units)) and MARK not in (t or "")
+            out.append((ids, not self.differs or self.differs.isdisjoint(units), back))
         for u in missing[max(0, KEPT_UNITS - len(known) + len(missing)) :]:
             del known[u]
+            self.differs.discard(u)
+            self.changed.discard(u)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        pieces = self.as_bytes
-        text = b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 _codecs: dict[str, Codec] = {}
@@ -182,10 +194,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-#: Texts that are encoded at once.
-CHUNK_ROWS = 500
-
-
 def encoded(docs: DataFrame, model: str, columns: list[str], keep_ids: bool) -> DataFrame:
     """columns of docs, then (ids array<int>) if keep_ids, n_tokens, ids_crc32 (of little-endian int32), round_trip, parity."""
     added = [("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("parity", pa.bool_())]
@@ -194,20 +202,16 @@ def encoded(docs: DataFrame, model: str, columns: list[str], keep_ids: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for whole in batches:
-            for i in range(0, whole.num_rows, CHUNK_ROWS):
-                b = whole.slice(i, CHUNK_ROWS)
-                texts = b.column("_text").to_pylist()
-                found = c.encode(texts)
-                n = [len(x) for x, _ in found]
-                crc = [zlib.crc32(x.astype("<i4").tobytes()) for x, _ in found]
-                trip = [c.decode(x) == (t or "") for (x, _), t in zip(found, texts)]
-                data = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(trip), pa.array([ok for _, ok in found])]
-                if keep_ids:
-                    flat = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int32)
-                    data.insert(0, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat)))
-                kept = [b.column(f"_{k}") for k in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*kept, *data], [*(f"_{k}" for k in range(len(columns))), *names])
+        for b in in_bytes(batches, "_text", CHUNK_BYTES):
+            found = c.encode(b.column("_text").to_pylist())
+            n = [len(x) for x, _, _ in found]
+            crc = [zlib.crc32(x.astype("<i4").tobytes()) for x, _, _ in found]
+            data = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([back for _, _, back in found], pa.bool_()), pa.array([same for _, same, _ in found], pa.bool_())]
+            if keep_ids:
+                flat = np.concatenate([x for x, _, _ in found])
+                data.insert(0, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat)))
+            kept = [b.column(f"_{k}") for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*kept, *data], [*(f"_{k}" for k in range(len(columns))), *names])
 
     # Numbered while Python has them: the table's own columns may be called like ours.
     rows = docs.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(columns)), F.col("text").alias("_text"))
@@ -230,5 +234,5 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, the ids and what was verified of them."""
+    """All columns of every row, the ids and what was verified of them; the module's docstring has the results of odd rows."""
     return encoded(docs, _model(), docs.columns, keep_ids=True)

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -63,10 +62,11 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprint_column(text, shingle_words: int = SHINGLE_WORDS):
     """The fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint_of(x, shingle_words) for x in texts], np.uint64).view(np.int64))
+            found = [fingerprint_of(x.as_py(), shingle_words) for x in texts]  # one text in memory at a time, beside the batch
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return fingerprint(text)
 
