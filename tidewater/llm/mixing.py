@@ -11,8 +11,9 @@ Targets: weights share out all words; a source's target stops at MAX_REPEATS tim
 by weight. That ends with targets min(MAX_REPEATS size, c weight) for one c, found with a running sum over the sources.
 
 Defined results. Null text has 0 words. A row without words takes nothing. A null source is a source of its own, the last.
-Rows that repeat a doc_id, or lack one, count on their own. An empty table gives no rows. Reruns agree whatever the
-partitions. Other columns are neither read nor returned.
+Rows that repeat a doc_id, or lack one, count on their own. Very long texts are split over many blocks. Ties: a source's rows lie in
+the order of doc_id (nulls last), a hash of the text, size; equal rows are interchangeable. An empty table gives no rows. Reruns agree
+whatever the partitions. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SHARD_SLOTS = 65_536
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 12
 SEED = 20_240_229
-#: Rows of one source that are ordered in one task, about.
-ROWS_IN_ORDER = 20_000
+#: Rows of one source that are ordered in one task, and slots that one task permutes, about.
+ROWS_IN_ORDER, SLOTS_IN_TASK = 20_000, 1 << 20
 
 
 def _uniform(*keys) -> Column:
@@ -40,7 +41,7 @@ def _uniform(*keys) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -61,10 +62,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 def packed(sizes: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
     """sizes with sid, source_size, target and start, the row's place among its source's words; a hot source is ordered in parts."""
     parts = max(1, n_rows // ROWS_IN_ORDER)
-    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select("sid", "doc_id", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select("sid", "doc_id", "size", "hash", "source_size", "target", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(parts)).alias("part"))
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     starts = sums.select("sid", "part", (F.sum("words").over(Window.partitionBy("sid").orderBy("part")) - F.col("words")).alias("part_start"))
-    within = F.sum("size").over(Window.partitionBy("sid", "part").orderBy(F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("sid", "part").orderBy(F.col("doc_id").asc_nulls_last(), "hash", "size").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("within", within - F.col("size")).join(starts, ["sid", "part"]).withColumn("start", F.col("part_start") + F.col("within")).drop("within", "part", "part_start")
 
 
@@ -73,8 +74,9 @@ def slots(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     shares = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
     shares = shares.withColumn("expected", F.col("target") * F.col("blocks") / F.col("source_size"))  # slots: the last block of a source is short
-    everything = Window.partitionBy()
-    shares = shares.withColumn("all_slots", F.sum("expected").over(everything)).withColumn("upto", F.sum("expected").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) / F.col("all_slots"))
+    # Summed in order, and all of it taken from there: the same number each time.
+    shares = shares.withColumn("sum", F.sum("expected").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
+    shares = shares.withColumn("all_slots", F.max("sum").over(Window.partitionBy())).withColumn("upto", F.col("sum") / F.col("all_slots"))
     shares = shares.withColumn("from", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0.0))).withColumn("upto", F.when(F.row_number().over(Window.orderBy(F.desc("sid"))) == 1, F.lit(2.0)).otherwise(F.col("upto")))
     shares, _ = written(shares.select("sid", "blocks", "from", "upto", "all_slots"), "shares")
     first = shares.agg(F.max("all_slots"), F.count("*")).first()
@@ -87,7 +89,10 @@ def slots(sources: DataFrame) -> DataFrame:
     drawn = drawn.withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1))).join(grid, "cell").where(F.expr("u >= `from` and u < upto"))
     counts, _ = written(drawn.groupBy("sid", "shard").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
-    ordinal = counts.withColumn("before", before).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("sid", (F.col("before") + F.col("k")).alias("k"))
+    # A row a source and shard is little, but stands for up to SHARD_SLOTS slots: these are dealt out before they are made.
+    tasks = max(1, -(-n_slots // SLOTS_IN_TASK), min(shards, 2 * spark.sparkContext.defaultParallelism))
+    ordinal = counts.withColumn("before", before).repartition(tasks, "shard", "sid").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    ordinal = ordinal.select("sid", (F.col("before") + F.col("k")).alias("k"))
     x = ordinal.join(shares.select("sid", "blocks"), "sid").where(F.col("k") < MAX_REPEATS * F.col("blocks"))
     x = x.select("sid", "blocks", F.floor(F.col("k") / F.col("blocks")).alias("pass"), (F.col("k") % F.col("blocks")).alias("block"))
     return x.select("sid", F.aggregate(F.lit(list(range(ROUNDS))), F.col("block"), _swapped).alias("block"))
@@ -100,8 +105,8 @@ def _swapped(at: Column, r: Column) -> Column:
     return F.when(swap, partner).otherwise(at)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, a row for each row of docs."""
+def _taken(docs: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """doc_id, hash (of the text), size, source_size, target, taken, a row for each row of docs."""
     sizes, _ = written(sized(docs), "sizes")
     sources, _ = written(targets(sizes, weights), "sources")
     rows = packed(sizes, sources, sizes.count())
@@ -112,19 +117,29 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     overlap = F.least((F.col("block") + 1) * BLOCK_WORDS, F.col("start") + F.col("size")) - F.greatest(F.col("block") * BLOCK_WORDS, F.col("start"))
     draws = slots(sources).groupBy("sid", "block").agg(F.count("*").alias("draws"))
     taken = parts.withColumn("words", F.coalesce(overlap, F.lit(0))).join(draws, ["sid", "block"], "left")
-    key = ["sid", "start", "doc_id", "size", "source_size", "target"]
+    key = ["sid", "start", "doc_id", "hash", "size", "source_size", "target"]
     whole = taken.where("size > 0").groupBy(key).agg(F.sum(F.col("words") * F.coalesce("draws", F.lit(0))).alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "hash", "size", "source_size", "target", "taken"]
     return whole.select(columns).unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, a row for each row of docs."""
+    return _taken(docs, weights).drop("hash")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as whole documents: each comes taken/size times, rounded up or down by a number drawn from its doc_id."""
-    taken = mixed(docs).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times")).where("times > 0")
-    taken = taken.select(F.col("doc_id").alias("_mixed_id"), F.floor(F.col("times") + _uniform(F.lit("copies"), F.col("doc_id"))).alias("_copies")).where("_copies > 0")
-    found = docs.join(taken, docs.doc_id.eqNullSafe(taken._mixed_id))
+    """The mix as whole documents: each comes taken/size times, rounded up or down by a number drawn from its doc_id and text.
+
+    Rows that share doc_id and text (also without doc_id) come equally often, by the mean of their shares. Rows without words never come. A null source is a
+    source of its own. An empty table gives no rows. All columns are returned as they came, whatever their names.
+    """
+    row = _taken(docs, WEIGHTS).groupBy("doc_id", "hash").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times")).where("times > 0")
+    copies = F.floor(F.col("times") + _uniform(F.lit("copies"), F.col("doc_id"), F.col("hash")))
+    row = row.select(F.col("doc_id").alias("_mixed_id"), F.col("hash").alias("_mixed_hash"), copies.alias("_copies")).where("_copies > 0")
+    found = docs.join(row, docs["doc_id"].eqNullSafe(row["_mixed_id"]) & (F.xxhash64(docs["text"]) == row["_mixed_hash"]))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([docs[c] for c in docs.columns])
