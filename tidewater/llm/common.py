@@ -22,6 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of whole texts that Spark hands to Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand whole texts to Python in batches of at most BATCH_BYTES (or one row), where it allows more.
+
+    Spark reads this setting when a plan runs, so that it can't be put back before. It bounds memory and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def in_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most so many bytes in the text column, or one row: this bounds the memory of what works on them."""
     for b in batches:

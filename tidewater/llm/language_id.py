@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import in_bytes, table, written
+from tidewater.llm.common import in_bytes, small_batches, table, written
 
 #: Labelled rows that training reads for each label, and for all together: every label has its share, but at least LEAST_ROWS.
 SAMPLE_ROWS, TOTAL_ROWS, LEAST_ROWS = 400, 25_600, 32
@@ -224,6 +224,7 @@ def labelled(docs: DataFrame, net: Network | None) -> DataFrame:
                 parts.append(pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("_predicted", predict("text")).select(*docs.columns, F.col("_predicted.lang_pred").alias("lang_pred"), F.col("_predicted.score").alias("score"))
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import small_batches, table
 from tidewater.llm.license_texts import TEXTS
 
 THRESHOLD = 0.8
@@ -293,6 +293,7 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
             rows = [scanned(x, known) for x in f.text]
             yield pd.DataFrame({"doc_id": f.doc_id, "licenses": [r[0] for r in rows], "license": [r[1] for r in rows], "dice": [r[2] for r in rows], "segments": [r[3] for r in rows]})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, licenses array<string>, license string, dice double, segments long")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import in_bytes, table
+from tidewater.llm.common import in_bytes, small_batches, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -217,6 +217,7 @@ def encoded(docs: DataFrame, model: str, columns: list[str], keep_ids: bool) ->
     rows = docs.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(columns)), F.col("text").alias("_text"))
     kinds = {"ids": "array<int>", "n_tokens": "long", "ids_crc32": "long", "round_trip": "boolean", "parity": "boolean"}
     schema = ", ".join([*(f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(columns)), *(f"{n} {kinds[n]}" for n in names)])
+    small_batches(docs.sparkSession)
     out = rows.mapInArrow(run, schema)
     clash = set(columns)
     return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(columns)), *(F.col(n).alias(f"piece_{n}" if n in clash else n) for n in names))

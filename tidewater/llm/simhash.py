@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import connected_components, in_bytes, table, written
+from tidewater.llm.common import connected_components, in_bytes, small_batches, table, written
 
 BITS = 64
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id that links lead to, a row for each row of docs."""
+    small_batches(docs.sparkSession)
     prints, _ = written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle_words).alias("fp")), "prints")
     distinct, _ = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     # Fingerprints that share their smallest doc_id (repeated ids) meet in one node of the graph by themselves.
@@ -144,8 +145,8 @@ def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lanes = SEGMENTS * SEGMENT_BITS // 64
     salts = _mixed(np.arange(1, lanes + 1, dtype=np.uint64) << np.uint64(32))
     counts = np.zeros((len(offsets) - 1, lanes * 64), np.int64)
-    for i in range(0, len(shingles), 65_536):  # no more memory than for this many shingles
-        part = shingles[i : i + 65_536]
+    for i in range(0, len(shingles), 16_384):  # no more memory than for this many shingles
+        part = shingles[i : i + 16_384]
         bits = np.concatenate([np.unpackbits(_mixed(part + s).view(np.uint8).reshape(-1, 8), axis=1) for s in salts], axis=1)
         first, last = np.searchsorted(offsets, i, side="right") - 1, np.searchsorted(offsets, i + len(part), side="left")
         counts[first:last] += np.add.reduceat(bits, np.maximum(offsets[first:last] - i, 0), axis=0, dtype=np.int32)
@@ -225,6 +226,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """doc_id, same (hash of the text), component: a row for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows, _ = written(_prints(docs, shingle_words), "prints")
     one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "fp")).alias("one"))
     prints, _ = written(one.select("key", "one.*"), "distinct")

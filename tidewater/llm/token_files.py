@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import in_bytes, new_path, table
+from tidewater.llm.common import in_bytes, new_path, small_batches, table
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -299,6 +299,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # By beginnings too, so that rows of one doc_id, or without one, needn't meet in one task.
     rows = rows.repartitionByRange("doc_id", F.substring("text", 1, BEGINNING)).sortWithinPartitions("doc_id", "text")
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, SHARDS)
 
 
