@@ -6,7 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,48 @@ def in_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
             i = j
 
 
+class Runs:
+    """Ids of stretches of text that are encoded by themselves, each once: a worker keeps the first ones that it meets.
+
+    new(runs) gives an order of the runs, all ids in it, the number of ids of each and flags of each (runs, any number).
+    """
+
+    def __init__(self, new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], kept: int, dtype: type, flags: int = 0):
+        self.new, self.kept, self.known = new, kept, dict[str, int]()
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.flags = np.zeros(0, dtype), np.zeros((0, flags), bool)
+
+    def numbers(self, runs: list[str]) -> np.ndarray:
+        """A number for each of the distinct runs, by which the arrays know it until forget()."""
+        numbers = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            order, ids, lengths, flags = self.new([runs[i] for i in missing])
+            missing = missing[order]
+            numbers[missing] = np.arange(len(self.length), len(self.length) + len(missing))
+            self.start = np.r_[self.start, len(self.flat) + np.cumsum(lengths) - lengths]
+            self.length, self.flat, self.flags = np.r_[self.length, lengths], np.r_[self.flat, ids], np.r_[self.flags, flags]
+            for i in missing[: max(0, self.kept - len(self.known))].tolist():
+                self.known[runs[i]] = int(numbers[i])
+        return numbers
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, one behind the other; where each begins, and the end)."""
+        n = self.length[numbers]
+        upto = np.r_[0, np.cumsum(n)]
+        wide = np.int64 if max(upto[-1], len(self.flat)) > 1 << 30 else np.int32
+        at = np.repeat((self.start[numbers] - upto[:-1]).astype(wide), n)
+        at += np.arange(upto[-1], dtype=wide)
+        return self.flat[at], upto
+
+    def forget(self) -> None:
+        """What isn't kept goes."""
+        kept = len(self.known)
+        if len(self.length) > kept:
+            self.start, self.length, self.flags = self.start[:kept], self.length[:kept], self.flags[:kept]
+            self.flat = self.flat[: int(self.start[-1] + self.length[-1]) if kept else 0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, one of our own if all run on this machine, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

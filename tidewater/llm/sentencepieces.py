@@ -27,10 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import in_bytes, small_batches, table
+from tidewater.llm.common import Runs, in_bytes, small_batches, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -38,7 +39,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Score of pieces that no text is cut into.
 NEVER = -1e7
 #: Units that a worker keeps, and bytes of text that it encodes at once.
-KEPT_UNITS, CHUNK_BYTES = 150_000, 2 << 20
+KEPT_UNITS, CHUNK_BYTES = 300_000, 8 << 20
+#: New units that are encoded as one text.
+JOINED = 128
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -143,43 +146,73 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.library = SentencePieceProcessor(model_proto=data)
         self.by_unit = self.model.splits_at_marks() and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces_go
-        self.known: dict[str, bytes] = {}  # ids as int32
-        self.differs: set[str] = set()  # units without parity
-        self.changed: set[str] = set()  # units that decode to something else
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.units = Runs(self._new if self.by_unit else self._one_by_one, KEPT_UNITS if self.by_unit else 0, np.int32, 2)
 
-    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
         """(ids, parity, whether they decode to the text) of each text, from the rebuilt tokenizer."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         same = [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1))]
         back = [a == b for a, b in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), texts)]
-        return [np.array(x, np.int32) for x in ids], same, back
+        return ids, same, back
+
+    def _one_by_one(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, same, back = self._encoded(runs)
+        return np.arange(len(runs)), np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64), np.array([same, back], bool).T
+
+    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of new units. Those of one marker go in together, as one text: its ids that begin with a marker tell them apart."""
+        simple = [i for i, u in enumerate(runs) if u and " " not in u and MARK not in u]
+        groups = [simple[i : i + JOINED] for i in range(0, len(simple), JOINED)]
+        order, ids, lengths, apart = [], [], [], set(range(len(runs)))
+        for group, found, same, back in zip(groups, *self._encoded([" ".join([runs[i] for i in g]) for g in groups])):
+            at = np.flatnonzero(self.begins[found])
+            if same and back and len(at) == len(group) and at[0] == 0:  # else one by one
+                order += group
+                ids.append(np.array(found, np.int32))
+                lengths.append(np.diff(at, append=len(found)))
+                apart.difference_update(group)
+        rest = sorted(apart)
+        _, last_ids, last_lengths, flags = self._one_by_one([runs[i] for i in rest])
+        return np.array(order + rest, np.int64), np.concatenate([*ids, last_ids]), np.concatenate([*lengths, last_lengths]), np.r_[np.ones((len(order), 2), bool), flags.reshape(-1, 2)]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids and the end, parity, round trip)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        rows = np.arange(len(texts))
+        if self.by_unit:
+            # Texts whose units are what single spaces part; of others, markers are gathered. A unit's key lacks its first marker.
+            odd = np.zeros(len(texts), bool)
+            for x in (pc.equal(texts, ""), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)):
+                odd |= x.to_numpy(zero_copy_only=False)
+            parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            units = [[u[1:].replace(MARK, " ") for u in _UNIT.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+            runs = pa.concat_arrays([parts.flatten().cast(pa.large_string()), pa.array([u for x in units for u in x], pa.large_string())])
+            counts = np.r_[np.diff(np.asarray(parts.offsets, np.int64)), np.array([len(x) for x in units], np.int64)]
+            rows = np.r_[rows[~odd], rows[odd]]
+        else:
+            runs, counts = texts, np.ones(len(texts), np.int64)
+        coded = runs.dictionary_encode()
+        numbers = self.units.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(runs) else np.zeros(0, np.int64)
+        ids, upto = self.units.gathered(numbers)
+        flags = np.r_[np.zeros((1, 2), np.int64), np.cumsum(~self.units.flags[numbers], axis=0)]
+        self.units.forget()
+        upto, ends = upto[np.r_[0, np.cumsum(counts)]], np.r_[0, np.cumsum(counts)]
+        good = flags[ends[1:]] == flags[ends[:-1]]
+        place = np.empty_like(rows)
+        place[rows] = np.arange(len(rows))
+        n = np.diff(upto)[place]
+        starts = np.r_[0, np.cumsum(n)]
+        if len(ids) and (rows[:-1] > rows[1:]).any():
+            ids = ids[np.repeat(upto[:-1][place] - starts[:-1], n) + np.arange(len(ids))]
+        # Decoded units, with a space between them, are the decoded text: the text itself but for markers in it.
+        back = good[place, 1] & ~pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        return ids, starts, good[place, 0], back
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text."""
-        if not self.by_unit:
-            return list(zip(*self._encoded([t or "" for t in texts])))
-        split = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        missing = [u for u in dict.fromkeys(u for units in split for u in units) if u not in known]
-        if missing:
-            # Every unit begins with a marker: the tokenizer puts it there as the dummy prefix.
-            for u, ids, same, back in zip(missing, *self._encoded([u[1:].replace(MARK, " ") for u in missing])):
-                known[u] = ids.tobytes()
-                if not same:
-                    self.differs.add(u)
-                if not back:
-                    self.changed.add(u)
-        out = []
-        for t, units in zip(texts, split):
-            ids = np.frombuffer(b"".join([known[u] for u in units]), np.int32)
-            # Decoded units, with a space between them, are the decoded text: the text itself but for markers in it.
-            back = (not self.changed or self.changed.isdisjoint(units)) and MARK not in (t or "")
-            out.append((ids, not self.differs or self.differs.isdisjoint(units), back))
-        for u in missing[max(0, KEPT_UNITS - len(known) + len(missing)) :]:
-            del known[u]
-            self.differs.discard(u)
-            self.changed.discard(u)
-        return out
+        ids, at, same, back = self.encoded(pa.array(texts, pa.string()))
+        return [(ids[i:j], bool(s), bool(b)) for i, j, s, b in zip(at[:-1], at[1:], same, back)]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
@@ -203,13 +236,12 @@ def encoded(docs: DataFrame, model: str, columns: list[str], keep_ids: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in in_bytes(batches, "_text", CHUNK_BYTES):
-            found = c.encode(b.column("_text").to_pylist())
-            n = [len(x) for x, _, _ in found]
-            crc = [zlib.crc32(x.astype("<i4").tobytes()) for x, _, _ in found]
-            data = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([back for _, _, back in found], pa.bool_()), pa.array([same for _, same, _ in found], pa.bool_())]
+            ids, at, same, back = c.encoded(b.column("_text"))
+            raw = memoryview(ids.astype("<i4", copy=False)).cast("B")
+            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            data = [pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.array(back), pa.array(same)]
             if keep_ids:
-                flat = np.concatenate([x for x, _, _ in found])
-                data.insert(0, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat)))
+                data.insert(0, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
             kept = [b.column(f"_{k}") for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*kept, *data], [*(f"_{k}" for k in range(len(columns))), *names])
 

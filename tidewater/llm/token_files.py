@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import in_bytes, new_path, small_batches, table
+from tidewater.llm.common import Runs, in_bytes, new_path, small_batches, table
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes: its pair and its expansion length. A pair pays from the occurrence on that saves more, at 2 or 4 bytes an id.
 RULE_BYTES = 12
 #: Each round takes pairs that are at least one FALL-th as frequent as those of the round before.
-FALL = 4
+FALL = 8
+#: Slots in which a round counts pairs: 2 to this power.
+SLOT_BITS = 18
 #: Runs that a worker keeps, and bytes of text that it encodes at once.
 KEPT_RUNS, CHUNK_BYTES = 400_000, 8 << 20
-#: Runs of letters that are encoded as one text.
-JOINED = 128
+#: The signs that byte-level models write for bytes that are no printable Latin-1 characters: from U+0100 on, in order.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Characters of a text that, beside doc_id, deal rows out.
 BEGINNING = 32
 SHARDS = "shard long, doc_ids array<long>, doc_tokens binary, doc_at binary, vocab int, rules binary, rule_tokens binary, wide boolean, sequence binary"
@@ -62,70 +64,46 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if "'behavior': 'Removed', 'invert': True" not in str(spec["pre_tokenizer"]) or "\\s" not in str(spec["pre_tokenizer"]) or any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError(f"{path}: its pre-tokenizer may join text across white space")
-        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(pieces.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for x, i in pieces.items() if x.endswith("</w>")]] = True
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.lower = "Lowercase" in str(spec["normalizer"])
-        self.runs: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _numbers(self, runs: list[str]) -> np.ndarray:
-        """A number for each run, by which start and length know its ids."""
-        known = self.runs
-        numbers = np.fromiter(map(known.get, runs, repeat(-1)), np.int64, len(runs))
-        missing = np.flatnonzero(numbers < 0)
-        if len(missing):
-            order, ids, lengths = self._new([runs[i] for i in missing])
-            missing = missing[order]
-            numbers[missing] = np.arange(len(self.length), len(self.length) + len(missing))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(lengths) - lengths]
-            self.length = np.r_[self.length, lengths]
-            self.flat = np.r_[self.flat, ids]
-            for i in missing[: max(0, KEPT_RUNS - len(known))].tolist():
-                known[runs[i]] = int(numbers[i])
-        return numbers
-
-    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(an order of the runs, ids of all of them in it, number of ids of each). Runs of letters are one word each: they go in together, and ends tell them apart."""
-        words = [i for i, x in enumerate(runs) if x.isalpha()]
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        order, found, lengths, apart = [], [], [], set(words)
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and cuts[-1] == len(ids):  # else some word comes apart: one by one
-                order += group
-                found.append(ids)
-                lengths.append(np.diff(cuts, prepend=0))
-                apart.difference_update(group)
-        rest = [i for i, x in enumerate(runs) if i in apart or not x.isalpha()]
+        # Lower-case letters of the scripts that every Unicode version knows go to the library's model as they are, if that is what the tokenizer does with them.
+        self.direct = all(self._direct(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("plain", "straße", "naïve", "ήλιος", "слово", "x"))
+        self.runs = Runs(self._new, KEPT_RUNS, np.uint32)
+
+    def _direct(self, word: str) -> list[int]:
+        """ids of one word of letters: its UTF-8 bytes, as the model writes them."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+
+    def _new(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        letters, rest, ids, lengths = [], [], [], []
+        for i, x in enumerate(runs):
+            if self.direct and x.isalpha() and max(x) < "\u0500" and (x.isascii() or is_normalized("NFC", x)) and x == x.lower():
+                letters.append(i)
+                found = self._direct(x)
+                ids += found
+                lengths.append(len(found))
+            else:
+                rest.append(i)
         for e in self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False):
-            found.append(np.array(e.ids, np.uint32))
-            lengths.append(np.array([len(e.ids)]))
-        return np.array(order + rest), np.concatenate(found), np.concatenate(lengths)
+            found = e.ids
+            ids += found
+            lengths.append(len(found))
+        return np.array(letters + rest), np.array(ids, np.uint32), np.array(lengths, np.int64), np.zeros((len(runs), 0), bool)
 
     def _prepared(self, texts: pa.Array) -> pa.Array:
-        """With fewer distinct runs and the same ids: ASCII letters lower, as the tokenizer makes them, and commas and full stops off the words, where it cuts anyway."""
+        """With fewer distinct runs and the same ids: ASCII letters lower, as the tokenizer makes them, and ASCII punctuation (but apostrophes) off the letters and digits before it, where it cuts anyway."""
         if not self.lower or any(pc.any(pc.match_substring(texts, x, ignore_case=True)).as_py() for x in self.special):
             return texts
-        return pc.ascii_lower(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([,.])", r"\1 \2"))  # in this order: ascii_lower goes wrong on a slice
+        return pc.ascii_lower(pc.replace_substring_regex(texts, r"([\pL\pN])([!-&(-/:-@\[-`{-~])", r"\1 \2"))  # in this order: ascii_lower goes wrong on a slice
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         split = pc.ascii_split_whitespace(self._prepared(pc.fill_null(texts.cast(pa.large_string()), "")))
         offsets = np.asarray(split.offsets, np.int64)
         offsets, words = offsets - offsets[0], split.flatten().dictionary_encode()
-        runs = words.dictionary.to_pylist()
-        number = self._numbers(runs)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        n = self.length[number]
-        upto = np.r_[0, np.cumsum(n)]
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.start[number] - upto[:-1], n)]
-        if len(self.length) > len(self.runs):  # forget what isn't kept
-            kept = len(self.runs)
-            self.start, self.length = self.start[:kept], self.length[:kept]
-            self.flat = self.flat[: int(self.start[-1] + self.length[-1]) if kept else 0]
+        numbers = self.runs.numbers(words.dictionary.to_pylist())
+        ids, upto = self.runs.gathered(numbers[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64))
+        self.runs.forget()
         return ids, np.diff(upto[offsets])
 
 
@@ -161,26 +139,34 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
     pays = RULE_BYTES // (2 if vocab < 1 << 16 else 4) + 1
     limit = None
     while True:
-        inside = ~last[seq[:-1]]
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(pairs[inside])
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
-        counts = np.diff(first, append=len(ordered))
-        most = counts.max(initial=0)
+        # Pairs are counted by slots of a hash first; what a slot holds is at least as many as each pair in it, so only full ones are looked into.
+        left, right = seq[:-1], seq[1:]
+        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOT_BITS)
+        held = np.bincount(slot, minlength=1 << SLOT_BITS)
+        most = int(held.max())
         if most < pays:
             break
         limit = max(pays, most // FALL if limit is None else min(limit // FALL, most))
+        places = np.flatnonzero((held >= limit)[slot] & ~last[left])
+        pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
+        ordered = np.sort(pairs)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        counts = np.diff(first, append=len(ordered))
         often = np.flatnonzero(counts >= limit)
+        if not len(often):
+            if limit == pays:
+                break
+            continue
         found = ordered[first[often[np.argsort(-counts[often], kind="stable")]]]
         found = found[_apart(found)]
         # A table without collisions finds their places: of pairs with one slot, one is replaced now and the others in a later round.
-        bits = 18
-        slots, one = np.unique(_slots(found, bits), return_index=True)
-        found, of_slot = found[one], np.zeros(1 << bits, np.int32)
+        slots, one = np.unique(_slots(found, SLOT_BITS), return_index=True)
+        found, of_slot = found[one], np.zeros(1 << SLOT_BITS, np.int32)
         of_slot[slots] = np.arange(1, len(found) + 1)
-        which = of_slot[_slots(pairs, bits)] - 1
-        at = np.flatnonzero((which >= 0) & inside)
-        at = at[pairs[at] == found[which[at]]]
+        which = of_slot[_slots(pairs, SLOT_BITS)] - 1
+        hit = np.flatnonzero(which >= 0)
+        hit = hit[pairs[hit] == found[which[hit]]]
+        at, by = places[hit], (len(lengths) + which[hit]).astype(np.uint32)
         twice = seq[at] == seq[at + 1]
         if twice.any():  # every other one of a run
             run = at[twice]
@@ -188,9 +174,8 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
             place = np.arange(len(run)) - np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))
             taken = np.ones(len(at), bool)
             taken[np.flatnonzero(twice)[place % 2 == 1]] = False
-            at = at[taken]
+            at, by = at[taken], by[taken]
         made = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        by = (len(lengths) + which[at]).astype(np.uint32)
         seq[at] = by
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -212,20 +197,17 @@ class Shard:
         self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
         self.rule_tokens = np.frombuffer(row["rule_tokens"], np.uint32).astype(np.int64)
         self.sequence = np.frombuffer(row["sequence"], np.uint32 if row["wide"] else np.uint16)
-        at = np.r_[0, np.cumsum(self.rule_tokens)]
-        self.flat = np.zeros(at[-1], np.uint32)  # every rule's expansion, one behind the other
-        self.rule_at = at[:-1]
-        for k, (x, y) in enumerate(self.rules.tolist()):
-            i = at[k]
-            for s in (x, y):
-                if s < self.vocab:
-                    self.flat[i] = s
-                    i += 1
-                else:
-                    j = at[s - self.vocab]
-                    n = at[s - self.vocab + 1] - j
-                    self.flat[i : i + n] = self.flat[j : j + n]
-                    i += n
+        self.rule_at = np.r_[0, np.cumsum(self.rule_tokens)][:-1]
+        self.flat = np.zeros(int(self.rule_tokens.sum()), np.uint32)  # every rule's expansion, one behind the other
+        done = np.r_[np.ones(self.vocab, bool), np.zeros(len(self.rules), bool)]
+        todo = np.arange(len(self.rules))
+        while len(todo):  # rules whose ids are all known by now, together: as many steps as rules are nested
+            ready = done[self.rules[todo]].all(axis=1)
+            now, todo = todo[ready], todo[~ready]
+            ids = self.expanded(self.rules[now].ravel())
+            n = self.rule_tokens[now]
+            self.flat[np.repeat(self.rule_at[now] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+            done[self.vocab + now] = True
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         rule = symbols >= self.vocab
