@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import BOX, in_box
 
 
+#: Prices that are plausible, in cents per litre.
+BOUNDS = (80.0, 300.0)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A row breaks it where broken is true; null means that it doesn't."""
@@ -27,7 +32,7 @@ def not_null(column: str) -> Rule:
     return Rule(f"not_null_{column}", column, F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")) == "", "critical")
 
 
-def bounds(column: str, low: float = 80.0, high: float = 300.0) -> list[Rule]:
+def bounds(column: str, low: float = BOUNDS[0], high: float = BOUNDS[1]) -> list[Rule]:
     """Null is skipped; what is no number is quarantined; what is out of bounds is flagged."""
     x = F.col(column).try_cast("double")
     return [
@@ -59,10 +64,12 @@ def from_config(entries: list[dict]) -> list[Rule]:
     """Rules from entries such as {"rule": "between", "column": "price", "min": 80, "max": 300, "severity": "warning"}.
 
     Kinds: not_null, is_numeric, between, greater_than, is_date, is_timestamp, in_set, valid_coordinates. An unknown kind raises
-    ValueError. unique_combination isn't a condition on a row: see duplicates().
+    ValueError. unique_combination isn't a condition on a row but on all of them: unique_keys() has those entries' columns, for duplicates().
     """
     out = []
     for e in entries:
+        if e["rule"] == "unique_combination":
+            continue
         kind, column = e["rule"], e.get("column", "")
         x = F.col(column).try_cast("double") if column else None
         made = {
@@ -81,6 +88,35 @@ def from_config(entries: list[dict]) -> list[Rule]:
     return out
 
 
+def unique_keys(entries: list[dict]) -> list[list[str]]:
+    return [e["columns"] for e in entries if e["rule"] == "unique_combination"]
+
+
+def configured_issues(rows: DataFrame, entries: list[dict], identifier: str, source: str, target: str) -> DataFrame:
+    """issues() of all entries of a configuration, those on combinations of columns included: every row behind the first of its key breaks such a rule."""
+    found = issues(rows, from_config(entries), identifier, source, target)
+    for key in unique_keys(entries):
+        again = duplicates(rows, key, [identifier])
+        found = found.unionByName(issue_rows(again, identifier, f"unique_{'_'.join(key)}", "warning", ",".join(key), identifier, source, target).select(*found.columns))
+    return found
+
+
+def issue_rows(rows: DataFrame, identifier: str, rule: str, severity: str, columns: str, value: str, source: str, target: str) -> DataFrame:
+    """Every row as an issue, of a rule that is no condition on single rows."""
+    record = F.col(identifier).cast("string")
+    action = "quarantined" if severity in ("error", "critical", "warning") and not rule.startswith("unique_") else "flagged"
+    return rows.select(
+        F.sha2(F.concat_ws("||", record, F.lit(rule)), 256).alias("issue_id"), F.lit(source).alias("source_table"), F.lit(target).alias("target_table"), F.lit(rule).alias("rule_name"), F.lit(severity).alias("severity"),
+        F.lit(columns).alias("column_name"), record.alias("record_identifier"), F.lit(action).alias("action_taken"), F.col(value).cast("string").alias("raw_value"),
+    )
+
+
+def looks_ahead(df: DataFrame) -> list[str]:
+    """The window expressions of df's plan that read rows behind the current one: features must have none."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return sorted(set(re.findall(r"lead\([^)]*\)|\w+\([^()]*\) windowspecdefinition\([^)]*(?:unboundedfollowing|, [1-9][0-9]*\)|[0-9]+ following)[^)]*\)", plan, re.IGNORECASE)))
+
+
 def issues(rows: DataFrame, rules: list[Rule], identifier: str, source: str, target: str) -> DataFrame:
     """A row for each broken rule of each row, in one pass; issue_id is a hash of record and rule, so reruns find it again."""
     found = F.filter(F.array(*(F.when(r.broken, F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.column).alias("column_name"), F.lit(r.action).alias("action_taken"))) for r in rules)), lambda x: x.isNotNull())

@@ -40,3 +40,8 @@ def latest_row(rows: DataFrame, key: list[str], by: str) -> DataFrame:
 
 def first_rows(rows: DataFrame, key: list[str], order: list, n: int = 1) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def replace_all(target: DataFrame, source: DataFrame) -> DataFrame:
+    """source in target's columns: delete everything, then insert."""
+    return source.select(*target.columns)

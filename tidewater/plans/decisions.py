@@ -54,6 +54,34 @@ def in_folds(rows: DataFrame, folds: list[tuple], day: str = "market_date") -> D
     return rows.join(F.broadcast(f), F.col(day).between(F.col("test_start"), F.col("test_end")))
 
 
+def calibration_slices(rows: DataFrame, folds: list[tuple], validation_days: int, day: str = "market_date") -> DataFrame:
+    """rows in each fold with its slice: fit, then validation (the last days of training), then test. A row comes once for each fold that has it."""
+    spark = rows.sparkSession
+    table = [(k, a, b - timedelta(days=validation_days), b, c, d) for k, a, b, c, d in folds]
+    f = spark.createDataFrame(table, "fold int, train_start date, fit_end date, train_end date, test_start date, test_end date")
+    at = F.col(day)
+    where = F.when(at.between(F.col("train_start"), F.col("fit_end")), "fit").when(at.between(F.date_add("fit_end", 1), F.col("train_end")), "validation").when(at.between(F.col("test_start"), F.col("test_end")), "test")
+    return rows.join(F.broadcast(f), where.isNotNull()).withColumn("slice", where).drop("train_start", "fit_end", "train_end", "test_start", "test_end")
+
+
+def training_set(inputs: DataFrame, eligibility: DataFrame, labels: DataFrame) -> DataFrame:
+    """The inputs of eligible series beside the labels of their fuel and day; the only place where both meet."""
+    good = eligibility.where("is_eligible").select(*SERIES)
+    return inputs.join(good, SERIES, "left_semi").join(labels.select("fuel_type", "market_date", "jump_today", "jump_within_48h"), ["fuel_type", "market_date"])
+
+
+def daily_scoring(inputs: DataFrame, eligibility: DataFrame, train_end: date, lookback_days: int = 60) -> DataFrame:
+    """What is to be scored: eligible series on the last day that any of them has, with days_since_price_change in the look-back.
+
+    No rows if that day isn't behind train_end: a model must not score what it has learned from.
+    """
+    good = inputs.join(eligibility.where("is_eligible").select(*SERIES), SERIES, "left_semi")
+    last = good.agg(F.max("market_date").alias("score_date"))
+    recent = good.join(F.broadcast(last), F.col("market_date") >= F.date_sub("score_date", lookback_days)).where(F.col("score_date") > F.lit(train_end))
+    counted = with_rows_unchanged(recent, "daily_close_price_cpl", series(SERIES, "market_date"), "days_since_price_change")
+    return counted.withColumn("days_since_price_change", F.col("days_since_price_change").cast("long")).where("market_date = score_date").drop("score_date")
+
+
 def sensitivity(changes: DataFrame, thresholds: list[float]) -> DataFrame:
     """Jumps at each threshold by fuel: events, days, frequency, median size and least gap."""
     w = Window.partitionBy("fuel_type").orderBy("market_date")
@@ -90,12 +118,12 @@ def majority_vote(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("fuel_type", "market_date").agg((F.avg(F.col("predicted").cast("int")) >= 0.5).alias("predicted"), F.max("jump_today").alias("jump_today"))
 
 
-def warnings(days: DataFrame, max_lead: int = 2) -> DataFrame:
+def warnings(days: DataFrame, max_lead: int = 2, by: tuple[str, ...] = ("fuel_type",)) -> DataFrame:
     """By fuel: warnings, those followed by a jump within max_lead rows, false alarms, mean lead, jumps and jumps warned of."""
-    w = series(["fuel_type"], "market_date")
+    w = series(list(by), "market_date")
     leads = [F.when(F.lead("jump_today", k).over(w), k) for k in range(1, max_lead + 1)]
     rows = days.withColumn("_n", F.row_number().over(w)).withColumn("_lead", F.when(F.col("predicted"), F.coalesce(*leads)))
-    return rows.groupBy("fuel_type").agg(
+    return rows.groupBy(*by).agg(
         F.count_if("predicted").alias("warnings"),
         F.count("_lead").alias("matched_warnings"),
         F.count_if(F.col("predicted") & F.col("_lead").isNull()).alias("false_alarms"),
@@ -106,27 +134,46 @@ def warnings(days: DataFrame, max_lead: int = 2) -> DataFrame:
     )
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
 def threshold_sweep(scores: DataFrame, params: ThresholdParams = ThresholdParams()) -> DataFrame:
-    """Precision, recall, F1 and false-positive rate of every threshold by fuel; scores: fuel_type, probability, actual."""
+    """Measures of every threshold by fuel: precision, recall, F1 and false-positive rate of rows; warnings (alerts), false alarms per 30 market days
+    and mean lead of market days by majority vote. scores: fuel_type, market_date, probability, actual, jump_today.
+
+    Rows are counted once by fuel, day and threshold; everything else comes from that small table.
+    """
     rows = scores.withColumn("threshold", F.explode(F.lit(list(params.grid)))).withColumn("_p", F.col("probability") >= F.col("threshold"))
-    n = rows.groupBy("fuel_type", "threshold").agg(
-        F.count_if(F.col("_p") & F.col("actual")).alias("tp"), F.count_if(F.col("_p") & ~F.col("actual")).alias("fp"), F.count_if(~F.col("_p") & F.col("actual")).alias("fn"), F.count_if(~F.col("_p") & ~F.col("actual")).alias("tn")
-    )
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    n = n.withColumns({"alerts": F.col("tp") + F.col("fp"), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "false_positive_rate": ratio(F.col("fp"), F.col("fp") + F.col("tn"))})
-    return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    kinds = {"tp": F.col("_p") & F.col("actual"), "fp": F.col("_p") & ~F.col("actual"), "fn": ~F.col("_p") & F.col("actual"), "tn": ~F.col("_p") & ~F.col("actual")}
+    days = rows.groupBy("fuel_type", "threshold", "market_date").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()), F.max("jump_today").alias("jump_today"))
+    by = ["fuel_type", "threshold"]
+    n = days.groupBy(*by).agg(*(F.sum(k).alias(k) for k in kinds))
+    n = n.withColumns({"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn")), "false_positive_rate": _ratio(F.col("fp"), F.col("fp") + F.col("tn"))})
+    n = n.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    voted = days.withColumn("predicted", 2 * (F.col("tp") + F.col("fp")) >= F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    warned = warnings(voted, by=tuple(by))
+    return n.join(warned.select(*by, F.col("warnings").alias("alerts"), (30.0 * F.col("false_alarms") / F.col("market_days")).alias("false_alarms_per_month"), "avg_lead_days"), by)
 
 
 def threshold_choice(candidates: DataFrame, params: ThresholdParams = ThresholdParams()) -> DataFrame:
-    """By fuel the qualifying threshold of the highest F1, the lowest of equals; else the fallback."""
-    good = F.col("recall") >= params.min_recall
-    if "false_alarms_per_month" in candidates.columns:
-        good &= (F.col("false_alarms_per_month") <= params.max_false_alarms) & F.coalesce(F.col("avg_lead_days") >= params.min_lead_days, F.lit(False))
+    """By fuel the threshold of the highest F1, the lowest of equals, among those with enough recall, few enough false alarms and enough lead; else the fallback."""
+    lead = F.coalesce(F.col("avg_lead_days") >= params.min_lead_days, F.lit(False))
+    good = (F.col("recall") >= params.min_recall) & (F.col("false_alarms_per_month") <= params.max_false_alarms) & lead
     best = F.max_by("threshold", F.when(good, F.struct("f1", -F.col("threshold"))))
     chosen = candidates.groupBy("fuel_type").agg(best.alias("chosen"), F.bool_or(good).alias("qualified"))
     return chosen.select("fuel_type", F.when(F.col("qualified"), F.col("chosen")).otherwise(params.fallback).alias("threshold"), (~F.col("qualified")).alias("is_fallback"))
 
 
+def row_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """By fuel: precision, recall, F1, average precision (null without a positive) and rates of positives, over single rows."""
+    p, a = F.col("probability") >= threshold, F.col("actual")
+    n = scores.groupBy("fuel_type").agg(F.count_if(p & a).alias("tp"), F.count_if(p).alias("alerts"), F.count_if(a).alias("positives"), F.count("*").alias("row_count"))
+    n = n.withColumns({"precision": _ratio(F.col("tp"), F.col("alerts")), "recall": _ratio(F.col("tp"), F.col("positives"))})
+    n = n.withColumns({"f1": _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), "positive_rate_actual": F.col("positives") / F.col("row_count"), "positive_rate_predicted": F.col("alerts") / F.col("row_count")})
+    return n.join(average_precision(scores), "fuel_type").drop("tp", "alerts", "positives")
+
+
 def average_precision(scores: DataFrame) -> DataFrame:
     """By fuel, the step-wise sum of precision over gains in recall at each distinct score; null without a positive."""
     by = scores.groupBy("fuel_type", "probability").agg(F.count("*").alias("n"), F.count_if("actual").alias("hits"))
@@ -150,6 +197,30 @@ def forecasts(changes: DataFrame, horizon: int, mean_rows: int = 7, trend_rows:
     ).drop("_n")
 
 
+def market_series_context(cycle: DataFrame) -> DataFrame:
+    """Weekday, holiday and mean wholesale change of a fuel's day, from the features of its series."""
+    return cycle.groupBy("fuel_type", "market_date").agg(F.max("day_of_week").alias("day_of_week"), F.max(F.col("is_public_holiday").cast("int")).alias("is_public_holiday"), F.avg("tgp_7d_change_cpl").alias("tgp_7d_change_cpl"))
+
+
+def forecast_frame(labels: DataFrame, context: DataFrame, windows: tuple[int, ...] = (7, 14), horizons: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
+    """A market series' inputs for forecasting, trailing only, and its targets at each horizon, counted in market days.
+
+    All over one partitioning by fuel. The standard deviation of a single day is 0.
+    """
+    w = series(["fuel_type"], "market_date")
+    x = F.col("market_median_price_cpl")
+    rows = labels.select("fuel_type", "market_date", "market_median_price_cpl", "market_daily_change_cpl", "jump_today").join(context, ["fuel_type", "market_date"], "left")
+    rows = rows.withColumn("is_public_holiday", F.coalesce("is_public_holiday", F.lit(0)))
+    rows = with_rows_since(rows, F.col("jump_today"), w, "days_since_last_jump").withColumn("days_since_last_jump", F.col("days_since_last_jump").cast("long"))
+    new = {}
+    for k in windows:
+        over = last_rows(w, k)
+        new |= {f"rolling_{k}d_mean_price": F.avg(x).over(over), f"rolling_{k}d_std_price": F.coalesce(F.stddev(x).over(over), F.lit(0.0)), f"rolling_{k}d_min_price": F.min(x).over(over), f"rolling_{k}d_max_price": F.max(x).over(over)}
+    for h in horizons:
+        new |= {f"target_price_h{h}": F.lead(x, h).over(w), f"target_jump_today_h{h}": F.lead("jump_today", h).over(w), f"target_daily_change_h{h}": F.lead("market_daily_change_cpl", h).over(w)}
+    return rows.withColumns(new)
+
+
 def forecast_metrics(forecast: DataFrame, by: list[str]) -> DataFrame:
     """MAE, RMSE, MAPE (without zero actuals), WAPE and directional accuracy of each method. Rows without an actual or a forecast don't count."""
     rows = forecast.unpivot([*by, "market_median_price_cpl", "actual"], ["persistence", "moving_average", "trend"], "method", "predicted").where("actual is not null and predicted is not null")

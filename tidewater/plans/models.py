@@ -10,9 +10,16 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Inputs of the jump classifier, and of the forecasts at a market's grain; names of the feature tables' columns.
 FEATURES = [
-    "daily_close_price_cpl", "market_median_price_cpl", "station_price_percentile", "station_vs_competitor_median_cpl", "competitor_count", "indicative_margin_cpl", "margin_compression_cpl",
-    "rolling_7d_mean_price", "rolling_7d_std_price", "rolling_14d_min_price", "rolling_14d_max_price", "days_since_local_minimum", "days_since_last_detected_jump", "price_position_within_14d_range", "day_of_week",
+    "daily_close_price_cpl", "market_median_price_cpl", "local_competitor_median_price_cpl", "local_competitor_min_price_cpl", "local_competitor_max_price_cpl",
+    "station_price_percentile", "station_vs_competitor_median_cpl", "rank_within_local_market", "competitor_count", "tgp_cpl", "indicative_margin_cpl", "margin_compression_cpl",
+    "rolling_7d_min_price", "rolling_7d_max_price", "rolling_7d_mean_price", "rolling_7d_std_price", "rolling_14d_min_price", "rolling_14d_max_price", "rolling_14d_price_change_cpl",
+    "days_since_local_minimum", "days_since_last_detected_jump", "price_position_within_14d_range", "tgp_7d_change_cpl", "day_of_week", "is_public_holiday",
+]
+MARKET_FEATURES = [
+    "market_median_price_cpl", "market_daily_change_cpl", "rolling_7d_mean_price", "rolling_7d_std_price", "rolling_7d_min_price", "rolling_7d_max_price",
+    "rolling_14d_mean_price", "rolling_14d_std_price", "rolling_14d_min_price", "rolling_14d_max_price", "days_since_last_jump", "tgp_7d_change_cpl", "day_of_week", "is_public_holiday",
 ]
 
 
@@ -24,12 +31,12 @@ def _front(features: list[str]) -> list:
     return [StringIndexer(inputCol="fuel_type", outputCol="f_fuel", handleInvalid="keep"), VectorAssembler(inputCols=[*(f"f_{c}" for c in features), "f_fuel"], outputCol="_features")]
 
 
-def jump_classifier(rows: DataFrame, label: str = "jump_within_48h", features: list[str] = FEATURES, trees: int = 20, seed: int = 42) -> PipelineModel:
+def jump_classifier(rows: DataFrame, label: str = "jump_within_48h", features: list[str] = FEATURES, trees: int = 200, seed: int = 42) -> PipelineModel:
     """A classifier on balanced classes: each class weighs half."""
     n = rows.agg(F.count("*").alias("n"), F.count_if(label).alias("p")).first()
     weight = F.when(F.col(label), n.n / (2 * max(n.p, 1))).otherwise(n.n / (2 * max(n.n - n.p, 1)))
     ready = _ready(rows, features).withColumns({"_label": F.col(label).cast("double"), "_weight": weight})
-    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=5, stepSize=0.1, seed=seed)
+    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed)
     return Pipeline(stages=[*_front(features), model]).fit(ready)
 
 
@@ -38,10 +45,20 @@ def jump_probabilities(model: PipelineModel, rows: DataFrame, features: list[str
     return out.select(*rows.columns, "jump_probability")
 
 
-def price_regressor(rows: DataFrame, label: str, features: list[str], trees: int = 20, seed: int = 42) -> PipelineModel:
+def price_regressor(rows: DataFrame, label: str, features: list[str], trees: int = 300, seed: int = 42) -> PipelineModel:
     ready = _ready(rows, features).withColumn("_label", F.col(label)).where("_label is not null")
-    return Pipeline(stages=[*_front(features), GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=4, seed=seed)]).fit(ready)
+    return Pipeline(stages=[*_front(features), GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed)]).fit(ready)
 
 
 def predicted_prices(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(_ready(rows, features)).select(*rows.columns, F.col("prediction").alias("predicted_price"))
+
+
+def horizon_forecasts(frame: DataFrame, train_end, horizons: tuple[int, ...] = (1, 3, 7), features: list[str] = MARKET_FEATURES, trees: int = 300) -> DataFrame:
+    """frame's rows after train_end with forecast_{h}d and forecast_{h}d_change_cpl: one regressor a horizon, fitted on the days up to train_end."""
+    out = frame.where(F.col("market_date") > F.lit(train_end))
+    for h in horizons:
+        model = price_regressor(frame.where(F.col("market_date") <= F.lit(train_end)), f"target_price_h{h}", features, trees)
+        out = predicted_prices(model, out, features).withColumnRenamed("predicted_price", f"forecast_{h}d")
+        out = out.withColumn(f"forecast_{h}d_change_cpl", F.col(f"forecast_{h}d") - F.col("market_median_price_cpl"))
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater import queries_decisions, queries_features, queries_quality
+from tidewater import queries_decisions, queries_features, queries_quality, queries_scoring, queries_stations
 
-QUERIES: dict = {**queries_features.QUERIES, **queries_decisions.QUERIES, **queries_quality.QUERIES}
-SQL: dict[str, str] = {**queries_features.SQL, **queries_decisions.SQL, **queries_quality.SQL}
+MODULES = (queries_features, queries_decisions, queries_scoring, queries_quality, queries_stations)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -97,17 +97,25 @@ def warning_eval(spark, sf_dir):
     return round_doubles(D.warnings(majority_vote(spark, sf_dir)))
 
 
-SWEEP = """select fuel_type, threshold, tp, fp, fn, tn, tp + fp alerts, coalesce(tp::double / nullif(tp + fp, 0), 0) as precision, coalesce(tp::double / nullif(tp + fn, 0), 0) recall, coalesce(fp::double / nullif(fp + tn, 0), 0) false_positive_rate,
-    coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) f1 from (select fuel_type, threshold, count(*) filter (p and actual) tp, count(*) filter (p and not actual) fp, count(*) filter (not p and actual) fn, count(*) filter (not p and not actual) tn
-    from (select fuel_type, actual, threshold, probability >= threshold p from scores, (select unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::double[]) threshold) g) a group by 1, 2) b"""
+SWEEP_DAYS = """select fuel_type, threshold, market_date, count(*) filter (p and actual) tp, count(*) filter (p and not actual) fp, count(*) filter (not p and actual) fn, count(*) filter (not p and not actual) tn, max(jump_today) jump_today
+    from (select fuel_type, market_date, actual, jump_today, threshold, probability >= threshold p from scores, (select unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::double[]) threshold) g) a group by 1, 2, 3"""
+SWEEP = f"""select n.*, w.alerts, w.false_alarms_per_month, w.avg_lead_days from (select fuel_type, threshold, tp, fp, fn, tn, coalesce(tp::double / nullif(tp + fp, 0), 0) as precision, coalesce(tp::double / nullif(tp + fn, 0), 0) recall, coalesce(fp::double / nullif(fp + tn, 0), 0) false_positive_rate,
+    coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) f1 from (select fuel_type, threshold, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn, sum(tn)::bigint tn from ({SWEEP_DAYS}) d group by 1, 2) b) n
+    join (select fuel_type, threshold, count(*) filter (predicted) alerts, 30.0::double * count(*) filter (predicted and lead_ is null) / count(*) false_alarms_per_month, avg(lead_) avg_lead_days
+    from (select *, case when predicted then case when lead(jump_today) over w then 1 when lead(jump_today, 2) over w then 2 end end lead_ from (select *, 2 * (tp + fp) >= tp + fp + fn + tn predicted from ({SWEEP_DAYS}) d) v
+    window w as (partition by fuel_type, threshold order by market_date)) y group by 1, 2) w using (fuel_type, threshold)"""
+MEASURED = ["precision", "recall", "false_positive_rate", "f1", "false_alarms_per_month", "avg_lead_days"]
 
 
-@query(f"select fuel_type, threshold, tp, fp, fn, tn, alerts, {rounded(['precision', 'recall', 'false_positive_rate', 'f1'])} from ({SWEEP}) s")
+@query(f"select fuel_type, threshold, tp, fp, fn, tn, alerts, {rounded(MEASURED)} from ({SWEEP}) s")
 def threshold_sweep(spark, sf_dir):
     return round_doubles(D.threshold_sweep(scores(spark, sf_dir)))
 
 
-@query(f"select fuel_type, coalesce(arg_min(threshold, (-f1, threshold)) filter (recall >= 0.3), 0.5) threshold, count(*) filter (recall >= 0.3) = 0 is_fallback from (select fuel_type, threshold, recall, round(f1, 9) f1 from ({SWEEP}) s) t group by 1")
+QUALIFIES = "recall >= 0.3 and false_alarms_per_month <= 6 and coalesce(avg_lead_days >= 1, false)"
+
+
+@query(f"select fuel_type, coalesce(arg_min(threshold, (-f1, threshold)) filter ({QUALIFIES}), 0.5) threshold, count(*) filter ({QUALIFIES}) = 0 is_fallback from (select fuel_type, threshold, recall, false_alarms_per_month, avg_lead_days, round(f1, 9) f1 from ({SWEEP}) s) t group by 1")
 def threshold_choice(spark, sf_dir):
     return D.threshold_choice(D.threshold_sweep(scores(spark, sf_dir)).withColumn("f1", F.round("f1", 9)))
 
@@ -224,9 +232,9 @@ def fuel_status(spark, sf_dir):
     return D.fuel_status(spark, summary(spark, sf_dir))
 
 
-@query(f"""select floor_, fuel_type, count(*) filter (action = 'FOLLOW') follow_count, count(*) filter (guardrail_triggered) interventions, round(avg(hypothetical_margin), 4) avg_margin from ({decided_sql('g_floor', f'select * from ({INPUTS}) i0, (select unnest([0.0, 1.0, 2.0, 3.0, 4.0, 5.0]::double[]) g_floor) g')}) p group by 1, 2""")
+@query(f"""select floor_, fuel_type, count(*) filter (action = 'FOLLOW') follow_count, count(*) filter (guardrail_triggered) interventions, round(avg(hypothetical_margin), 4) avg_margin from ({decided_sql('g_floor', f'select * from ({INPUTS}) i0, (select unnest([0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]::double[]) g_floor) g')}) p group by 1, 2""")
 def guardrail_sweep(spark, sf_dir):
-    rows = policy_inputs(spark, sf_dir).withColumn("floor_", F.explode(F.lit([0.0, 1.0, 2.0, 3.0, 4.0, 5.0])))
+    rows = policy_inputs(spark, sf_dir).withColumn("floor_", F.explode(F.lit([k / 2 for k in range(11)])))
     d = D.decided(rows, floor=F.col("floor_"))
     return round_doubles(d.groupBy("floor_", "fuel_type").agg(F.count_if(F.col("action") == "FOLLOW").alias("follow_count"), F.count_if("guardrail_triggered").alias("interventions"), F.avg("hypothetical_margin").alias("avg_margin")))
 

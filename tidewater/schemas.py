@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINEAGE = "_ingested_at timestamp, _source_name string, _source_url string, _source_file string, _source_record_hash string, _pipeline_run_id string"
+KEY = "station_id string, fuel_type string, market_date date"
 TABLES = {
     "raw_prices": f"station_name string, address string, suburb string, postcode string, brand string, fuel_code string, last_updated string, price double, raw_json string, {LINEAGE}",
     "raw_stations": f"station_id string, station_name string, brand string, address string, suburb string, postcode string, latitude double, longitude double, {LINEAGE}",
@@ -19,6 +20,17 @@ TABLES = {
     "holidays": "holiday_date date, holiday_name string, state string, is_national boolean",
     "competitor_pairs": "station_id string, competitor_station_id string, distance_km double",
     "quality_issues": "issue_id string, source_table string, target_table string, rule_name string, severity string, column_name string, record_identifier string, action_taken string",
+    "station_daily_market": f"{KEY}, daily_open_price_cpl double, daily_close_price_cpl double, daily_min_price_cpl double, daily_max_price_cpl double, daily_observation_count long, last_observed_at timestamp, market_median_price_cpl double, competitor_count long, local_competitor_min_price_cpl double, local_competitor_max_price_cpl double, local_competitor_median_price_cpl double, local_competitor_mean_price_cpl double, rank_within_local_market long, station_price_percentile double, price_vs_market_median_cpl double, station_vs_competitor_median_cpl double",
+    "competitor_positioning": f"{KEY}, competitor_station_id string, competitor_brand string, distance_km double, station_price_cpl double, competitor_price_cpl double, price_difference_cpl double, is_cheapest_local boolean, rank_in_local_market long",
+    "indicative_margin": f"{KEY}, retail_price_cpl double, tgp_cpl double, tgp_match_type string, indicative_margin_cpl double, price_tgp_spread_cpl double, margin_vs_7d_avg_cpl double, margin_percentile_30d double",
+    "market_cycle_features": f"{KEY}, rolling_7d_min_price double, rolling_7d_max_price double, rolling_7d_mean_price double, rolling_7d_std_price double, rolling_14d_min_price double, rolling_14d_max_price double, rolling_14d_price_change_cpl double, days_since_local_minimum long, days_since_last_detected_jump long, price_position_within_14d_range double, market_median_price_cpl double, market_daily_change_cpl double, tgp_7d_change_cpl double, margin_compression_cpl double, day_of_week long, is_public_holiday boolean",
+    "daily_pricing_inputs": f"{KEY}, daily_close_price_cpl double, market_median_price_cpl double, local_competitor_median_price_cpl double, local_competitor_min_price_cpl double, local_competitor_max_price_cpl double, station_price_percentile double, station_vs_competitor_median_cpl double, rank_within_local_market long, competitor_count long, tgp_cpl double, indicative_margin_cpl double, margin_compression_cpl double, rolling_7d_min_price double, rolling_7d_max_price double, rolling_7d_mean_price double, rolling_7d_std_price double, rolling_14d_min_price double, rolling_14d_max_price double, rolling_14d_price_change_cpl double, days_since_local_minimum long, days_since_last_detected_jump long, price_position_within_14d_range double, tgp_7d_change_cpl double, day_of_week long, is_public_holiday boolean",
+    "price_jump_labels": "fuel_type string, market_date date, market_median_price_cpl double, market_daily_change_cpl double, jump_today boolean, jump_within_24h boolean, jump_within_48h boolean",
+    "model_eligibility": "station_id string, fuel_type string, total_observations long, span_days long, extreme_changes long, extreme_change_rate double, is_eligible boolean, exclusion_reason string",
+    "recommendations": f"{KEY}, policy_mode string, action string, reason string, recommendation_status string, guardrail_triggered boolean, jump_signal_used boolean, forecast_signal_used boolean, price double, jump_threshold double, hypothetical_price double, hypothetical_margin double",
+    "pipeline_runs": "run_id string, pipeline string, started_at timestamp, finished_at timestamp, status string, error string",
+    "quality_results": "run_id string, checked_at timestamp, table_name string, rule_name string, severity string, issue_count long, record_count long, pass_rate double, status string, details string",
+    "source_freshness": "source_name string, last_observed_at timestamp, hours_old double, is_stale boolean, checked_at timestamp",
 }
 
 
