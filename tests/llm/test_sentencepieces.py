@@ -73,7 +73,7 @@ def test_ids_are_the_backends(monkeypatch):
     c = S.Codec(PATH)
     right = c.encode(["some text"])[0]
     assert right[1] and right[2]
-    c.units.known.clear()
+    c.units.known = c.units.known[:0]
     from tokenizers import normalizers
 
     c.tokenizer.normalizer = normalizers.Replace("e", "o")

@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,22 +55,23 @@ class Runs:
     """
 
     def __init__(self, new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], kept: int, dtype: type, flags: int = 0):
-        self.new, self.kept, self.known = new, kept, dict[str, int]()
+        self.new, self.kept, self.known = new, kept, pa.array([], pa.large_string())
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.flags = np.zeros(0, dtype), np.zeros((0, flags), bool)
 
-    def numbers(self, runs: list[str]) -> np.ndarray:
+    def numbers(self, runs: pa.Array) -> np.ndarray:
         """A number for each of the distinct runs, by which the arrays know it until forget()."""
-        numbers = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        numbers = pc.fill_null(pc.index_in(runs, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            order, ids, lengths, flags = self.new([runs[i] for i in missing])
+            order, ids, lengths, flags = self.new(runs.take(pa.array(missing)).to_pylist())
             missing = missing[order]
             numbers[missing] = np.arange(len(self.length), len(self.length) + len(missing))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(lengths) - lengths]
             self.length, self.flat, self.flags = np.r_[self.length, lengths], np.r_[self.flat, ids], np.r_[self.flags, flags]
-            for i in missing[: max(0, self.kept - len(self.known))].tolist():
-                self.known[runs[i]] = int(numbers[i])
+            kept = missing[: max(0, self.kept - len(self.known))]
+            if len(kept):
+                self.known = pa.concat_arrays([self.known, runs.take(pa.array(kept))])
         return numbers
 
     def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -193,7 +193,7 @@ class Codec:
         else:
             runs, counts = texts, np.ones(len(texts), np.int64)
         coded = runs.dictionary_encode()
-        numbers = self.units.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(runs) else np.zeros(0, np.int64)
+        numbers = self.units.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(runs) else np.zeros(0, np.int64)
         ids, upto = self.units.gathered(numbers)
         flags = np.r_[np.zeros((1, 2), np.int64), np.cumsum(~self.units.flags[numbers], axis=0)]
         self.units.forget()

@@ -3,7 +3,8 @@
 Documents are range partitioned and sorted by doc_id; a task encodes its documents in order and closes a shard whenever
 SHARD_TOKENS ids have come together. A shard is compressed by Re-Pair: frequent pairs of neighbouring ids are replaced by new ids
 (nonterminals) until no pair occurs often enough to pay for its rule. Pairs are replaced in rounds of falling frequency; those of one
-round don't overlap each other, and of a run of one id every other pair counts. No rule reaches across the end of a document, so
+round don't overlap each other, and of a run of one id every other pair counts. Where the vocabulary is below 2^16, so are the
+nonterminals: wider ids would cost more than further rules save. No rule reaches across the end of a document, so
 a document is a range of the compressed sequence.
 
 File format: Parquet, one row a shard, in the order of shard: shard, doc_ids, doc_tokens (ids of each document), doc_at (where each
@@ -40,7 +41,7 @@ SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes: its pair and its expansion length. A pair pays from the occurrence on that saves more, at 2 or 4 bytes an id.
 RULE_BYTES = 12
 #: Each round takes pairs that are at least one FALL-th as frequent as those of the round before.
-FALL = 8
+FALL = 4
 #: Slots in which a round counts pairs: 2 to this power.
 SLOT_BITS = 18
 #: Runs that a worker keeps, and bytes of text that it encodes at once.
@@ -101,7 +102,7 @@ class Encoder:
         split = pc.ascii_split_whitespace(self._prepared(pc.fill_null(texts.cast(pa.large_string()), "")))
         offsets = np.asarray(split.offsets, np.int64)
         offsets, words = offsets - offsets[0], split.flatten().dictionary_encode()
-        numbers = self.runs.numbers(words.dictionary.to_pylist())
+        numbers = self.runs.numbers(words.dictionary)
         ids, upto = self.runs.gathered(numbers[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64))
         self.runs.forget()
         return ids, np.diff(upto[offsets])
@@ -137,18 +138,21 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
     last = np.arange(vocab) == end_id  # symbols that end a document
     pays = RULE_BYTES // (2 if vocab < 1 << 16 else 4) + 1
-    limit = None
+    limit, among = None, None
     while True:
         # Pairs are counted by slots of a hash first; what a slot holds is at least as many as each pair in it, so only full ones are looked into.
-        left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOT_BITS)
+        # Once every pair that pays may be taken, only those that were looked into or lie beside a new symbol can still pay: among.
+        left, right = (seq[:-1], seq[1:]) if among is None else (seq[among], seq[among + 1])
+        slot = (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
         held = np.bincount(slot, minlength=1 << SLOT_BITS)
         most = int(held.max())
         if most < pays:
             break
         limit = max(pays, most // FALL if limit is None else min(limit // FALL, most))
-        places = np.flatnonzero((held >= limit)[slot] & ~last[left])
+        places = np.flatnonzero((held >= limit)[slot])
+        places = places[~last[left[places]]]
         pairs = (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
+        places = places if among is None else among[places]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
         counts = np.diff(first, append=len(ordered))
@@ -158,7 +162,9 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
                 break
             continue
         found = ordered[first[often[np.argsort(-counts[often], kind="stable")]]]
-        found = found[_apart(found)]
+        found = found[_apart(found)][: (1 << 16) - len(lengths) if vocab < 1 << 16 else None]
+        if not len(found):  # ids of over 16 bits would cost more than further rules save
+            break
         # A table without collisions finds their places: of pairs with one slot, one is replaced now and the others in a later round.
         slots, one = np.unique(_slots(found, SLOT_BITS), return_index=True)
         found, of_slot = found[one], np.zeros(1 << SLOT_BITS, np.int32)
@@ -179,6 +185,10 @@ def compressed(ids: np.ndarray, vocab: int, end_id: int = END_ID) -> tuple[np.nd
         seq[at] = by
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        if limit == pays:
+            beside = np.zeros(len(seq), bool)
+            beside[places] = beside[at] = beside[np.maximum(at, 1) - 1] = True
+            among = np.flatnonzero(beside[keep][:-1])
         seq = seq[keep]
         rules.append(made)
         lengths = np.r_[lengths, lengths[made].sum(axis=1)]
