@@ -101,3 +101,25 @@ def test_runs_against_all_runs():
         lone = [d for x in own for d, _ in known.best(L.bigrams(x), max(1, len(x) - 1))]
         got = max([0, *lone, *(d for d, *_ in L.runs(text, known))])
         assert got == (pytest.approx(best) if best >= 0.8 else 0), text
+
+
+def _dice(a: str, b: str) -> float:
+    """By the definition, with nothing of the module's own."""
+    import re
+
+    x, y = (re.findall(r"[^\W_]+", t.lower()) for t in (a, b))
+    x, y = Counter(zip(x, x[1:])), Counter(zip(y, y[1:]))
+    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+
+
+def test_usual_forms_of_complete_texts():
+    known = L.Templates(L.TEMPLATES, L.THRESHOLD)
+    parts = [MIT[: MIT.index("The above")], MIT[MIT.index("The above") : MIT.index("THE SOFTWARE IS")], MIT[MIT.index("THE SOFTWARE IS") :]]
+    readme = "# A tool\n\nIt does things.\n\n" + "\n\n".join(parts) + "\n\nThanks to all who helped with it."
+    assert L.scanned(readme, known)[1] == "MIT"
+    assert L.scanned("\n".join(f"Copyright (c) {1900 + k} Somebody Else And Others" for k in range(400)) + "\n\n" + MIT, known)[:3] == (["MIT"], "MIT", 1.0)
+    for name in ("BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "GPL-3.0"):
+        text = max((t for n, t in L.TEMPLATES if n == name), key=len)
+        changed = text.replace("HOLDER", "OWNER").replace("AUTHOR", "MAKER")
+        assert _dice(changed, text) >= 0.8
+        assert L.scanned(changed, known)[1] == name, name

@@ -8,7 +8,7 @@ can't exceed 2 min(m, n) / (m + n), so only templates whose size lies within [m
 
 Defined results, a row for each row of docs: doc_id, licenses (SPDX-like names found, sorted), license (that of the highest
 coefficient; ties: the first template), dice (0 if none is found), segments (how many segments matched; the same words twice
-count twice). Null or empty text: no licence. An empty table gives no rows. Other columns are neither read nor returned.
+count twice). Very long texts are read whole. Null or empty text: no licence. An empty table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -264,9 +264,6 @@ def scanned(text: str | None, templates: Templates) -> tuple[list[str], str | No
     known, t = templates.words, templates.threshold
     whole = []
     for k, s in enumerate(segments(text) if text else []):
-        if len(s) > 60 * (most + 1):  # words of over 58 letters on average: no template has such
-            if s.count(" ") + s.count("\n") > most + 1:
-                continue
         w = words(s)
         size = max(1, len(w) - 1)
         # Every matching bigram needs two of the templates' words.

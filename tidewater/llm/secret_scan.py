@@ -1,14 +1,15 @@
 """Secret scan with false-positive removal by a random forest, with DataFrame operations only.
 
-Candidates are runs of at least 16 characters of keys and hashes with a digit, or an upper-case letter behind a lower-case one,
-in the words of a text. A random forest looks at each one's length, character transitions, dictionary coverage, the path it
-stands in and its neighbouring words, and is trained from labelled findings. labelled_findings() makes a labelled set from patterns of
-public key formats, with look-alikes (commit ids, checksums, UUIDs, card numbers, identifiers, paths, placeholders); fit() takes any
-other with the same columns.
+Candidates in the words of a text: runs of at least 16 characters of keys and hashes with a digit, or an upper-case letter behind a
+lower-case one; such runs with the beginning of a known kind of key, whatever follows; what is assigned to a word that names a secret, of six
+characters or more, with any punctuation; passwords in URLs. Of candidates within each other the longest counts. A random forest looks at
+each one's length, character transitions, dictionary coverage, the path it stands in and its neighbouring words, and is trained from
+labelled findings. labelled_findings() makes a labelled set from patterns of public key formats and passwords, with look-alikes (commit ids,
+checksums, UUIDs, card numbers, identifiers, paths, placeholders, settings); fit() takes any other with the same columns.
 
 Defined results, a row for each secret: doc_id, word_pos (number of the word in the text, from 0), part (of several candidates in a word),
-secret, score. Null or empty text holds none. Rows that repeat a doc_id, or lack one, are scanned each on their own. An empty
-table gives no rows. Other columns are neither read nor returned.
+secret, score. Null or empty text holds none. Very long texts are scanned whole. A secret that occurs several times comes each time. Rows
+that repeat a doc_id, or lack one, are scanned each on their own. An empty table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from tidewater.llm.common import table
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 #: What a candidate has besides: a digit, or an upper-case letter behind a lower-case one.
 MIXED = r"[0-9]|[a-z][A-Z]"
+#: How known kinds of keys begin; fixed values.
+KEY_BEGINNINGS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "pk_live_", "xoxb-", "xoxa-", "xoxp-", "AIza", "eyJ", "glpat-"]
+#: Characters of a value that is assigned to the name of a secret, at least.
+LEAST_ASSIGNED = 6
 THRESHOLD = 0.5
 #: Words on each side that count as neighbours.
 NEIGHBOURS = 3
@@ -56,6 +61,8 @@ thread thumb time title token tool total track training transfer tree true type
 visible volume warning week width window word work world wrapper write year your zone""".split()
 #: Words that name a secret, and words that name something else of the same look; fixed values.
 SECRET_WORDS = "token secret password passwd pwd apikey api_key api-key access_key auth bearer credential private key".split()
+ASSIGNED_WORDS = "token secret password passwd passphrase pwd apikey api_key api-key access_key access-key secret_key credential credentials private_key".split()
+PLACEHOLDERS = "changeme password required optional none null false true example your_password yourpassword xxxxxx ****** ...... <password> {password} ${PASSWORD} $PASSWORD os.environ getenv() hidden redacted unknown string default empty undefined invalid expired".split()
 OTHER_WORDS = "commit checksum sha sha1 sha256 md5 hash uuid guid revision digest etag version build example sample dummy placeholder image page ref id order card phone call invoice".split()
 
 
@@ -63,17 +70,46 @@ def _any(words: list[str]) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_pos, part, candidate, word, before, after (neighbouring words), a row a candidate."""
-    words = F.split("text", r"[\x20\x09-\x0D]+")
-    at = docs.select("doc_id", words.alias("words")).select(
-        "doc_id", "words", F.array_compact(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE) & w.rlike(MIXED), i))).alias("at")
-    )
-    near = lambda i, a, b: F.array_join(F.slice("words", F.greatest(i + 1 + a, F.lit(1)), F.greatest(F.least(i + b, F.size("words")) - F.greatest(i + a, F.lit(0)), F.lit(0))), " ")
-    found = F.transform("at", lambda i: F.struct(i.alias("word_pos"), F.get("words", i).alias("word"), near(i, -NEIGHBOURS, 0).alias("before"), near(i, 1, 1 + NEIGHBOURS).alias("after")))
-    rows = at.select("doc_id", F.inline(found))
-    parts = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate"))
-    return parts.where(F.col("candidate").rlike(MIXED)).select("doc_id", "word_pos", "part", "candidate", "word", "before", "after")
+#: What names a secret, with the sign before its value; what may stand behind a value. Patterns take time in proportion to a word, however long.
+_NAMED = r"(?i)(?:{})[\"']?\s*[:=]=?".format(_any(ASSIGNED_WORDS))
+_VALUE = r"[\"']?([^\s\"']{%d,})" % LEAST_ASSIGNED
+_BEHIND = ".,;:)]}>#&$%*"
+_IN_URL = r"^[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@]+:([^\s/@]{3,})@"
+_KNOWN = f"^({'|'.join(KEY_BEGINNINGS)})"
+
+
+def _in_word(w: Column, before: Column) -> Column:
+    """The candidates in a word, the longest of each other's parts; before: the two words before it."""
+    none = F.array().cast("array<string>")
+    runs = F.filter(F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0)), lambda c: c.rlike(MIXED) | c.rlike(_KNOWN))
+    inside = F.when(w.contains("=") | w.contains(":"), F.regexp_extract(w, _NAMED + _VALUE, 1))
+    behind = F.when(before.endswith("=") | before.endswith(":"), F.when(before.rlike(_NAMED + "$"), F.regexp_extract(w, "^" + _VALUE, 1)))
+    url = F.when(w.contains("://"), F.regexp_extract(w, _IN_URL, 1))
+    values = F.filter(F.transform(F.array(inside, behind), lambda v: F.rtrim(v, F.lit(_BEHIND))), lambda v: F.coalesce(F.length(v) >= LEAST_ASSIGNED, F.lit(False)))
+    found = F.array_distinct(F.concat(F.when(F.length(w) >= 16, runs).otherwise(none), values, F.filter(F.array(url), lambda v: F.coalesce(v != "", F.lit(False)))))
+    return F.filter(found, lambda c: ~F.exists(found, lambda d: (d != c) & d.contains(c)))
+
+
+def _found(text: Column) -> Column:
+    """array<struct<word_pos, word, found>>: the words of a text that hold candidates."""
+    words = F.split(text, r"[\x20\x09-\x0D]+")
+    shifted = lambda k: F.concat(F.array(*[F.lit("")] * k), F.slice(words, 1, F.greatest(F.size(words) - k, F.lit(0))))
+    before = F.zip_with(shifted(2), shifted(1), lambda a, b: F.concat_ws(" ", a, b))
+    each = F.transform(F.zip_with(words, before, lambda w, b: F.struct(w.alias("w"), b.alias("b"))), lambda x, i: F.struct(i.alias("word_pos"), x["w"].alias("word"), x["b"].alias("b")))
+    w, b = lambda x: x["word"], lambda x: x["b"]
+    # Few words can hold any: this is quick to see.
+    some = F.filter(each, lambda x: (F.length(w(x)) >= 16) | w(x).contains("=") | w(x).contains(":") | b(x).endswith("=") | b(x).endswith(":"))
+    found = F.transform(some, lambda x: F.struct(x["word_pos"].alias("word_pos"), w(x).alias("word"), _in_word(w(x), b(x)).alias("found")))
+    return F.filter(found, lambda x: F.size(x["found"]) > 0)
+
+
+def candidates(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, word_pos, part, candidate, word, before, after (neighbouring words), a row a candidate."""
+    at = docs.select(*kept, "text", _found(F.col("text")).alias("_at")).where(F.size("_at") > 0).select(*kept, F.split("text", r"[\x20\x09-\x0D]+").alias("_words"), "_at")
+    near = lambda i, a, b: F.array_join(F.slice("_words", F.greatest(i + 1 + a, F.lit(1)), F.greatest(F.least(i + b, F.size("_words")) - F.greatest(i + a, F.lit(0)), F.lit(0))), " ")
+    rows = at.select(*kept, "_words", F.inline("_at"))
+    rows = rows.select(*kept, "word_pos", "word", near(F.col("word_pos"), -NEIGHBOURS, 0).alias("before"), near(F.col("word_pos"), 1, 1 + NEIGHBOURS).alias("after"), "found")
+    return rows.select(*kept, "word_pos", "word", "before", "after", F.posexplode("found").alias("part", "candidate")).select(*kept, "word_pos", "part", "candidate", "word", "before", "after")
 
 
 def features() -> dict[str, Column]:
@@ -89,6 +125,9 @@ def features() -> dict[str, Column]:
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "symbols": share("[^A-Za-z0-9]"),
+        "odd_symbols": share(r"[^A-Za-z0-9_+/=\-]"),
+        "kinds": (c.rlike("[a-z]").cast("int") + c.rlike("[A-Z]").cast("int") + c.rlike("[0-9]").cast("int") + c.rlike("[^A-Za-z0-9]").cast("int")).cast("double"),
+        "in_url": word.rlike(r"://[^\s:/@]+:[^\s/@]+@").cast("double"),
         "vowels": share("[aeiou]", low),
         "transitions": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"),
         "letter_pairs": share(f"(?=({'|'.join(LETTER_PAIRS)}))", low),
@@ -129,6 +168,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
     own = lambda: f"{talk(1)} {name()} {pick('=', ':')}"
     syllables = lambda: "".join(rng.choices("th er in ing ation ver lich keit ment ción tre and ou schaft bar und".split(), k=rng.randint(4, 8)))
     end = lambda: pick("", "", ".", ",", "###")
+    setting = lambda: pick("password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "db_pwd", "PASSWORD", "token")
+
+    def password() -> str:
+        """As people make them: letters with digits, and mostly punctuation, in no order."""
+        stem = pick(mixed(rng.randint(4, 8)), word().title(), syllables()[:6].title(), word().replace("o", "0").replace("e", "3"))
+        tail = digits(rng.randint(1, 4)) + pick("", "!", "#", "@", "$", "&", "!!", "?", "-", "_") + pick("", mixed(rng.randint(1, 5)))
+        return pick(stem + tail, pick("!", "$", "&") + stem + tail, stem + pick("!", "&", "%", ".") + tail)
+
 
     def quoted(text: str) -> str:
         q = pick('"', "'", "")
@@ -144,6 +191,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
         lambda: (f"{name()}{pick('=', ':')}{quoted(mixed(rng.randint(16, 50)))}", talk(), 1),
         lambda: (hexa(rng.randint(16, 64)) + end(), own(), 1),
         lambda: (mixed(rng.randint(20, 50)), f"{talk(1)} {pick('Authorization: Bearer', 'Bearer', 'credential:')}", 1),
+        lambda: (f"{setting()}{pick('=', ':')}{quoted(password())}", talk(), 1),
+        lambda: (quoted(password()), f"{talk(1)} {setting()} {pick('=', ':')}", 1),
+        lambda: (f"{pick('postgres', 'mysql', 'https', 'redis', 'amqp')}://{word()}:{password()}@{pick('db', 'host', 'localhost', 'cache')}.{word()}.com/{word()}", talk(), 1),
+        lambda: (pick("AKIA", "ASIA") + "".join(rng.choices(string.ascii_uppercase, k=16)) + end(), talk(), 1),
+        lambda: (f"{setting()}{pick('=', ':')}{quoted(''.join(rng.choices(pick(string.ascii_lowercase, string.ascii_uppercase), k=rng.randint(16, 32))))}", talk(), 1),
+        lambda: (f"{setting()}{pick('=', ':')}{quoted(rng.choice(PLACEHOLDERS))}", talk(), 0),
+        lambda: (quoted(pick(rng.choice(PLACEHOLDERS), syllables(), word(), rng.choice(prose) + rng.choice(prose))), f"{talk(1)} {setting()} {pick('=', ':')}", 0),
+        lambda: (f"{pick('https', 'http')}://www.{word()}.com:{digits(4)}/{word()}@{word()}", talk(), 0),
+        lambda: (f"{setting()}:{pick(word(), syllables(), word() + '_' + word(), word() + '.' + word(), digits(6))}" + end(), talk(), 0),
         lambda: (hexa(40) + end(), f"{talk(2)} {pick('commit', 'revision', 'sha1', 'ref', 'etag:')}", 0),
         lambda: (pick("sha256:", "", "sha256-") + hexa(64), f"{talk(2)} {pick('checksum', 'digest', 'sha256', 'hash')}", 0),
         lambda: (digits(16) + end(), talk(), 0),
@@ -160,10 +216,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
     rows = []
     for i in range(n):
         found, before, label = kinds[i % len(kinds)]()
-        cut = re.search(CANDIDATE, found)  # from the word, as the scan would cut it
-        if cut and re.search(MIXED, cut[0]):
-            rows.append((cut[0], found, before, talk(), float(label)))
-    return spark.createDataFrame(rows, "candidate string, word string, before string, after string, label double")
+        rows.append((i, f"{before} {found} {talk()}", len(before.split()), float(label)))
+    # Candidates are cut from the words as the scan does it; what makes none is left out.
+    made = spark.createDataFrame(rows, "doc_id int, text string, pos int, label double")
+    return candidates(made, ("doc_id", "pos", "label")).where("word_pos = pos").select("candidate", "word", "before", "after", "label")
 
 
 def fit(findings: DataFrame, seed: int = 11) -> RandomForestClassificationModel:
@@ -197,8 +253,21 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with REDACTED in the place of each secret."""
-    by_doc = secrets(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("secret"), asc=False).alias("_secrets")).withColumnRenamed("doc_id", "_scanned_id")  # those of one document
-    found = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc._scanned_id), "left")
-    text = F.when(F.col("_secrets").isNull(), docs["text"]).otherwise(F.aggregate("_secrets", docs["text"], lambda text, secret: F.replace(text, secret, F.lit(REDACTED))))
-    return found.select([text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    """Every document, with REDACTED in the place of each secret, and of other places in the document where the same string stands.
+
+    Longer secrets are replaced before those within them. Rows without candidates are passed on as they are; only the others are grouped and joined.
+    Rows are told apart by doc_id (also null) and text, so that none gets another's secrets; equal rows get the same. Null and empty texts stay.
+    An empty table gives no rows. All columns are returned as they came, whatever their names.
+    """
+    bare = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    marked = bare.withColumn("_suspect", F.coalesce(F.size(_found(F.col("text"))) > 0, F.lit(False)))
+    some = marked.where("_suspect").select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    model = fit(labelled_findings(spark))
+    found = scored(candidates(some, ("_id", "_hash")), model).where(F.col("score") >= THRESHOLD)
+    longest = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
+    by_row = found.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("candidate"), longest).alias("_secrets"))
+    by_row = by_row.select(F.col("_id").alias("_found_id"), F.col("_hash").alias("_found_hash"), "_secrets")
+    some = some.join(by_row, some["_id"].eqNullSafe(by_row["_found_id"]) & (some["_hash"] == by_row["_found_hash"]), "left")
+    clean = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate("_secrets", F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(REDACTED))))
+    out = some.select("_row", clean.alias("_text")).union(marked.where("not _suspect").select("_row", F.col("text").alias("_text")))
+    return out.select(*(F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
