@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import simhash
@@ -92,3 +94,21 @@ def test_stage_drops_near_copies(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == label
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == sorted(set(label.values()))
     assert simhash.near_duplicates(docs).select("component_id").distinct().count() > len(set(label.values()))  # the 2-bit rule keeps more
+
+
+def test_wide_fingerprints_and_word_hashes():
+    rng = random.Random(4)
+    texts = ["", None, " one ", "Two  words\t", "É x B c"] + [" ".join(rng.choice("aB c d é".split()) + str(rng.randrange(60)) for _ in range(rng.choice([1, 3, 254, 255, 256, 2000]))) for _ in range(40)]
+    column = pa.array(texts, pa.string())
+    for begin in (0, 7):  # a slice too
+        words, offsets = simhash.word_hashes(column.slice(begin))
+        want = [[xxhash.xxh64_intdigest(w, 42) for w in (t or "").encode().lower().split()] for t in texts[begin:]]
+        assert words.tolist() == [h for x in want for h in x] and np.diff(offsets).tolist() == [len(x) for x in want]
+        shingles, at = simhash.shingle_hashes(words, offsets, 2)
+        assert np.diff(at).tolist() == [max(1, len(x) - 1) for x in want]
+        prints = simhash.wide_fingerprints(shingles, at).view(np.uint64)
+        salts = simhash._mixed(np.arange(1, simhash.LANES + 1, dtype=np.uint64) << np.uint64(32))
+        for i in range(len(want)):
+            for lane, salt in enumerate(salts):
+                h = [int(x) for x in simhash._mixed(shingles[at[i] : at[i + 1]] + salt)]
+                assert int(prints[i, lane]) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))

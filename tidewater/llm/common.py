@@ -44,7 +44,7 @@ def in_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, side="right")))
-            yield b.slice(i, j - i)
+            yield b if j - i == b.num_rows else b.take(pa.array(np.arange(i, j)))  # copied: some functions go wrong on a slice
             i = j
 
 

@@ -33,12 +33,13 @@ SEED = 42
 SHINGLE_WORDS = 3
 #: The rule of the pipeline's stage: Jaccard similarity of the sets of shingles of so many words.
 STAGE_SHINGLE_WORDS, STAGE_SIMILARITY = 5, 0.8
-#: Its index: fingerprints of 256 bits over 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
-INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 8, 32
-#: Complete distances, of 256 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
-#: shingles. At a similarity of 0.8 the expected distance is 39 at most (an angle of acos(8/9)), with a standard deviation of 5.7.
-MOST_INDEX_BITS, MOST_STAGE_BITS = 64, 64
-#: Members of an entry that the others are compared with first, and how many of them at most.
+#: Its index: fingerprints of 192 bits over 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
+INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 6, 32
+LANES = SEGMENTS * SEGMENT_BITS // 64
+#: Complete distances, of 192 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
+#: shingles. At a similarity of 0.8 the expected distance is 29 at most (an angle of acos(8/9)), with a standard deviation of 5.
+MOST_INDEX_BITS, MOST_STAGE_BITS = 48, 43
+#: Of the members that its entries name first, how many a text is compared with before all others.
 HEADS = 3
 
 
@@ -115,6 +116,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets of each text's words and the end): A-Z lower, words by ASCII white space; null: no words."""
+    texts = texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts  # ascii_lower goes wrong on a slice
     lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     split = pc.ascii_split_whitespace(lower)
     words, offsets = split.flatten(), np.asarray(split.offsets, np.int64)
@@ -141,16 +143,22 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
 
 
 def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of SEGMENTS x SEGMENT_BITS bits, as signed longs: (texts, 4)."""
-    lanes = SEGMENTS * SEGMENT_BITS // 64
-    salts = _mixed(np.arange(1, lanes + 1, dtype=np.uint64) << np.uint64(32))
-    counts = np.zeros((len(offsets) - 1, lanes * 64), np.int64)
-    for i in range(0, len(shingles), 16_384):  # no more memory than for this many shingles
-        part = shingles[i : i + 16_384]
-        bits = np.concatenate([np.unpackbits(_mixed(part + s).view(np.uint8).reshape(-1, 8), axis=1) for s in salts], axis=1)
-        first, last = np.searchsorted(offsets, i, side="right") - 1, np.searchsorted(offsets, i + len(part), side="left")
-        counts[first:last] += np.add.reduceat(bits, np.maximum(offsets[first:last] - i, 0), axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > np.diff(offsets)[:, None], axis=1).view(np.int64)
+    """SimHash fingerprints of SEGMENTS x SEGMENT_BITS bits, as signed longs: (texts, LANES).
+
+    Eight bits of a hash at a time are counted in the eight bytes of a number, over stretches of at most 255 shingles, which no byte exceeds.
+    """
+    n = np.diff(offsets)
+    stretches = -(-n // 255)
+    first = np.r_[0, np.cumsum(stretches)]
+    begins = np.repeat(offsets[:-1] - 255 * first[:-1], stretches) + 255 * np.arange(first[-1])
+    ones, out = np.uint64(0x0101010101010101), np.zeros((len(n), LANES), np.uint64)
+    for lane, salt in enumerate(_mixed(np.arange(1, LANES + 1, dtype=np.uint64) << np.uint64(32))):
+        hashes = _mixed(shingles + salt)
+        for k in range(8):
+            counts = np.add.reduceat((hashes >> np.uint64(k)) & ones, begins).view(np.uint8).reshape(-1, 8)
+            set_ = 2 * np.add.reduceat(counts, first[:-1], axis=0, dtype=np.int64) > n[:, None]
+            out[:, lane] |= (set_.astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64) + np.uint64(k))).sum(axis=1, dtype=np.uint64)
+    return out.view(np.int64)
 
 
 def shingle_sets(shingles: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -189,7 +197,7 @@ def _entries(prints: DataFrame) -> DataFrame:
 
 
 def _distance(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SEGMENTS * SEGMENT_BITS // 64)), F.lit(0))
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(LANES)), F.lit(0))
 
 
 def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -231,29 +239,28 @@ def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame
     one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "fp")).alias("one"))
     prints, _ = written(one.select("key", "one.*"), "distinct")
     entry = Window.partitionBy("entry")
-    # Members that the others are compared with first: least by key, by its mirror image and by a hash.
-    heads = [F.min("key").over(entry), F.max("key").over(entry), F.min(F.struct(F.xxhash64("key"), "key")).over(entry)["key"]]
-    shared, _ = written(_entries(prints).withColumns({f"h{i}": h for i, h in enumerate(heads)}).where("h0 <> h1"), "entries")
-    pairs = shared.select(F.explode(F.array("h0", "h1", "h2")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+    # The first member of each entry: the others are compared with it before all pairs are made.
+    shared, _ = written(_entries(prints).withColumns({"head": F.min("key").over(entry), "n": F.count("*").over(entry)}).where("n > 1").drop("n"), "entries")
+    pairs = shared.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     nearest = F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))
-    first, _ = written(_near(pairs, prints, least).withColumn("nth", nearest).where(F.col("nth") <= HEADS), "pairs")
+    first, _ = written(_near(pairs, prints, least).withColumn("nth", nearest).where(F.col("nth") <= HEADS).select("a", "b"), "pairs")
     links, _ = written(_verified(first, docs, prints, shingle_words, least), "links")
     component = _components(links)
-    for nearest_only in (True, False):
-        # What still lies apart: every pair of an entry's members whose components differ. First each member's nearest of every other component.
-        named = shared.select("entry", "key").join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).select("entry", "key", "c")
-        several = named.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry", "c0")
-        named, _ = written(named.join(several, "entry"), "named")
-        left = named.where("c <> c0").select("entry", F.col("key").alias("a"), F.col("c").alias("ac"))
-        right = named.select("entry", F.col("key").alias("b"), F.col("c").alias("bc"))
-        # Either side may be of the first component; of two others, one order is enough.
-        rest = left.join(right, "entry").where("ac > bc").select("a", "b").distinct()
-        near = _near(rest, prints, least)
+    # What still lies apart: every pair of an entry's members whose components differ, by complete distance.
+    named = shared.select("entry", "key").join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).select("entry", "key", "c")
+    several = named.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry", "c0")
+    named, _ = written(named.join(several, "entry"), "named")
+    left = named.where("c <> c0").select("entry", F.col("key").alias("a"), F.col("c").alias("ac"))
+    right = named.select("entry", F.col("key").alias("b"), F.col("c").alias("bc"))
+    rest, _ = written(left.join(right, "entry").where("ac > bc").select("a", "b").distinct(), "rest")
+    rest, _ = written(_near(rest, prints, least), "near")
+    for nearest_only in (True, False):  # first each one's nearest of every other component, then all that then still lie apart
+        of = lambda c: component.select(F.col("key").alias(c), F.col("component").alias(f"{c}c"))  # noqa: E731, B023
+        apart = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ac": F.coalesce("ac", "a"), "bc": F.coalesce("bc", "b")}).where("ac <> bc")
         if nearest_only:
-            near = near.join(component.select(F.col("key").alias("b"), "component"), "b", "left").withColumn("bc", F.coalesce("component", "b"))
-            near = near.withColumn("nth", F.row_number().over(Window.partitionBy("a", "bc").orderBy("bits", "b"))).where("nth = 1")
-        near, _ = written(near.select("a", "b"), "pairs")
-        more, _ = written(_verified(near, docs, prints, shingle_words, least), "links")
+            apart = apart.withColumn("nth", F.row_number().over(Window.partitionBy("a", "bc").orderBy("bits", "b"))).where("nth = 1")
+        apart, _ = written(apart.select("a", "b"), "pairs")
+        more, _ = written(_verified(apart, docs, prints, shingle_words, least), "links")
         links = links.union(more)
         component = _components(links)
     return rows.select("doc_id", "same", "key").join(component, "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
