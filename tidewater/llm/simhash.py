@@ -39,6 +39,8 @@ LANES = SEGMENTS * SEGMENT_BITS // 64
 #: Complete distances, of 192 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
 #: shingles. At a similarity of 0.8 the expected distance is 29 at most (an angle of acos(8/9)), with a standard deviation of 5.
 MOST_INDEX_BITS, MOST_STAGE_BITS = 48, 43
+#: Before sets are read, pairs are compared by fingerprints over 5-word shingles of 64 times as many bits; 155 expected, with a deviation of 11.5.
+FINE_LANES, MOST_FINE_BITS = 16, 193
 #: Of the members that its entries name first, how many a text is compared with before all others.
 HEADS = 3
 
@@ -142,8 +144,8 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
     return out, upto
 
 
-def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of SEGMENTS x SEGMENT_BITS bits, as signed longs: (texts, LANES).
+def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """SimHash fingerprints of 64 x lanes bits, as signed longs: (texts, lanes).
 
     Eight bits of a hash at a time are counted in the eight bytes of a number, over stretches of at most 255 shingles, which no byte exceeds.
     """
@@ -151,8 +153,8 @@ def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     stretches = -(-n // 255)
     first = np.r_[0, np.cumsum(stretches)]
     begins = np.repeat(offsets[:-1] - 255 * first[:-1], stretches) + 255 * np.arange(first[-1])
-    ones, out = np.uint64(0x0101010101010101), np.zeros((len(n), LANES), np.uint64)
-    for lane, salt in enumerate(_mixed(np.arange(1, LANES + 1, dtype=np.uint64) << np.uint64(32))):
+    ones, out = np.uint64(0x0101010101010101), np.zeros((len(n), lanes), np.uint64)
+    for lane, salt in enumerate(_mixed(np.arange(1, lanes + 1, dtype=np.uint64) << np.uint64(32))):
         hashes = _mixed(shingles + salt)
         for k in range(8):
             counts = np.add.reduceat((hashes >> np.uint64(k)) & ones, begins).view(np.uint8).reshape(-1, 8)
@@ -171,7 +173,7 @@ def _set_key(shingles: np.ndarray) -> int:
 
 
 def _prints(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, key (of the shingle set), n (its size), index and fp (fingerprints over INDEX_WORDS and shingle_words words), same (a hash of the text)."""
+    """doc_id, key (of the shingle set), n (its size), index and fp (fingerprints over INDEX_WORDS and shingle_words words, fp of FINE_LANES), same (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_bytes(batches, "text"):
@@ -179,7 +181,7 @@ def _prints(docs: DataFrame, shingle_words: int) -> DataFrame:
             wide = wide_fingerprints(*shingle_hashes(words, offsets, INDEX_WORDS))
             shingles, at = shingle_hashes(words, offsets, shingle_words)
             sets = shingle_sets(shingles, at)
-            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(shingles, at))]
+            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(shingles, at, FINE_LANES))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *longs, b.column("same")], ["doc_id", "key", "n", "index", "fp", "same"]
             )
@@ -196,13 +198,13 @@ def _entries(prints: DataFrame) -> DataFrame:
     return prints.select("key", F.explode(entries).alias("entry"))
 
 
-def _distance(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(LANES)), F.lit(0))
+def _distance(x: str, y: str, lanes: int = LANES) -> Column:
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(lanes)), F.lit(0))
 
 
 def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """a, b, bits (distance of the stage's fingerprints) of the pairs (a, b) of keys whose complete distances and sizes allow the similarity."""
-    of = lambda c: prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("index").alias(f"i{c}"), F.col("fp").alias(f"f{c}"))
+    of = lambda c: prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("index").alias(f"i{c}"), F.slice("fp", 1, LANES).alias(f"f{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9))
     return both.where(_distance("ia", "ib") <= MOST_INDEX_BITS).select("a", "b", _distance("fa", "fb").alias("bits")).where(F.col("bits") <= MOST_STAGE_BITS)
 
@@ -217,6 +219,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle_word
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], pa.int64()), lists], ["key", "set"])
 
+    of = lambda c: prints.select(F.col("key").alias(c), F.col("fp").alias(f"f{c}"))
+    pairs, _ = written(pairs.join(of("a"), "a").join(of("b"), "b").where(_distance("fa", "fb", FINE_LANES) <= MOST_FINE_BITS).select("a", "b"), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = prints.join(needed, "key", "left_semi").select("doc_id", "same")
     # One row has the text of a key; a repeated doc_id may come with several texts.
