@@ -46,7 +46,7 @@ def test_recall_against_brute_force(spark, monkeypatch):
 
 def test_small_tables_are_exact(spark):
     v = [1.0, 2.0, 3.0]
-    rows = [(0, v), (9, v), (3, v), (4, [3.0, 2.0, 1.0]), (50, v), (50, v), (100, [0.0, 0.0, 0.0]), (150, None), (200, [1.0]), (250, [1.0, None, 2.0]), (300, [float("nan"), 1.0, 1.0]), (None, v), (7, [-1.0, -2.0, -3.0]), (8, [1e200, 2e200, 3e200]), (9, [3.0, 2.0, 1.0]), (350, [])]
+    rows = [(0, v), (9, v), (3, v), (4, [3.0, 2.0, 1.0]), (50, v), (50, v), (100, [0.0, 0.0, 0.0]), (150, None), (200, [1.0]), (250, [1.0, None, 2.0]), (300, [float("nan"), 1.0, 1.0]), (None, v), (7, [-1.0, -2.0, -3.0]), (8, [2.0**600, 2.0**601, 3 * 2.0**600]), (9, [3.0, 2.0, 1.0]), (350, [])]
     got = found(ann.search(frame(spark, rows), F.col("vec_id") % 50 == 0))
     assert got == brute(rows, {0, 50})
     assert [i for _, i in got[0]] == [3, 8, 9, 50, 4]

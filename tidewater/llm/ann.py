@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm.common import table, written
-from tidewater.llm.embedding_dedup import _blobs, _matrix, unit_rows
+from tidewater.llm.embedding_dedup import _blobs, _matrix, cosines, unit_rows
+from tidewater.llm.embedding_dedup import units as normed
 
 K = 5
 SAMPLE, HELD_OUT = 8192, 512
@@ -159,7 +160,7 @@ def learned_router(sample: np.ndarray, parts: int, seed: int = 7) -> Router:
 
 
 def _partitions(n: int) -> int:
-    return int(np.clip(np.sqrt(n) / 16, 8, 512))
+    return int(max(8, np.sqrt(n) / 16))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -178,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     for dim, part in rows.where(drawn).limit(2 * SAMPLE).select("dim", "unit").toPandas().groupby("dim"):
         x = _matrix(part.unit, np.float64)
         x = x[np.lexsort(x.T)][np.random.default_rng(1).permutation(len(x))]  # the same sample whatever the partitions
-        routers[int(dim)] = learned_router(x, _partitions(counts[dim]))
+        routers[int(dim)] = learned_router(normed(x), _partitions(counts[dim]))
     for dim in set(counts) - set(routers):  # a rare length that the sample lacks: one partition
         routers[dim] = learned_router(np.zeros((0, dim)), 1)
 
@@ -190,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 for dim in f.dim.unique():
                     g = f[f.dim == dim]
                     x = _matrix(g.unit, np.float64)
-                    at, part = routers[dim].routed(x, sizes[dim], k + 1) if queries else (np.arange(len(x)), routers[dim].probabilities(x).argmax(axis=1))
+                    at, part = routers[dim].routed(normed(x), sizes[dim], k + 1) if queries else (np.arange(len(x)), routers[dim].probabilities(normed(x)).argmax(axis=1))
                     yield g.iloc[at].assign(part=part.astype(np.int32))
 
         return run
@@ -204,7 +205,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     asked, _ = written(rows.where(is_query).mapInPandas(placed(True), schema), "routed")
     key = ["dim", "part"]
     dealt = data.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")).join(asked.groupBy(key).agg(F.ceil(F.count("*") / QUERY_ROWS).alias("chunks")), key)
-    dealt = F.broadcast(dealt)  # a row a partition, 512 for each length at most
+    dealt = F.broadcast(dealt)  # a row a partition: about a sixteenth of the root of the rows
     block, chunk = F.expr("pmod(xxhash64(vec_id, unit), blocks)"), F.expr("pmod(xxhash64(vec_id, unit), chunks)")
     sides = data.join(dealt, key).select(*key, block.alias("block"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "vec_id", "unit", F.lit(False).alias("asks"))
     sides = sides.union(asked.join(dealt, key).select(*key, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), chunk.alias("chunk"), "vec_id", "unit", F.lit(True).alias("asks")))
@@ -217,15 +218,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         x, y = _matrix(f.unit[~asks], np.float64), _matrix(f.unit[asks], np.float64)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
+        unit = normed(x)
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         out = []
         for i in range(0, len(queries), 256):
-            s = y[i : i + 256] @ x.T
+            s = normed(y[i : i + 256]) @ unit.T
             s[queries[i : i + 256, None] == ids] = -2
             each = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)
             at = len(first) - min(k, len(first))
             r, c = np.nonzero((s >= np.partition(each, at, axis=1)[:, at, None] - 1e-9) & (s > -1.5))
-            exact = np.concatenate([np.empty(0)] + [(y[i + r[j : j + 16_384]] * x[c[j : j + 16_384]]).sum(axis=1) for j in range(0, len(r), 16_384)])
+            exact = np.concatenate([np.empty(0)] + [cosines(y[i + r[j : j + 16_384]], x[c[j : j + 16_384]]) for j in range(0, len(r), 16_384)])
             order = np.lexsort((-exact, ids[c], r))  # of rows that repeat an id the nearest
             order = order[np.r_[True, (r[order][1:] != r[order][:-1]) | (ids[c[order]][1:] != ids[c[order]][:-1])]] if len(r) else order
             order = order[np.lexsort((ids[c[order]], -exact[order], r[order]))]

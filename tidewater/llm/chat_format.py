@@ -14,7 +14,8 @@ becomes the Arrow column. An output row holds up to PART_TURNS turns of one conv
 the conversation), n_turns, formatted, and the loss mask as byte ranges of formatted (loss_start, loss_end).
 
 Defined results. Null text and null role: empty. Turns go by turn, then role, then text, nulls first; equal rows all stay.
-A null conv_id is a conversation of its own. An empty table gives no rows. Other columns are neither read nor returned.
+A null conv_id is a conversation of its own. Very long texts are copied as they are; a batch of turns is at most what Spark hands over
+(64 MB, or one turn). An empty table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import new_path, table
 
+#: Bytes of contents for which indices are made at once.
+SCATTER_BYTES = 1 << 20
 #: Turns of a conversation in one output row at most.
 PART_TURNS = 256
 FORMATTED = "conv_id long, part long, n_turns int, formatted string, loss_start array<int>, loss_end array<int>"
@@ -79,7 +82,13 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
             out[starts[kind == k, column][:, None] + np.arange(len(piece))] = np.frombuffer(piece, np.uint8)
     for column, data, at in ((1, role_data, role_at), (3, text_data, text_at)):
         n = lengths[:, column]
-        out[np.arange(n.sum()) + np.repeat(starts[:, column] - (at[:-1] - at[0]), n)] = data[at[0] : at[-1]]
+        cuts = np.searchsorted(at, np.arange(at[0], at[-1], SCATTER_BYTES)) if at[-1] - at[0] > SCATTER_BYTES else [0]
+        for i, j in zip(cuts, [*cuts[1:], len(n)]):  # rows of about so many bytes at a time: an index takes eight times as many
+            if n[i:j].max(initial=0) > SCATTER_BYTES:  # runs are copied as such where rows are long
+                for k in range(i, j):
+                    out[starts[k, column] : starts[k, column] + n[k]] = data[at[k] : at[k + 1]]
+            else:
+                out[np.arange(n[i:j].sum()) + np.repeat(starts[i:j, column] - (at[i:j] - at[i]), n[i:j])] = data[at[i] : at[j]]
     return out, ends[:, -1], starts[:, 3], ends[:, 3]
 
 
