@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch of whole texts that Spark hands to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -37,15 +37,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def in_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with at most so many bytes in the text column, or one row: this bounds the memory of what works on them."""
+def in_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about so many bytes in the text column, or one row: small ones are put together, large ones are cut."""
+    held, size = [], 0
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        i = 0
+        own, i = int(sizes[-1]) if len(sizes) else 0, 0
+        if held and size + own > most:
+            yield _together(held)
+            held, size = [], 0
+        if own <= most:
+            held, size = [*held, b], size + own
+            continue
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, side="right")))
-            yield b if j - i == b.num_rows else b.take(pa.array(np.arange(i, j)))  # copied: some functions go wrong on a slice
+            yield b.take(pa.array(np.arange(i, j)))  # copied: some functions go wrong on a slice
             i = j
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in batches]) for k in range(batches[0].num_columns)], schema=batches[0].schema)
 
 
 class Runs:
@@ -91,14 +106,18 @@ class Runs:
             self.flat = self.flat[: int(self.start[-1] + self.length[-1]) if kept else 0]
 
 
+#: By application, where it runs on this machine alone and names no folder.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, one of our own if all run on this machine, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        given = tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", given)
+        given = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidewater-")
+        _own[spark.sparkContext.applicationId] = given
     return given.rstrip("/")
 
 
