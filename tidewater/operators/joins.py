@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import arc_km
@@ -42,12 +42,7 @@ def grid_pairs(points: DataFrame, key: str, radius_km: float, lat_reach: float =
 
 
 def symmetric(pairs: DataFrame, key: str, other: str = "other") -> DataFrame:
-    """Each pair in both directions."""
+    """Each pair in both directions; the pairs are found once."""
     rest = [c for c in pairs.columns if c not in (key, other)]
-    return pairs.select(key, other, *rest).unionByName(pairs.select(F.col(other).alias(key), F.col(key).alias(other), *rest))
-
-
-def one_to_one(left: DataFrame, right: DataFrame, key: Column, names: tuple[str, str]) -> DataFrame:
-    """Joins the rows whose key occurs once on either side; names are the sides' id columns."""
-    once = lambda df, n: df.select(key.alias("_key"), n).groupBy("_key").agg(F.count("*").alias("n"), F.min(n).alias(n)).where("n = 1").drop("n")
-    return once(left, names[0]).join(once(right, names[1]), "_key").withColumnRenamed("_key", "match_key")
+    one, two = F.struct(F.col(key).alias(key), F.col(other).alias(other)), F.struct(F.col(other).alias(key), F.col(key).alias(other))
+    return pairs.select(F.inline(F.array(one, two)), *rest).select(key, other, *rest)

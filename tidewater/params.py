@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 
@@ -42,3 +43,29 @@ class ThresholdParams:
     max_false_alarms: float = 6.0
     min_lead_days: float = 1.0
     fallback: float = 0.5
+
+
+def from_file(kind: type, path: str, section: str | None = None):
+    """Parameters of a kind from a YAML or JSON file, or a section of it; what it doesn't name keeps its default, what the kind doesn't know raises TypeError."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            values = json.load(f)
+        else:
+            import yaml  # only where such files are used
+
+            values = yaml.safe_load(f)
+    values = values if section is None else values[section]
+    return kind(**{k: tuple(map(tuple, v.items())) if isinstance(v, dict) else tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
+def rules_from_file(path: str, table: str) -> list[dict]:
+    """The entries of a table's quality rules, as operators.quality.from_config takes them: {table: {validations: {name: {column, rule, params, severity, action}}}}."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            found = json.load(f)
+        else:
+            import yaml
+
+            found = yaml.safe_load(f)
+    entries = [{**{k: v for k, v in e.items() if k != "params"}, **e.get("params", {})} for e in found[table]["validations"].values()]
+    return [{"rule": "not_null", "column": c, "severity": "critical"} for c in found[table].get("required_columns", [])] + entries

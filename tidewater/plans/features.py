@@ -57,7 +57,11 @@ def competitor_stats(rivals: DataFrame) -> DataFrame:
 
 
 def station_daily_market(prices: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams()) -> DataFrame:
-    daily = daily_ohlc(prices)
+    return station_market(daily_ohlc(prices), stations, params)
+
+
+def station_market(daily: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams()) -> DataFrame:
+    """daily beside its market's median and its competitors' prices. daily is read several times: as a written or persisted table it is computed once."""
     stats = competitor_stats(rivals(daily, competitor_pairs(stations, params)))
     out = daily.join(market_median(daily), ["fuel_type", "market_date"]).join(stats, KEY, "left")
     return out.withColumns(

@@ -15,9 +15,9 @@ KEYS = {"station_daily_market": P.KEY, "competitor_positioning": [*P.KEY, "compe
 
 
 def gold_tables(prices: DataFrame, stations: DataFrame, wholesale: DataFrame, holidays: DataFrame) -> dict[str, DataFrame]:
-    """The six tables as plans."""
-    daily = P.daily_ohlc(prices)
-    market = P.station_daily_market(prices, stations)
+    """The six tables as plans. The daily prices under all of them are persisted."""
+    daily = P.daily_ohlc(prices).persist()
+    market = P.station_market(daily, stations)
     margin = P.indicative_margin(daily, wholesale)
     cycle = P.market_cycle_features(daily.join(P.market_median(daily), ["fuel_type", "market_date"]), margin, holidays)
     return {

@@ -12,7 +12,7 @@ from tidewater.operators.windows import series
 from tidewater.params import PolicyParams, SeriesParams, ThresholdParams
 from tidewater.plans import decisions as D
 from tidewater.plans import features as P
-from tidewater.queries_features import KEY, changes, daily, margin, market, round_doubles
+from tidewater.queries_features import KEY, changes, daily, margin, market, round_doubles, shared_daily
 from tidewater.queries_sql import rounded, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,14 +35,14 @@ def query(sql: str):
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.jump_labels(P.market_median(daily(spark, sf_dir)))
+    return P.jump_labels(P.market_median(shared_daily(spark, sf_dir)))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for a model's probabilities: a fixed function of station and day."""
     p = ((F.col("station_id").cast("long") * 31 + F.dayofmonth("market_date") * 17) % 100).cast("double") / 100
     known = labels(spark, sf_dir).select("fuel_type", "market_date", F.col("jump_within_48h").alias("actual"), "jump_today")
-    return daily(spark, sf_dir).select(*KEY, p.alias("probability")).join(known, ["fuel_type", "market_date"])
+    return shared_daily(spark, sf_dir).select(*KEY, p.alias("probability")).join(known, ["fuel_type", "market_date"])
 
 
 @query("""select station_id, fuel_type, count(*) total_observations, datediff('day', min(market_date), max(market_date)) + 1 span_days, count(*) filter (abs(c) > 100) extreme_changes
@@ -175,7 +175,7 @@ def policy_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommendations(spark: SparkSession, sf_dir: str, params: PolicyParams = PolicyParams()) -> DataFrame:
     out = D.decided(policy_inputs(spark, sf_dir), params)
-    stale = D.staleness(daily(spark, sf_dir), params).select(*KEY, "is_stale")
+    stale = D.staleness(shared_daily(spark, sf_dir), params).select(*KEY, "is_stale")
     above = F.coalesce(F.col("gap") >= params.follow_min_overpriced, F.lit(False))
     return out.join(stale, KEY).withColumns({"priced_above": above, "margin_difference": F.col("hypothetical_margin") - F.col("margin")})
 

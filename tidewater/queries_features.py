@@ -35,16 +35,21 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.daily_ohlc(E.prices(spark, sf_dir))
 
 
+def shared_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily for plans that read it more than once: the session keeps it, on disk where memory is short, and builds lost parts anew."""
+    return daily(spark, sf_dir).persist()
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.station_daily_market(E.prices(spark, sf_dir), E.stations(spark, sf_dir))
+    return P.station_market(shared_daily(spark, sf_dir), E.stations(spark, sf_dir))
 
 
 def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.indicative_margin(daily(spark, sf_dir), E.wholesale(spark, sf_dir))
+    return P.indicative_margin(shared_daily(spark, sf_dir), E.wholesale(spark, sf_dir))
 
 
 def with_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir)
+    d = shared_daily(spark, sf_dir)
     return d.join(P.market_median(d), ["fuel_type", "market_date"])
 
 
@@ -53,7 +58,7 @@ def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.market_changes(P.market_median(daily(spark, sf_dir)))
+    return P.market_changes(P.market_median(shared_daily(spark, sf_dir)))
 
 
 OHLC = ["daily_open_price_cpl", "daily_close_price_cpl", "daily_min_price_cpl", "daily_max_price_cpl"]
@@ -95,7 +100,7 @@ STATS = ["local_competitor_min_price_cpl", "local_competitor_max_price_cpl", "lo
 
 @query(f"select station_id, fuel_type, market_date, competitor_count, rank_within_local_market, {rounded(STATS, 8)} from cstats")
 def competitor_stats(spark, sf_dir):
-    return round_doubles(P.competitor_stats(P.rivals(daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))), 8)
+    return round_doubles(P.competitor_stats(P.rivals(shared_daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))), 8)
 
 
 @query(f"select station_id, fuel_type, market_date, {rounded(OHLC + STATS + ['market_median_price_cpl', 'price_vs_market_median_cpl', 'station_vs_competitor_median_cpl'], 8)}, daily_observation_count, last_observed_at, competitor_count, rank_within_local_market from market")
@@ -108,13 +113,13 @@ def station_daily_market(spark, sf_dir):
     rank() over (partition by r.station_id, fuel_type, market_date order by competitor_price) rank_in_local_market from rivals r left join stations s on s.station_id = r.competitor_station_id""")
 def competitor_positioning(spark, sf_dir):
     s = E.stations(spark, sf_dir)
-    out = P.competitor_positioning(daily(spark, sf_dir), P.competitor_pairs(s), s)
+    out = P.competitor_positioning(shared_daily(spark, sf_dir), P.competitor_pairs(s), s)
     return round_doubles(out.withColumn("distance_km", F.round("distance_km", 3)))
 
 
 @query("select distinct station_id, fuel_type, market_date from rivals r where own_price <= (select min(competitor_price) from rivals x where x.station_id = r.station_id and x.fuel_type = r.fuel_type and x.market_date = r.market_date)")
 def cheapest_local(spark, sf_dir):
-    r = P.rivals(daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))
+    r = P.rivals(shared_daily(spark, sf_dir), P.competitor_pairs(E.stations(spark, sf_dir)))
     return r.groupBy(*KEY).agg(F.min("competitor_price").alias("least"), F.first("own_price").alias("own")).where("own <= least").select(*KEY)
 
 

@@ -13,7 +13,7 @@ from tidewater.plans import decisions as D
 from tidewater.plans import features as P
 from tidewater.plans import models as M
 from tidewater.queries_decisions import FOLDS, labels, scores
-from tidewater.queries_features import KEY, cycle, daily, margin, market, round_doubles
+from tidewater.queries_features import KEY, cycle, daily, margin, market, round_doubles, shared_daily
 from tidewater.queries_sql import rounded, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None):
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.eligibility(D.series_stats(daily(spark, sf_dir), SERIES), SERIES)
+    return D.eligibility(D.series_stats(shared_daily(spark, sf_dir), SERIES), SERIES)
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def training_set(spark, sf_dir):
     where market_date = (select max(market_date) from daily join ({ELIGIBLE}) e using (station_id, fuel_type))""")
 def daily_scoring(spark, sf_dir):
     """The rows to score: eligible series on their common last day, behind the end of training."""
-    d = daily(spark, sf_dir).select(*KEY, (F.round(F.col("daily_close_price_cpl") / 40) * 40).alias("daily_close_price_cpl"))
+    d = shared_daily(spark, sf_dir).select(*KEY, (F.round(F.col("daily_close_price_cpl") / 40) * 40).alias("daily_close_price_cpl"))
     return D.daily_scoring(d, eligible(spark, sf_dir), TRAIN_END).select(*KEY, "days_since_price_change")
 
 
