@@ -33,12 +33,12 @@ SEED = 42
 SHINGLE_WORDS = 3
 #: The rule of the pipeline's stage: Jaccard similarity of the sets of shingles of so many words.
 STAGE_SHINGLE_WORDS, STAGE_SIMILARITY = 5, 0.8
-#: Its index: fingerprints of 192 bits over 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
-INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 6, 32
+#: Its index: fingerprints of 256 bits over distinct 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
+INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 8, 32
 LANES = SEGMENTS * SEGMENT_BITS // 64
-#: Complete distances, of 192 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
-#: shingles. At a similarity of 0.8 the expected distance is 29 at most (an angle of acos(8/9)), with a standard deviation of 5.
-MOST_INDEX_BITS, MOST_STAGE_BITS = 48, 43
+#: Complete distances, of 256 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
+#: shingles. At a similarity of 0.8 the expected distance is 39 at most (an angle of acos(8/9)), with a standard deviation of 5.7.
+MOST_INDEX_BITS, MOST_STAGE_BITS = 64, 56
 #: Before sets are read, pairs are compared by fingerprints over 5-word shingles of 64 times as many bits; 155 expected, with a deviation of 11.5.
 FINE_LANES, MOST_FINE_BITS = 16, 193
 #: Of the members that its entries name first, how many a text is compared with before all others.
@@ -163,9 +163,10 @@ def wide_fingerprints(shingles: np.ndarray, offsets: np.ndarray, lanes: int = LA
     return out.view(np.int64)
 
 
-def shingle_sets(shingles: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The distinct shingles of each text, sorted."""
-    return [np.unique(shingles[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+def shingle_sets(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct shingles of each text, sorted; their offsets and the end)."""
+    sets = [np.unique(shingles[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets], dtype=np.int64)]
 
 
 def _set_key(shingles: np.ndarray) -> int:
@@ -178,13 +179,11 @@ def _prints(docs: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_bytes(batches, "text"):
             words, offsets = word_hashes(b.column("text"))
-            wide = wide_fingerprints(*shingle_hashes(words, offsets, INDEX_WORDS))
-            shingles, at = shingle_hashes(words, offsets, shingle_words)
-            sets = shingle_sets(shingles, at)
-            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(shingles, at, FINE_LANES))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *longs, b.column("same")], ["doc_id", "key", "n", "index", "fp", "same"]
-            )
+            wide = wide_fingerprints(*shingle_sets(*shingle_hashes(words, offsets, INDEX_WORDS)))
+            sets, at = shingle_sets(*shingle_hashes(words, offsets, shingle_words))
+            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(sets, at, FINE_LANES))]
+            keys = pa.array([_set_key(sets[i:j]) for i, j in zip(at[:-1], at[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(np.diff(at)), *longs, b.column("same")], ["doc_id", "key", "n", "index", "fp", "same"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, index array<long>, fp array<long>, same long")
@@ -214,10 +213,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle_word
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_bytes(batches, "text"):
-            found = shingle_sets(*shingle_hashes(*word_hashes(b.column("text")), shingle_words))
-            flat = pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], pa.int64()), lists], ["key", "set"])
+            found, at = shingle_sets(*shingle_hashes(*word_hashes(b.column("text")), shingle_words))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(found[i:j]) for i, j in zip(at[:-1], at[1:])], pa.int64()), lists], ["key", "set"])
 
     of = lambda c: prints.select(F.col("key").alias(c), F.col("fp").alias(f"f{c}"))
     pairs, _ = written(pairs.join(of("a"), "a").join(of("b"), "b").where(_distance("fa", "fb", FINE_LANES) <= MOST_FINE_BITS).select("a", "b"), "pairs")
