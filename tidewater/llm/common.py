@@ -46,6 +46,7 @@ def in_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20
         if held and size + own > most:
             yield _together(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
         if own <= most:
             held, size = [*held, b], size + own
             continue

@@ -75,7 +75,7 @@ _NAMED = r"(?i)(?:{})[\"']?\s*[:=]=?".format(_any(ASSIGNED_WORDS))
 _VALUE = r"[\"']?([^\s\"']{%d,})" % LEAST_ASSIGNED
 _BEHIND = ".,;:)]}>#&$%*"
 _IN_URL = r"^[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@]+:([^\s/@]{3,})@"
-_KNOWN = f"^({'|'.join(KEY_BEGINNINGS)})"
+_KNOWN, _HAS_KNOWN = f"^({'|'.join(KEY_BEGINNINGS)})", "|".join(KEY_BEGINNINGS)
 
 
 def _in_word(w: Column, before: Column) -> Column:
@@ -90,26 +90,23 @@ def _in_word(w: Column, before: Column) -> Column:
     return F.filter(found, lambda c: ~F.exists(found, lambda d: (d != c) & d.contains(c)))
 
 
-def _found(text: Column) -> Column:
-    """array<struct<word_pos, word, found>>: the words of a text that hold candidates."""
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    shifted = lambda k: F.concat(F.array(*[F.lit("")] * k), F.slice(words, 1, F.greatest(F.size(words) - k, F.lit(0))))
-    before = F.zip_with(shifted(2), shifted(1), lambda a, b: F.concat_ws(" ", a, b))
-    each = F.transform(F.zip_with(words, before, lambda w, b: F.struct(w.alias("w"), b.alias("b"))), lambda x, i: F.struct(i.alias("word_pos"), x["w"].alias("word"), x["b"].alias("b")))
-    w, b = lambda x: x["word"], lambda x: x["b"]
-    # Few words can hold any: this is quick to see.
-    some = F.filter(each, lambda x: (F.length(w(x)) >= 16) | w(x).contains("=") | w(x).contains(":") | b(x).endswith("=") | b(x).endswith(":"))
-    found = F.transform(some, lambda x: F.struct(x["word_pos"].alias("word_pos"), w(x).alias("word"), _in_word(w(x), b(x)).alias("found")))
-    return F.filter(found, lambda x: F.size(x["found"]) > 0)
+def _with_places(docs: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """kept, _words and _at: the numbers of the words that may hold candidates, which is quick to see: long mixed runs, and what is at or behind an assignment."""
+    words = docs.select(*kept, F.split("text", r"[\x20\x09-\x0D]+").alias("_words"))
+    signed = lambda w: w.contains("=") | w.contains(":")
+    own = F.transform("_words", lambda w, i: F.when(signed(w) | ((F.length(w) >= 16) & w.rlike(CANDIDATE) & (w.rlike(MIXED) | w.rlike(_HAS_KNOWN))), i))
+    behind = F.transform("_words", lambda w, i: F.when(w.endswith("=") | w.endswith(":"), i + 1))
+    return words.select(*kept, "_words", F.array_distinct(F.array_compact(F.concat(own, behind))).alias("_at"))
 
 
 def candidates(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, word_pos, part, candidate, word, before, after (neighbouring words), a row a candidate."""
-    at = docs.select(*kept, "text", _found(F.col("text")).alias("_at")).where(F.size("_at") > 0).select(*kept, F.split("text", r"[\x20\x09-\x0D]+").alias("_words"), "_at")
+    at = _with_places(docs, kept)
     near = lambda i, a, b: F.array_join(F.slice("_words", F.greatest(i + 1 + a, F.lit(1)), F.greatest(F.least(i + b, F.size("_words")) - F.greatest(i + a, F.lit(0)), F.lit(0))), " ")
-    rows = at.select(*kept, "_words", F.inline("_at"))
-    rows = rows.select(*kept, "word_pos", "word", near(F.col("word_pos"), -NEIGHBOURS, 0).alias("before"), near(F.col("word_pos"), 1, 1 + NEIGHBOURS).alias("after"), "found")
-    return rows.select(*kept, "word_pos", "word", "before", "after", F.posexplode("found").alias("part", "candidate")).select(*kept, "word_pos", "part", "candidate", "word", "before", "after")
+    found = F.transform("_at", lambda i: F.struct(i.alias("word_pos"), F.get("_words", i).alias("word"), near(i, -2, 0).alias("_two"), near(i, -NEIGHBOURS, 0).alias("before"), near(i, 1, 1 + NEIGHBOURS).alias("after")))
+    rows = at.select(*kept, F.inline(found)).where("word is not null")
+    parts = rows.select(*kept, "word_pos", "word", "before", "after", F.posexplode(_in_word(F.col("word"), F.col("_two"))).alias("part", "candidate"))
+    return parts.select(*kept, "word_pos", "part", "candidate", "word", "before", "after")
 
 
 def features() -> dict[str, Column]:
@@ -255,12 +252,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with REDACTED in the place of each secret, and of other places in the document where the same string stands.
 
-    Longer secrets are replaced before those within them. Rows without candidates are passed on as they are; only the others are grouped and joined.
+    Longer secrets are replaced before those within them. Rows without words that may hold any are passed on as they are; only the others are grouped and joined.
     Rows are told apart by doc_id (also null) and text, so that none gets another's secrets; equal rows get the same. Null and empty texts stay.
     An empty table gives no rows. All columns are returned as they came, whatever their names.
     """
     bare = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    marked = bare.withColumn("_suspect", F.coalesce(F.size(_found(F.col("text"))) > 0, F.lit(False)))
+    marked = _with_places(bare, ("_row", "doc_id", "text")).withColumn("_suspect", F.coalesce(F.size("_at") > 0, F.lit(False))).drop("_words", "_at")
     some = marked.where("_suspect").select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     model = fit(labelled_findings(spark))
     found = scored(candidates(some, ("_id", "_hash")), model).where(F.col("score") >= THRESHOLD)

@@ -41,8 +41,8 @@ LANES = SEGMENTS * SEGMENT_BITS // 64
 MOST_INDEX_BITS, MOST_STAGE_BITS = 64, 56
 #: Before sets are read, pairs are compared by fingerprints over 5-word shingles of 64 times as many bits; 155 expected, with a deviation of 11.5.
 FINE_LANES, MOST_FINE_BITS = 16, 193
-#: Of the members that its entries name first, how many a text is compared with before all others.
-HEADS = 3
+#: Rounds in which every entry names one of its members to compare the others with.
+ROUNDS = 3
 
 
 def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -241,28 +241,25 @@ def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame
     one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "fp")).alias("one"))
     prints, _ = written(one.select("key", "one.*"), "distinct")
     entry = Window.partitionBy("entry")
-    # The first member of each entry: the others are compared with it before all pairs are made.
-    shared, _ = written(_entries(prints).withColumns({"head": F.min("key").over(entry), "n": F.count("*").over(entry)}).where("n > 1").drop("n"), "entries")
-    pairs = shared.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    nearest = F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))
-    first, _ = written(_near(pairs, prints, least).withColumn("nth", nearest).where(F.col("nth") <= HEADS).select("a", "b"), "pairs")
-    links, _ = written(_verified(first, docs, prints, shingle_words, least), "links")
-    component = _components(links)
-    # What still lies apart: every pair of an entry's members whose components differ, by complete distance.
-    named = shared.select("entry", "key").join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).select("entry", "key", "c")
-    several = named.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry", "c0")
-    named, _ = written(named.join(several, "entry"), "named")
-    left = named.where("c <> c0").select("entry", F.col("key").alias("a"), F.col("c").alias("ac"))
-    right = named.select("entry", F.col("key").alias("b"), F.col("c").alias("bc"))
-    rest, _ = written(left.join(right, "entry").where("ac > bc").select("a", "b").distinct(), "rest")
-    rest, _ = written(_near(rest, prints, least), "near")
-    for nearest_only in (True, False):  # first each one's nearest of every other component, then all that then still lie apart
+    shared, _ = written(_entries(prints).withColumn("n", F.count("*").over(entry)).where("n > 1").drop("n"), "entries")
+    links, component = None, None
+    for r in range(ROUNDS):
+        # Each entry names a member, first the same one wherever it can, then each entry its own; what still lies apart from it is compared with it.
+        # That is a row for each member of an entry, however many there are.
+        named = shared if component is None else shared.join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        head = F.min(F.struct(F.xxhash64("key", F.lit(r), *(["entry"] if r else [])), *(c for c in named.columns if c != "entry"))).over(entry)
+        apart = (F.col("key") != F.col("h.key")) if component is None else F.col("c") != F.col("h.c")
+        pairs = named.withColumn("h", head).where(apart).select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
+        near, _ = written(_near(pairs, prints, least), "near")
+        if component is None:  # the nearest first: most others then lie together already
+            nearest = F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))
+            first, _ = written(near.withColumn("nth", nearest).where("nth = 1").select("a", "b"), "pairs")
+            links, _ = written(_verified(first, docs, prints, shingle_words, least), "links")
+            component = _components(links)
         of = lambda c: component.select(F.col("key").alias(c), F.col("component").alias(f"{c}c"))  # noqa: E731, B023
-        apart = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ac": F.coalesce("ac", "a"), "bc": F.coalesce("bc", "b")}).where("ac <> bc")
-        if nearest_only:
-            apart = apart.withColumn("nth", F.row_number().over(Window.partitionBy("a", "bc").orderBy("bits", "b"))).where("nth = 1")
-        apart, _ = written(apart.select("a", "b"), "pairs")
-        more, _ = written(_verified(apart, docs, prints, shingle_words, least), "links")
+        near = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+        near, _ = written(near, "pairs")
+        more, _ = written(_verified(near, docs, prints, shingle_words, least), "links")
         links = links.union(more)
         component = _components(links)
     return rows.select("doc_id", "same", "key").join(component, "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
@@ -273,8 +270,8 @@ def similar_documents(docs: DataFrame, shingle_words: int = STAGE_SHINGLE_WORDS,
 
     Texts link at a Jaccard similarity of least or more between the sets of their shingles. Multi-index hashing finds the candidates: of each of the SEGMENTS
     segments of a wide fingerprint the Hamming ball of radius 1 is entered in a table, so that texts whose fingerprints differ in at most 2 bits of some segment
-    meet; complete distances are verified, and what remains by the sets themselves. Equal sets count once. Members of an entry are compared with a few of them
-    first, and all pairs only between components that are still apart, so that a group of n near copies costs about n comparisons. README has the recall.
+    meet; complete distances are verified, and what remains by the sets themselves. Equal sets count once. An entry's members aren't all compared with each
+    other but with one of them, another one in each of ROUNDS rounds, so that work grows with the entries, not with the square of a group. README has the recall.
     """
     rows, _ = written(similar_sets(docs.where("doc_id is not null").select("doc_id", "text"), shingle_words, least), "similar")
     least_id = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
