@@ -93,20 +93,20 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.forecast_frame(labels(spark, sf_dir), D.market_series_context(cycle(spark, sf_dir)))
 
 
-@query(f"select fuel_type, market_date, day_of_week, is_public_holiday, days_since_last_jump, target_jump_today_h1, target_jump_today_h3, target_jump_today_h7, {rounded(['market_median_price_cpl', 'market_daily_change_cpl', 'tgp_7d_change_cpl'] + ROLLED + TARGETS)} from ({FRAME}) f")
+@query(f"select fuel_type, market_date, day_of_week, is_public_holiday, days_since_last_jump, target_jump_today_h1, target_jump_today_h3, target_jump_today_h7, {rounded(['market_median_price_cpl', 'market_daily_change_cpl', 'tgp_7d_change_cpl'] + ROLLED + TARGETS, 8)} from ({FRAME}) f")
 def forecast_features(spark, sf_dir):
     """A market series' inputs and its targets 1, 3 and 7 market days on."""
     names = ["fuel_type", "market_date", "day_of_week", "is_public_holiday", "days_since_last_jump", "target_jump_today_h1", "target_jump_today_h3", "target_jump_today_h7"]
-    return round_doubles(frame(spark, sf_dir).select(*names, "market_median_price_cpl", "market_daily_change_cpl", "tgp_7d_change_cpl", *ROLLED, *TARGETS))
+    return round_doubles(frame(spark, sf_dir).select(*names, "market_median_price_cpl", "market_daily_change_cpl", "tgp_7d_change_cpl", *ROLLED, *TARGETS), 8)
 
 
-@query("""select fuel_type, market_date, day_of_week, is_public_holiday, round(market_median_price_cpl, 4) market_median_price_cpl, round(tgp_7d_change_cpl, 4) tgp_7d_change_cpl from labels l
+@query("""select fuel_type, market_date, day_of_week, is_public_holiday, round(market_median_price_cpl, 8) market_median_price_cpl, round(tgp_7d_change_cpl, 8) tgp_7d_change_cpl from labels l
     left join (select fuel_type, market_date, max(day_of_week) day_of_week, max(is_public_holiday::int) is_public_holiday, avg(tgp_7d_change_cpl) tgp_7d_change_cpl from cycle group by 1, 2) c using (fuel_type, market_date)""")
 def series_context(spark, sf_dir):
     """The market series beside its weekday, holiday and wholesale context."""
     c = D.market_series_context(cycle(spark, sf_dir))
     out = labels(spark, sf_dir).join(c, ["fuel_type", "market_date"], "left")
-    return round_doubles(out.select("fuel_type", "market_date", "day_of_week", "is_public_holiday", "market_median_price_cpl", "tgp_7d_change_cpl"))
+    return round_doubles(out.select("fuel_type", "market_date", "day_of_week", "is_public_holiday", "market_median_price_cpl", "tgp_7d_change_cpl"), 8)
 
 
 @query("""select fuel_type, row_count, round(coalesce(tp::double / nullif(alerts, 0), 0), 6) as precision, round(coalesce(tp::double / nullif(positives, 0), 0), 6) recall, round(coalesce(2.0 * tp / nullif(alerts + positives, 0), 0), 6) f1, round(positives::double / row_count, 6) positive_rate_actual, round(alerts::double / row_count, 6) positive_rate_predicted,
