@@ -244,10 +244,10 @@ def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame
     shared, _ = written(_entries(prints).withColumn("n", F.count("*").over(entry)).where("n > 1").drop("n"), "entries")
     links, component = None, None
     for r in range(ROUNDS):
-        # Each entry names a member, first the same one wherever it can, then each entry its own; what still lies apart from it is compared with it.
+        # Each entry names a member, first the same one wherever it can, then by an order of each segment's own; what still lies apart from it is compared with it.
         # That is a row for each member of an entry, however many there are.
         named = shared if component is None else shared.join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        head = F.min(F.struct(F.xxhash64("key", F.lit(r), *(["entry"] if r else [])), *(c for c in named.columns if c != "entry"))).over(entry)
+        head = F.min(F.struct(F.xxhash64("key", F.lit(r), *([F.shiftright("entry", SEGMENT_BITS)] if r else [])), *(c for c in named.columns if c != "entry"))).over(entry)
         apart = (F.col("key") != F.col("h.key")) if component is None else F.col("c") != F.col("h.c")
         pairs = named.withColumn("h", head).where(apart).select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
         near, _ = written(_near(pairs, prints, least), "near")
