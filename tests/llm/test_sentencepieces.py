@@ -122,4 +122,21 @@ def test_full_unigram_model(tmp_path_factory, texts):
         assert same or abs(score(ids) - score(want)) < 1e-2 and c.decode(ids) == t.replace("▁", " ")
 
 
+def test_unigram_parity_of_texts_that_share_a_codec(tmp_path):
+    """Letters and runs of one character, whose cuts nearly tie: parity is true just where the whole text's ids agree."""
+    path = tmp_path / "u.model"
+    with open(PATH, "rb") as f:
+        path.write_bytes(_as_unigram(f.read()))
+    c, rng = S.Codec(str(path)), np.random.default_rng(5)
+    assert not c.by_unit
+    differ = 0
+    for _ in range(40):
+        texts = ["".join(rng.choice(list("abcdefghilmnoprstu "), 60)), "x" * int(rng.integers(100, 300)), "x" * int(rng.integers(1, 90)) + " " + "x" * int(rng.integers(1, 90))]
+        for t, (ids, same, _) in zip(texts, c.encode(texts)):
+            want = c.library.encode(t)
+            assert same == (ids.tolist() == want)
+            differ += not same
+    assert differ, "the texts hold no tie"
+
+
 _made: dict = {}

@@ -8,8 +8,9 @@ fallback and decoder. Batches are encoded with the library's threads; its ids ar
 Where no piece has the marker behind another character, a text's ids are those of its units (markers and what follows up to the
 next one) one after the other, so every distinct unit of a batch is encoded once, and decoded once. Parity: each distinct unit is
 also encoded by the sentencepiece library when a worker first meets it; parity is false for a document with a unit whose ids differ.
-In a unigram model several ways to cut a unit can have one score (the same pieces in another order); the libraries may choose
-differently there.
+That holds for BPE models, whose merges stay within a unit. A unigram model's search sums scores over a whole text, and its sums
+break near-ties by what stands before: its texts are encoded whole by both libraries and compared whole. Several ways to cut a text
+can have one score there (the same pieces in another order); the libraries may choose differently, and parity says so.
 
 Defined results. Null text: no ids, decoded as empty. Empty text: no ids. Rows that repeat stay; ties don't arise. A very long text is
 encoded whole, with memory in proportion to it. An empty table gives no rows. Text that holds the marker character itself decodes
@@ -145,7 +146,7 @@ class Codec:
         self.model = Model.parse(data)
         self.tokenizer = self.model.tokenizer()
         self.library = SentencePieceProcessor(model_proto=data)
-        self.by_unit = self.model.splits_at_marks() and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces_go
+        self.by_unit = self.model.model_type == BPE and self.model.splits_at_marks() and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces_go
         self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.units = Runs(self._new if self.by_unit else self._one_by_one, KEPT_UNITS if self.by_unit else 0, np.int32, 2)
 
