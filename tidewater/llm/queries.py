@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, chat_format, embedding_dedup, language_id, license_scan, mixing, secret_scan, sentencepieces, simhash, token_files
+from tidewater.llm import ann, chat_format, embedding_dedup, language_id, license_scan, mixing, secret_scan, sentencepieces, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_token_files": token_files.op9_token_files,
     "op10_sentencepieces": sentencepieces.op10_sentencepieces,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 SQL: dict[str, str] = {
