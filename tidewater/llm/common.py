@@ -64,6 +64,15 @@ def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in batches]) for k in range(batches[0].num_columns)], schema=batches[0].schema)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text begins, and the end; the UTF-8 bytes of all texts); null: empty. texts may be a slice."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return at - at[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
 class Runs:
     """Ids of stretches of text that are encoded by themselves, each once: a worker keeps the first ones that it meets.
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import in_bytes, table
+from tidewater.llm.common import in_bytes, table, text_bytes
 
 #: Documents of more tokens than this are over the limit.
 LIMIT = 1024
@@ -50,11 +50,7 @@ def _cuts_words(config: dict) -> bool:
 
 def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(pieces of all texts one after the other, number of pieces of each): cut where white space follows a visible ASCII character."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if texts.offset:
-        texts = pa.concat_arrays([texts.take(pa.array(np.arange(len(texts))))])
-    at = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: at[-1]]
+    at, raw = text_bytes(texts)
     cut = np.zeros(len(raw) + 1, bool)
     if len(raw):
         cut[1:-1] = _SPACE[raw[1:]] & _VISIBLE[raw[:-1]]
@@ -64,7 +60,7 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     extra = _long_cuts(raw, starts)
     starts = np.union1d(starts, extra) if len(extra) else starts
     offsets = np.r_[starts, len(raw)].astype(np.int64)
-    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), texts.buffers()[2] or pa.py_buffer(b""))
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw))
     upto = np.searchsorted(starts, at)
     return found, np.diff(upto)
 
