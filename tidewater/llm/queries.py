@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, chat_format, embedding_dedup, language_id, license_scan, mixing, phrases, secret_scan, sentencepieces, simhash, token_counts, token_files
+from tidewater.llm import ann, chat_format, embedding_dedup, language_id, license_scan, mixing, phrases, secret_scan, sentencepieces, simhash, token_counts, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepieces": sentencepieces.op10_sentencepieces,
     "op11_token_counts": token_counts.op11_token_counts,
     "op12_phrases": phrases.op12_phrases,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL: dict[str, str] = {
