@@ -2,43 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.geo import arc_km
+from tidewater.functions.geo import EARTH_KM, arc_km
+from tidewater.operators.ordered import with_last_before
+from tidewater.sources.shared import written
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """left with the values of right's last row (same by) at or before left_on, and matched_on, that row's time.
 
-    One shuffle and one sort: both sides become one stream in order of time, in which each row of left takes the last
-    values before it. right has one row for each by and time; left may have any columns.
+    Both sides become one stream in order of time, in which each row of left takes the last values before it. The stream is cut in ranges of key
+    and time (see operators.ordered), so a key may be longer than a task holds. right has one row for each by and time; left may have any columns.
+    Rows of left with a null key or time come back unmatched.
     """
     names = left.columns
-    a = left.select(*by, F.col(left_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(_kind(right, [right_on, *values])).alias("_found"))
-    b = right.select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(_kind(left, names)).alias("_row"), F.struct(right_on, *values).alias("_found"))
-    before = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.last("_found", ignorenulls=True).over(before)).where("_side = 1")
-    return both.select("_row.*", F.col(f"_last.{right_on}").alias("matched_on"), *(F.col(f"_last.{v}").alias(v) for v in values))
+    kind = _kind(right, [right_on, *values])
+    a = left.select(*by, F.col(left_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(kind).alias("_found"))
+    b = right.where(_all_there([*by, right_on])).select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(_kind(left, names)).alias("_row"), F.struct(right_on, *values).alias("_found"))
+    both = with_last_before(a.unionByName(b), by, ["_at", "_side"], "_found", "_last", ranges).where("_side = 1")
+    last = F.when(_all_there([*by, "_at"]), F.col("_last"))
+    return both.select("_row.*", last[right_on].alias("matched_on"), *(last[v].alias(v) for v in values))
+
+
+def _all_there(names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in names))
 
 
 def _kind(df: DataFrame, names: list[str]):
     return df.select(F.struct(*names).alias("s")).schema["s"].dataType
 
 
-def grid_pairs(points: DataFrame, key: str, radius_km: float, lat_reach: float = 0.06, lon_reach: float = 0.07) -> DataFrame:
-    """Pairs (key, other, distance_km) of points within radius_km, key < other.
+#: Points of a tile, on average at most.
+TILE_POINTS = 256
 
-    A point goes to its cell of a grid as wide as the reach and looks for others in the 3 x 3 cells around: an equi-join by cell
-    instead of a comparison of all points. Points apart by more than a reach are no pair, whatever the radius.
+
+def tiles(points: DataFrame, key: str, lat_reach: float, lon_reach: float, tile_points: int = TILE_POINTS) -> DataFrame:
+    """points (key, latitude, longitude; those with a place) with y and x, their cell in a grid as wide as the reach, and tile, their part of it.
+
+    A cell with many points is split by place into k x k parts, of about tile_points each where points are spread; a part that still
+    has more, as many points stand at one place, is split by a hash of the key. A tile is a struct (y, x, part_y, part_x, salt).
     """
-    cells = points.select(F.col(key), "latitude", "longitude", F.floor(F.col("latitude") / lat_reach).alias("y"), F.floor(F.col("longitude") / lon_reach).alias("x"))
+    p = points.select(key, "latitude", "longitude").where("latitude is not null and longitude is not null")
+    p = p.withColumns({"y": F.floor(F.col("latitude") / lat_reach), "x": F.floor(F.col("longitude") / lon_reach)})
+    cells = p.groupBy("y", "x").agg(F.ceil(F.sqrt(F.count("*") / tile_points)).alias("_k"))
+    part = lambda at, cell, reach: F.least(F.floor((F.col(at) / reach - F.col(cell)) * F.col("_k")), F.col("_k") - 1)
+    p = p.join(cells, ["y", "x"]).withColumns({"part_y": part("latitude", "y", lat_reach), "part_x": part("longitude", "x", lon_reach)}).drop("_k")
+    crowds = p.groupBy("y", "x", "part_y", "part_x").agg(F.ceil(F.count("*") / tile_points).alias("_m")).where("_m > 1")
+    p = p.join(crowds, ["y", "x", "part_y", "part_x"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(key), F.col("_m")), F.lit(0)))
+    return p.select(key, "latitude", "longitude", "y", "x", F.struct("y", "x", "part_y", "part_x", "salt").alias("tile"))
+
+
+def tile_pairs(tiled: DataFrame, radius_km: float, lat_reach: float, lon_reach: float) -> DataFrame:
+    """(a, b), a <= b: tiles of neighbouring cells, or of one, whose points can be within reach and radius of each other."""
+    edges = [F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e")]
+    boxes = tiled.groupBy("y", "x", "tile").agg(*edges)
     around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    a = cells.select(F.col(key).alias("_a"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.inline(around))
-    b = cells.select(F.col(key).alias("_b"), F.col("latitude").alias("_lat2"), F.col("longitude").alias("_lon2"), "y", "x")
-    near = a.join(b, ["y", "x"]).where((F.col("_a") < F.col("_b")) & (F.abs(F.col("_lat") - F.col("_lat2")) <= lat_reach) & (F.abs(F.col("_lon") - F.col("_lon2")) <= lon_reach))
+    a = boxes.select(F.col("tile").alias("a"), *(F.col(c).alias(f"{c}1") for c in "snwe"), F.inline(around))
+    b = boxes.select(F.col("tile").alias("b"), *(F.col(c).alias(f"{c}2") for c in "snwe"), "y", "x")
+    lat_gap = F.greatest(F.col("s2") - F.col("n1"), F.col("s1") - F.col("n2"), F.lit(0.0))
+    lon_gap = F.greatest(F.col("w2") - F.col("e1"), F.col("w1") - F.col("e2"), F.lit(0.0))
+    # No way is shorter than that along a meridian, nor than the chord between two meridians where they are closest.
+    narrow = F.least(*(F.cos(F.radians(c)) for c in ("s1", "n1", "s2", "n2")))
+    least_km = F.greatest(F.radians(lat_gap) * EARTH_KM, 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.greatest(narrow, F.lit(0.0)) * F.sin(F.radians(F.least(lon_gap, F.lit(180.0))) / 2))))
+    near = (F.col("a") <= F.col("b")) & (lat_gap <= lat_reach) & (lon_gap <= lon_reach) & (least_km <= radius_km + 1e-6)
+    return a.join(b, ["y", "x"]).where(near).select("a", "b")
+
+
+def grid_pairs(points: DataFrame, key: str, radius_km: float, lat_reach: float = 0.06, lon_reach: float = 0.07, tile_points: int = TILE_POINTS) -> DataFrame:
+    """Pairs (key, other, distance_km) of points within radius_km, key < other. Points without a place, or apart by more than a reach, are in no pair.
+
+    Points are compared by pairs of tiles, an equi-join: tiles hold about tile_points at most, however points crowd, so that no task gets more
+    than a small share of the comparisons, and tiles too far apart aren't compared.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = written(tiles(points, key, lat_reach, lon_reach, tile_points), "tiles")
+    pairs = written(tile_pairs(tiled, radius_km, lat_reach, lon_reach), "tile-pairs")
+    one = tiled.select(F.col(key).alias("_a"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("tile").alias("a"))
+    two = tiled.select(F.col(key).alias("_b"), F.col("latitude").alias("_lat2"), F.col("longitude").alias("_lon2"), F.col("tile").alias("b"))
+    # Dealt in a fixed number of partitions: few bytes make much work here, and partitions that are small in bytes would be put together.
+    met = one.join(pairs, "a").repartition(n, "a", "b").join(two.join(pairs, "b").repartition(n, "a", "b"), ["a", "b"])
+    apart = F.when(F.col("a") == F.col("b"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b"))
+    near = met.where(apart & (F.abs(F.col("_lat") - F.col("_lat2")) <= lat_reach) & (F.abs(F.col("_lon") - F.col("_lon2")) <= lon_reach))
     found = near.withColumn("distance_km", arc_km(F.col("_lat"), F.col("_lon"), F.col("_lat2"), F.col("_lon2"))).where(F.col("distance_km") <= radius_km)
-    return found.select(F.col("_a").alias(key), F.col("_b").alias("other"), "distance_km")
+    return found.select(F.least("_a", "_b").alias(key), F.greatest("_a", "_b").alias("other"), "distance_km")
 
 
 def symmetric(pairs: DataFrame, key: str, other: str = "other") -> DataFrame:

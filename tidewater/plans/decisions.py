@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ordered import with_prefix_sums
 from tidewater.operators.windows import last_rows, series, trend, with_rows_since, with_rows_unchanged
 from tidewater.params import PolicyParams, SeriesParams, ThresholdParams
 
@@ -174,11 +175,13 @@ def row_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     return n.join(average_precision(scores), "fuel_type").drop("tp", "alerts", "positives")
 
 
-def average_precision(scores: DataFrame) -> DataFrame:
-    """By fuel, the step-wise sum of precision over gains in recall at each distinct score; null without a positive."""
+def average_precision(scores: DataFrame, ranges: int | None = None) -> DataFrame:
+    """By fuel, the step-wise sum of precision over gains in recall at each distinct score; null without a positive.
+
+    Rows and hits above a score are prefix sums over ranges of scores, so a fuel's scores may be more than a task holds.
+    """
     by = scores.groupBy("fuel_type", "probability").agg(F.count("*").alias("n"), F.count_if("actual").alias("hits"))
-    w = Window.partitionBy("fuel_type").orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumns({"_n": F.sum("n").over(w), "_hits": F.sum("hits").over(w)})
+    by = with_prefix_sums(by, ["fuel_type"], [F.desc("probability")], {"_n": "n", "_hits": "hits"}, ranges)
     return by.groupBy("fuel_type").agg(F.try_divide(F.sum(F.col("hits") * F.col("_hits") / F.col("_n")), F.sum("hits")).alias("average_precision"))
 
 

@@ -60,9 +60,13 @@ def station_daily_market(prices: DataFrame, stations: DataFrame, params: SeriesP
     return station_market(daily_ohlc(prices), stations, params)
 
 
-def station_market(daily: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams()) -> DataFrame:
-    """daily beside its market's median and its competitors' prices. daily is read several times: as a written or persisted table it is computed once."""
-    stats = competitor_stats(rivals(daily, competitor_pairs(stations, params)))
+def station_market(daily: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams(), colocated: int | None = None) -> DataFrame:
+    """daily beside its market's median and its competitors' prices. daily is read several times: as a written table it is computed once.
+
+    colocated: daily lies in so many buckets by series; what is found of its competitors is dealt likewise, so that neither moves to be joined.
+    """
+    near = rivals(daily, competitor_pairs(stations, params))
+    stats = competitor_stats(near.repartition(colocated, *SERIES) if colocated else near)
     out = daily.join(market_median(daily), ["fuel_type", "market_date"]).join(stats, KEY, "left")
     return out.withColumns(
         {

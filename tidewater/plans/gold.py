@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tidewater import schemas
 from tidewater.plans import features as P
+from tidewater.sources import versions
 from tidewater.sources.raw import write_partitions
 
 KEYS = {"station_daily_market": P.KEY, "competitor_positioning": [*P.KEY, "competitor_station_id"], "indicative_margin": P.KEY, "market_cycle_features": P.KEY, "daily_pricing_inputs": P.KEY, "price_jump_labels": ["fuel_type", "market_date"]}
 
 
-def gold_tables(prices: DataFrame, stations: DataFrame, wholesale: DataFrame, holidays: DataFrame) -> dict[str, DataFrame]:
-    """The six tables as plans. The daily prices under all of them are persisted."""
-    daily = P.daily_ohlc(prices).persist()
+def gold_tables(daily: DataFrame, stations: DataFrame, wholesale: DataFrame, holidays: DataFrame) -> dict[str, DataFrame]:
+    """The six tables as plans over daily prices, which are read many times: a written table, or one that the caller keeps."""
     market = P.station_market(daily, stations)
     margin = P.indicative_margin(daily, wholesale)
     cycle = P.market_cycle_features(daily.join(P.market_median(daily), ["fuel_type", "market_date"]), margin, holidays)
@@ -30,6 +31,40 @@ def gold_tables(prices: DataFrame, stations: DataFrame, wholesale: DataFrame, ho
     }
 
 
+#: Tables of series, bucketed alike; the others have a row a market and day.
+SERIES_TABLES = ("station_daily_market", "competitor_positioning", "indicative_margin", "market_cycle_features", "daily_pricing_inputs")
+
+
+def commit_gold(spark: SparkSession, prices: DataFrame, stations: DataFrame, wholesale: DataFrame, holidays: DataFrame, database: str, root: str, buckets: int | None = None, only: tuple[str, ...] = tuple(KEYS)) -> dict[str, DataFrame]:
+    """Rebuild the tables of database (those named in only), each committed as a whole under root and built from those committed before it.
+
+    Series tables are bucketed by station and fuel (as many buckets as the session has shuffle partitions, if not said), so windows over a
+    series and joins on series and day read them as they lie; the plans over them stand in a session of their own, see versions.colocating().
+    Returned frames belong to that session.
+    """
+    here = versions.colocating(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = versions.Buckets(n, tuple(P.SERIES), tuple(P.KEY))
+    here.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    out = {}
+
+    def put(name: str, make: Callable[[], DataFrame]) -> None:
+        if name in only:
+            rows = schemas.evolved(make(), name)
+            versions.commit(rows, f"{database}.{name}", root, kept if name in SERIES_TABLES else None)
+            out[name] = here.table(f"{database}.{name}")
+
+    versions.commit(P.daily_ohlc(prices), f"{database}.daily_prices", root, kept)
+    daily = here.table(f"{database}.daily_prices")
+    put("station_daily_market", lambda: P.station_market(daily, stations, colocated=n))
+    put("competitor_positioning", lambda: P.competitor_positioning(daily, P.competitor_pairs(stations), stations))
+    put("indicative_margin", lambda: P.indicative_margin(daily, wholesale))
+    put("market_cycle_features", lambda: P.market_cycle_features(out["station_daily_market"], out["indicative_margin"], holidays))
+    put("daily_pricing_inputs", lambda: P.daily_pricing_inputs(out["station_daily_market"], out["indicative_margin"], out["market_cycle_features"]))
+    put("price_jump_labels", lambda: P.jump_labels(P.market_median(daily)))
+    return out
+
+
 def write_gold(spark: SparkSession, prices: DataFrame, stations: DataFrame, wholesale: DataFrame, holidays: DataFrame, root: str) -> dict[str, DataFrame]:
     """Write the tables under root, each from the written ones before it, and return them as read. Days that prices has are overwritten, others stay."""
     out = {}

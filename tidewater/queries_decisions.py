@@ -12,7 +12,7 @@ from tidewater.operators.windows import series
 from tidewater.params import PolicyParams, SeriesParams, ThresholdParams
 from tidewater.plans import decisions as D
 from tidewater.plans import features as P
-from tidewater.queries_features import KEY, changes, daily, margin, market, round_doubles, shared_daily
+from tidewater.queries_features import KEY, changes, daily, gold, round_doubles, shared_daily
 from tidewater.queries_sql import rounded, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,14 +35,19 @@ def query(sql: str):
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.jump_labels(P.market_median(shared_daily(spark, sf_dir)))
+    return P.jump_labels(P.market_median(daily(spark, sf_dir)))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for a model's probabilities: a fixed function of station and day."""
+    d = shared_daily(spark, sf_dir)
+    return scored(d, P.jump_labels(P.market_median(d)))
+
+
+def scored(daily: DataFrame, labels: DataFrame) -> DataFrame:
     p = ((F.col("station_id").cast("long") * 31 + F.dayofmonth("market_date") * 17) % 100).cast("double") / 100
-    known = labels(spark, sf_dir).select("fuel_type", "market_date", F.col("jump_within_48h").alias("actual"), "jump_today")
-    return shared_daily(spark, sf_dir).select(*KEY, p.alias("probability")).join(known, ["fuel_type", "market_date"])
+    known = labels.select("fuel_type", "market_date", F.col("jump_within_48h").alias("actual"), "jump_today")
+    return daily.select(*KEY, p.alias("probability")).join(known, ["fuel_type", "market_date"])
 
 
 @query("""select station_id, fuel_type, count(*) total_observations, datediff('day', min(market_date), max(market_date)) + 1 span_days, count(*) filter (abs(c) > 100) extreme_changes
@@ -164,20 +169,30 @@ def price_staleness(spark, sf_dir):
     return D.staleness(d, PolicyParams(stale_days=2)).select(*KEY, "days_unchanged", "is_stale")
 
 
-def policy_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices, margins and gaps of every day, with stand-ins for the model's outputs."""
-    m = market(spark, sf_dir).select(*KEY, F.col("daily_close_price_cpl").alias("price"), F.col("station_vs_competitor_median_cpl").alias("gap"))
-    g = margin(spark, sf_dir).select(*KEY, F.col("tgp_cpl").alias("tgp"), F.col("indicative_margin_cpl").alias("margin"))
-    s = scores(spark, sf_dir).select(*KEY, "probability", F.col("actual").alias("jump_within_48h"))
-    c = changes(spark, sf_dir).select("fuel_type", "market_date", (3 * F.col("market_daily_change_cpl")).alias("forecast"))
+def _inputs(t: dict[str, DataFrame]) -> DataFrame:
+    """Prices, margins and gaps of every day, with stand-ins for the model's outputs; the feature tables meet as they lie."""
+    daily = t["station_daily_market"]
+    m = daily.select(*KEY, F.col("daily_close_price_cpl").alias("price"), F.col("station_vs_competitor_median_cpl").alias("gap"))
+    g = t["indicative_margin"].select(*KEY, F.col("tgp_cpl").alias("tgp"), F.col("indicative_margin_cpl").alias("margin"))
+    labels = P.jump_labels(daily)
+    s = scored(daily, labels).select(*KEY, "probability", F.col("actual").alias("jump_within_48h"))
+    c = labels.select("fuel_type", "market_date", (3 * F.col("market_daily_change_cpl")).alias("forecast"))
     return m.join(g, KEY, "left").join(s, KEY, "left").join(c, ["fuel_type", "market_date"], "left")
 
 
+def policy_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return gold(spark, sf_dir, "station_daily_market", "indicative_margin")
+
+
+def policy_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inputs(policy_tables(spark, sf_dir))
+
+
 def recommendations(spark: SparkSession, sf_dir: str, params: PolicyParams = PolicyParams()) -> DataFrame:
-    out = D.decided(policy_inputs(spark, sf_dir), params)
-    stale = D.staleness(shared_daily(spark, sf_dir), params).select(*KEY, "is_stale")
+    t = policy_tables(spark, sf_dir)
+    stale = D.staleness(t["station_daily_market"], params).select(*KEY, "is_stale")
     above = F.coalesce(F.col("gap") >= params.follow_min_overpriced, F.lit(False))
-    return out.join(stale, KEY).withColumns({"priced_above": above, "margin_difference": F.col("hypothetical_margin") - F.col("margin")})
+    return D.decided(_inputs(t), params).join(stale, KEY).withColumns({"priced_above": above, "margin_difference": F.col("hypothetical_margin") - F.col("margin")})
 
 
 INPUTS = """select d.station_id, d.fuel_type, d.market_date, d.daily_close_price_cpl price, d.station_vs_competitor_median_cpl gap, m.tgp_cpl tgp, m.indicative_margin_cpl margin, s.probability, s.actual jump_within_48h, 3 * c.market_daily_change_cpl forecast

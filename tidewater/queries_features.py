@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidewater.operators.joins import symmetric
 from tidewater.operators.windows import series
 from tidewater.plans import features as P
+from tidewater.plans.gold import commit_gold
 from tidewater.queries_sql import rounded, with_
 from tidewater.sources import events as E
+from tidewater.sources.shared import new_path, own_database, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,8 +38,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """daily for plans that read it more than once: the session keeps it, on disk where memory is short, and builds lost parts anew."""
-    return daily(spark, sf_dir).persist()
+    """daily for plans that read it more than once: a table in the shared folder, which no other query sees."""
+    return written(daily(spark, sf_dir), "daily")
+
+
+def gold(spark: SparkSession, sf_dir: str, *only: str) -> dict[str, DataFrame]:
+    """Feature tables committed in a database of their own, bucketed by series."""
+    e = E.prices(spark, sf_dir), E.stations(spark, sf_dir), E.wholesale(spark, sf_dir), E.holidays(spark)
+    return commit_gold(spark, *e, own_database(spark), new_path(spark, "gold"), only=only)
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +56,19 @@ def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.indicative_margin(shared_daily(spark, sf_dir), E.wholesale(spark, sf_dir))
 
 
-def with_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = shared_daily(spark, sf_dir)
-    return d.join(P.market_median(d), ["fuel_type", "market_date"])
+    return P.market_cycle_features(d.join(P.market_median(d), ["fuel_type", "market_date"]), P.indicative_margin(d, E.wholesale(spark, sf_dir)), E.holidays(spark))
 
 
-def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.market_cycle_features(with_median(spark, sf_dir), margin(spark, sf_dir), E.holidays(spark))
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_pricing_inputs over the committed tables of its series: no table moves to be joined."""
+    t = gold(spark, sf_dir, "station_daily_market", "indicative_margin", "market_cycle_features")
+    return P.daily_pricing_inputs(t["station_daily_market"], t["indicative_margin"], t["market_cycle_features"])
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.market_changes(P.market_median(shared_daily(spark, sf_dir)))
+    return P.market_changes(P.market_median(daily(spark, sf_dir)))
 
 
 OHLC = ["daily_open_price_cpl", "daily_close_price_cpl", "daily_min_price_cpl", "daily_max_price_cpl"]
@@ -167,7 +177,7 @@ INPUTS = CYCLE + STATS[:3] + ["daily_close_price_cpl", "market_median_price_cpl"
 
 @query(f"select station_id, fuel_type, market_date, rank_within_local_market, competitor_count, days_since_local_minimum, days_since_last_detected_jump, day_of_week, is_public_holiday, {rounded(INPUTS, 8)} from (select m.*, c.* exclude (station_id, fuel_type, market_date, market_median_price_cpl), i.tgp_cpl, i.indicative_margin_cpl from market m left join cycle c using (station_id, fuel_type, market_date) left join margin i using (station_id, fuel_type, market_date)) x")
 def daily_pricing_inputs(spark, sf_dir):
-    return round_doubles(P.daily_pricing_inputs(market(spark, sf_dir), margin(spark, sf_dir), cycle(spark, sf_dir)), 8)
+    return round_doubles(inputs(spark, sf_dir), 8)
 
 
 @query("select fuel_type, market_date, round(market_median_price_cpl, 4) market_median_price_cpl, round(market_daily_change_cpl, 4) market_daily_change_cpl, jump_today, jump_within_24h, jump_within_48h from labels")

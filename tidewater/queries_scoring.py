@@ -13,8 +13,9 @@ from tidewater.plans import decisions as D
 from tidewater.plans import features as P
 from tidewater.plans import models as M
 from tidewater.queries_decisions import FOLDS, labels, scores
-from tidewater.queries_features import KEY, cycle, daily, margin, market, round_doubles, shared_daily
+from tidewater.queries_features import KEY, cycle, daily, inputs, round_doubles, shared_daily
 from tidewater.queries_sql import rounded, with_
+from tidewater.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,11 +35,7 @@ def query(sql: str | None):
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.eligibility(D.series_stats(shared_daily(spark, sf_dir), SERIES), SERIES)
-
-
-def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.daily_pricing_inputs(market(spark, sf_dir), margin(spark, sf_dir), cycle(spark, sf_dir))
+    return D.eligibility(D.series_stats(daily(spark, sf_dir), SERIES), SERIES)
 
 
 ELIGIBLE = """select station_id, fuel_type from (select *, daily_close_price_cpl - lag(daily_close_price_cpl, 14) over (partition by station_id, fuel_type order by market_date) c from daily) x group by 1, 2
@@ -119,7 +116,8 @@ def row_metrics(spark, sf_dir):
 @query(None)
 def jump_model_scores(spark, sf_dir):
     """Boosted trees on the days up to TRAIN_END, probabilities of the days behind it. Trees are no SQL; tested on held-out rows."""
-    t = D.training_set(inputs(spark, sf_dir), eligible(spark, sf_dir), labels(spark, sf_dir)).persist()
+    t = D.training_set(inputs(spark, sf_dir), eligible(spark, sf_dir), labels(spark, sf_dir))
+    t = written(t, "training")
     model = M.jump_classifier(t.where(F.col("market_date") <= F.lit(TRAIN_END)), trees=TREES)
     return M.jump_probabilities(model, t.where(F.col("market_date") > F.lit(TRAIN_END))).select(*KEY, "jump_within_48h", "jump_probability")
 
@@ -127,6 +125,6 @@ def jump_model_scores(spark, sf_dir):
 @query(None)
 def forecast_model_scores(spark, sf_dir):
     """Forecasts 1, 3 and 7 market days on, one regressor a horizon. Trees are no SQL; tested against the last value."""
-    f = frame(spark, sf_dir).persist()
+    f = written(frame(spark, sf_dir), "frame")
     out = M.horizon_forecasts(f, date(2024, 1, 20), trees=TREES)
     return out.select("fuel_type", "market_date", "market_median_price_cpl", *(f"forecast_{h}d" for h in (1, 3, 7)), *(f"forecast_{h}d_change_cpl" for h in (1, 3, 7)))

@@ -13,7 +13,7 @@ from tidewater.operators import quality as Q
 from tidewater.operators import upsert as U
 from tidewater.plans import gold as G
 from tidewater.plans import stations as S
-from tidewater.queries_features import round_doubles
+from tidewater.queries_features import round_doubles, shared_daily
 from tidewater.queries_quality import ADDRESS_KEY, AUDIT, ISSUES, RAW, audit, found_issues, raw
 from tidewater.queries_sql import with_
 from tidewater.sources import events as E
@@ -232,7 +232,7 @@ def public_holidays(spark, sf_dir):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return G.gold_tables(E.prices(spark, sf_dir), E.stations(spark, sf_dir), E.wholesale(spark, sf_dir), E.holidays(spark))
+    return G.gold_tables(shared_daily(spark, sf_dir), E.stations(spark, sf_dir), E.wholesale(spark, sf_dir), E.holidays(spark))
 
 
 @query("""select metric, round(value, 4) as value from (select 'competitor_positioning_row_count' metric, count(*)::double as value from rivals union all select 'daily_pricing_inputs_row_count', count(*) from daily union all select 'price_jump_labels_row_count', count(*) from labels
