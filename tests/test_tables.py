@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def test_written_tables_equal_plans(spark, tmp_path):
     inputs = E.prices(spark, SF), E.stations(spark, SF), E.wholesale(spark, SF), E.holidays(spark)
     out = gold.write_gold(spark, *inputs, str(tmp_path))
-    want = gold.gold_tables(*inputs)
+    want = gold.gold_tables(P.daily_ohlc(inputs[0]), *inputs[1:])
     assert set(out) == set(want) == set(gold.KEYS)
     for name, df in out.items():
         assert df.count() == want[name].count(), name
@@ -35,8 +35,29 @@ def test_written_tables_equal_plans(spark, tmp_path):
     assert again.count() == want["station_daily_market"].count()
 
 
+def test_committed_tables_equal_plans_and_meet_as_they_lie(spark, tmp_path):
+    inputs = E.prices(spark, SF), E.stations(spark, SF), E.wholesale(spark, SF), E.holidays(spark)
+    before = dict(spark.conf.getAll)
+    try:
+        out = gold.commit_gold(spark, *inputs, "gold_test", str(tmp_path), buckets=3)
+        want = gold.gold_tables(P.daily_ohlc(inputs[0]), *inputs[1:])
+        assert set(out) == set(gold.KEYS) and dict(spark.conf.getAll) == before
+        for name, df in out.items():
+            columns = [c for c in df.columns if not c.endswith(("mean_price", "std_price", "avg_cpl", "percentile_30d", "mean_price_cpl", "compression_cpl"))]  # means may differ in the last digit
+            a, b = spark.table(f"gold_test.{name}").select(columns), want[name].select(columns)
+            assert df.count() == b.count() and a.exceptAll(schemas.evolved(b, name).select(columns)).count() == 0, name
+        t = out["station_daily_market"], out["indicative_margin"], out["market_cycle_features"]
+        days = t[0].sparkSession.table("gold_test.market_days")
+        for df in (P.daily_pricing_inputs(*t), P.market_cycle_features(*t[:2], inputs[3], days=days)):
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()  # what is small is broadcast
+        again = gold.commit_gold(spark, inputs[0].where("fuel_type = 'DL'"), *inputs[1:], "gold_test", str(tmp_path), buckets=3, only=("station_daily_market",))
+        assert again["station_daily_market"].select("fuel_type").distinct().collect() == [("DL",)]
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS gold_test CASCADE")
+
+
 def test_features_never_look_ahead(spark):
-    tables = gold.gold_tables(E.prices(spark, SF), E.stations(spark, SF), E.wholesale(spark, SF), E.holidays(spark))
+    tables = gold.gold_tables(P.daily_ohlc(E.prices(spark, SF)), E.stations(spark, SF), E.wholesale(spark, SF), E.holidays(spark))
     for name in ("station_daily_market", "indicative_margin", "market_cycle_features", "daily_pricing_inputs"):
         assert not quality.looks_ahead(tables[name]), name
     assert quality.looks_ahead(tables["price_jump_labels"])

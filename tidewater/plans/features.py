@@ -60,14 +60,15 @@ def station_daily_market(prices: DataFrame, stations: DataFrame, params: SeriesP
     return station_market(daily_ohlc(prices), stations, params)
 
 
-def station_market(daily: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams(), colocated: int | None = None) -> DataFrame:
+def station_market(daily: DataFrame, stations: DataFrame, params: SeriesParams = SeriesParams(), colocated: int | None = None, medians: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """daily beside its market's median and its competitors' prices. daily is read several times: as a written table it is computed once.
 
     colocated: daily lies in so many buckets by series; what is found of its competitors is dealt likewise, so that neither moves to be joined.
+    medians, pairs: market_median(daily) and competitor_pairs(stations), where they are written already: Spark then knows their sizes, and broadcasts what is small.
     """
-    near = rivals(daily, competitor_pairs(stations, params))
+    near = rivals(daily, competitor_pairs(stations, params) if pairs is None else pairs)
     stats = competitor_stats(near.repartition(colocated, *SERIES) if colocated else near)
-    out = daily.join(market_median(daily), ["fuel_type", "market_date"]).join(stats, KEY, "left")
+    out = daily.join(market_median(daily) if medians is None else medians, ["fuel_type", "market_date"]).join(stats, KEY, "left")
     return out.withColumns(
         {
             "price_vs_market_median_cpl": F.col("daily_close_price_cpl") - F.col("market_median_price_cpl"),
@@ -97,10 +98,11 @@ def wholesale_asof(market: DataFrame, wholesale: DataFrame) -> DataFrame:
     return found.withColumn("tgp_match_type", kind)
 
 
-def indicative_margin(daily: DataFrame, wholesale: DataFrame, compat: bool = False) -> DataFrame:
-    """Retail less wholesale price. margin_percentile_30d is null where the margin is; compat counts such rows as lowest instead."""
+def indicative_margin(daily: DataFrame, wholesale: DataFrame, compat: bool = False, asof: DataFrame | None = None) -> DataFrame:
+    """Retail less wholesale price. margin_percentile_30d is null where the margin is; compat counts such rows as lowest instead. asof: wholesale_asof(daily, wholesale), where it is written already."""
     w = series(SERIES, "market_date")
-    m = daily.select(*KEY, F.col("daily_close_price_cpl").alias("retail_price_cpl")).join(wholesale_asof(daily, wholesale), ["fuel_type", "market_date"])
+    found = wholesale_asof(daily, wholesale) if asof is None else asof
+    m = daily.select(*KEY, F.col("daily_close_price_cpl").alias("retail_price_cpl")).join(found, ["fuel_type", "market_date"])
     m = m.withColumn("indicative_margin_cpl", F.col("retail_price_cpl") - F.col("tgp_cpl"))
     margin = F.col("indicative_margin_cpl")
     share = trailing_share(margin, w, 30)
@@ -121,13 +123,18 @@ def market_changes(market: DataFrame) -> DataFrame:
     return days.withColumn("market_daily_change_cpl", change(F.col("market_median_price_cpl"), series(["fuel_type"], "market_date")))
 
 
-def market_cycle_features(market: DataFrame, margin: DataFrame, holidays: DataFrame, params: SeriesParams = SeriesParams()) -> DataFrame:
-    """Trailing features of every series, all over one partitioning by station and fuel."""
+def market_days(market: DataFrame, holidays: DataFrame) -> DataFrame:
+    """What a fuel's day has of its own: the change of the market, and whether it is a holiday. A small table."""
+    free = holidays.select(F.col("holiday_date").alias("market_date"), F.lit(True).alias("is_public_holiday")).distinct()
+    return market_changes(market).select("fuel_type", "market_date", "market_daily_change_cpl").join(free, "market_date", "left")
+
+
+def market_cycle_features(market: DataFrame, margin: DataFrame, holidays: DataFrame, params: SeriesParams = SeriesParams(), days: DataFrame | None = None) -> DataFrame:
+    """Trailing features of every series, all over one partitioning by station and fuel. days: market_days(market, holidays), where it is written already."""
     w = series(SERIES, "market_date")
     close, w7, w14 = F.col("daily_close_price_cpl"), last_rows(w, 7), last_rows(w, 14)
     base = market.select(*KEY, "daily_close_price_cpl", "market_median_price_cpl").join(margin.select(*KEY, "indicative_margin_cpl", "tgp_cpl"), KEY, "left")
-    base = base.join(market_changes(market).select("fuel_type", "market_date", "market_daily_change_cpl"), ["fuel_type", "market_date"])
-    base = base.join(holidays.select(F.col("holiday_date").alias("market_date"), F.lit(True).alias("is_public_holiday")).distinct(), "market_date", "left")
+    base = base.join(market_days(market, holidays) if days is None else days, ["fuel_type", "market_date"])
     rolled = base.withColumns(
         {
             "rolling_7d_min_price": F.min(close).over(w7),

@@ -54,14 +54,19 @@ def commit_gold(spark: SparkSession, prices: DataFrame, stations: DataFrame, who
             versions.commit(rows, f"{database}.{name}", root, kept if name in SERIES_TABLES else None)
             out[name] = here.table(f"{database}.{name}")
 
-    versions.commit(P.daily_ohlc(prices), f"{database}.daily_prices", root, kept)
-    daily = here.table(f"{database}.daily_prices")
-    put("station_daily_market", lambda: P.station_market(daily, stations, colocated=n))
-    put("competitor_positioning", lambda: P.competitor_positioning(daily, P.competitor_pairs(stations), stations))
-    put("indicative_margin", lambda: P.indicative_margin(daily, wholesale))
-    put("market_cycle_features", lambda: P.market_cycle_features(out["station_daily_market"], out["indicative_margin"], holidays))
+    def base(name: str, rows: DataFrame, buckets: versions.Buckets | None = None) -> DataFrame:
+        versions.commit(rows, f"{database}.{name}", root, buckets)
+        return here.table(f"{database}.{name}")
+
+    daily = base("daily_prices", P.daily_ohlc(prices), kept)
+    pairs = base("competitor_pairs", P.competitor_pairs(stations)) if {"station_daily_market", "competitor_positioning"} & {*only} else None
+    medians = base("market_medians", P.market_median(daily))
+    put("station_daily_market", lambda: P.station_market(daily, stations, colocated=n, medians=medians, pairs=pairs))
+    put("competitor_positioning", lambda: P.competitor_positioning(daily, pairs, stations))
+    put("indicative_margin", lambda: P.indicative_margin(daily, wholesale, asof=base("market_wholesale", P.wholesale_asof(medians, wholesale))))
+    put("market_cycle_features", lambda: P.market_cycle_features(out["station_daily_market"], out["indicative_margin"], holidays, days=base("market_days", P.market_days(medians, holidays))))
     put("daily_pricing_inputs", lambda: P.daily_pricing_inputs(out["station_daily_market"], out["indicative_margin"], out["market_cycle_features"]))
-    put("price_jump_labels", lambda: P.jump_labels(P.market_median(daily)))
+    put("price_jump_labels", lambda: P.jump_labels(medians))
     return out
 
 
