@@ -101,7 +101,10 @@ def test_odd_rows(spark, monkeypatch):
 @pytest.mark.parametrize("options", [{"most": 2}, {"most": 4, "least": 3}, {"most": 3, "least": 2, "top": 5}, {"most": 5, "least": 4, "cover": 90, "top": None}])
 def test_against_brute_force(spark, monkeypatch, options):
     monkeypatch.setattr(P, "CHUNK_ROWS", 40)
-    monkeypatch.setattr(P, "FILTER_BITS", 64)  # most infrequent words pass the table
+    for name in ("WORD_BITS", "RUN_BITS"):
+        monkeypatch.setattr(P, name, 64)  # most infrequent words and runs pass the tables
+    monkeypatch.setattr(P, "HELD_RUNS", 500)
+    monkeypatch.setattr(P, "RANGE_RUNS", 300)
     rng = np.random.default_rng(7)
     common = ["the", "of", "b\x01", "b", "york", "new", "é", "city"]
     rows = []

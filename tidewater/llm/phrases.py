@@ -3,10 +3,12 @@
 Texts are cut into pieces and words; a phrase is a run of words within a piece. Growth never leaves frequent prefixes: a phrase is
 frequent only if its first words are.
 
-1. Words are counted by language. Those with enough occurrences are the prefixes to grow; a table of FILTER_BITS bits that holds
-   their checksums, of fixed size, goes to the workers. A bit that is set by chance costs work, never a result.
+1. Words are counted by language; those with enough occurrences are the prefixes to grow. Then runs of two words, three and so on are
+   counted by 64-bit hashes, each only where both runs of a word less in it are frequent: a task sends sorted hashes and counts for every
+   range of hashes, and a range is added up at once. What is frequent goes to the workers as a table of bits of a fixed size for each
+   length. A bit that is set by chance costs work, never a result.
 2. Projection: in a batch of texts every occurrence of a frequent word is a pointer into the batch's words. It is followed to the right
-   up to the piece's end, an infrequent word or the longest phrase. Pointers with the same words behind them are counted, first in
+   while the run is frequent, up to the piece's end or the longest phrase. Pointers with the same words behind them are counted, first in
    the batch, then over the table.
 3. Growth: the counted projections are dealt to tasks by ranges of their words, so that a prefix's projections stand together in order.
    A task takes them in chunks of about CHUNK_ROWS and grows each prefix depth-first: it splits the prefix's range of pointers where
@@ -22,12 +24,12 @@ in a batch of its own; an empty table, or one without a frequent phrase, gives n
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,8 +37,11 @@ from pyspark.sql.window import Window
 from tidewater.llm.common import in_bytes, remove, table, text_bytes, written
 
 MOST_WORDS, LEAST, TOP, COVER = 3, 10, 2000, 50
-#: Bits of the table of frequent words; bytes of text in a worker's batch; projections in a chunk of growth; salts of the last ranking.
-FILTER_BITS, BATCH_BYTES, CHUNK_ROWS, SALTS = 1 << 22, 8 << 20, 500_000, 64
+#: Bits of the tables of frequent words and of frequent runs of each length; bytes of text in a worker's batch; projections in a chunk of growth; salts of the last ranking.
+WORD_BITS, RUN_BITS, BATCH_BYTES, CHUNK_ROWS, SALTS = 1 << 23, 1 << 25, 4 << 20, 100_000, 64
+#: Hashes of runs that a worker holds before it sends them on, and those of a range that are added up at once, on average at most.
+HELD_RUNS, RANGE_RUNS = 1 << 21, 1 << 21
+SEED = 42  # of Spark's xxhash64
 
 #: By byte: 0 part of a word, 1 between words, 2 between pieces; and A-Z in lower case. Fixed values of the query's contract.
 _KIND = np.zeros(256, np.uint8)
@@ -57,10 +62,10 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarra
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | first[1:]
     starts = np.flatnonzero(begins)
-    upto = np.cumsum(inside)
+    upto = np.cumsum(inside, dtype=np.int64 if len(raw) >> 31 else np.int32)
     offsets = np.r_[upto[starts] - 1, upto[-1] if len(upto) else 0].astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]]))
-    piece = np.cumsum((kind == 2) | first)[starts] if len(starts) else np.zeros(0, np.int64)
+    piece = np.cumsum((kind == 2) | first, dtype=upto.dtype)[starts] if len(starts) else np.zeros(0, np.int64)
     return words.dictionary_encode(), piece, np.searchsorted(at, starts, side="right") - 1
 
 
@@ -83,46 +88,100 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def filter_bits(words: DataFrame, least: int) -> bytes:
-    """The table of FILTER_BITS bits with the checksums of words that are frequent in any language: at most FILTER_BITS / 64 rows reach the driver."""
-    slot = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FILTER_BITS))
-    rows = words.where(F.col("f") >= least).select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for i, b in rows.toPandas().itertuples(index=False):
-        out[i] = b
-    return out.tobytes()
+def _bits(slots: DataFrame, size: int) -> np.ndarray:
+    """A table of size bits, as bytes, with those of slots (s long) set: at most size / 64 rows reach the driver."""
+    rows = slots.groupBy(F.expr("cast(s div 64 as int)").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows["i"].to_numpy()] = rows["b"].to_numpy()
+    return out.view(np.uint8)
 
 
-def _maybe_frequent(words: pa.Array, bits: np.ndarray) -> np.ndarray:
-    slot = np.array([zlib.crc32(w) for w in words.cast(pa.large_binary()).to_pylist()], np.int64) % (len(bits) * 8)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def frequent_words(words: DataFrame, least: int) -> np.ndarray:
+    """The bits of words that are frequent in any language."""
+    return _bits(words.where(F.col("f") >= least).select(F.pmod(F.xxhash64("word"), F.lit(WORD_BITS)).alias("s")), WORD_BITS)
 
 
-def projected(words: np.ndarray, piece: np.ndarray, good: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(pointers to the runs of each length from 2 to most, lengths): every pointer to a good word with as many good words behind it in its piece as there are, most at most."""
-    n = len(words)
-    length = good[words].astype(np.int64) if n else np.zeros(0, np.int64)
-    for k in range(1, most):
-        on = np.zeros(n, bool)
-        on[: max(0, n - k)] = (length[: n - k] == k) & (piece[k:] == piece[: n - k]) & good[words[k:]]
-        length[on] += 1
-    return [np.flatnonzero(length == k) for k in range(2, most + 1)], length
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes % np.uint64(len(bits) * 8)
+    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def projections(docs: DataFrame, bits: bytes, most: int = MOST_WORDS) -> DataFrame:
-    """(lang, run, n long): runs of 2 to most words, each with a space behind it, and how many pointers have this and no more behind them."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
+
+
+def _levels(batch: pa.RecordBatch, tables: list[np.ndarray]) -> tuple:
+    """(words, languages, language of each word, places and hashes of the runs of one word more than tables has, length of each word's run).
+
+    tables: the bits of frequent runs of one word, of two, and so on. A run counts if both runs of a word less in it are frequent and it lies in one piece;
+    a word's run is the longest frequent one that begins there.
+    """
+    words, piece, text = words_of(batch.column("text"))
+    langs, lang = _by_lang(batch)
+    code, of_word, h = words.indices.to_numpy(), lang[text], _hashes(words.dictionary)
+    on, goes_on = _set(tables[0], h)[code], piece[1:] == piece[:-1]
+    length = np.ones(len(code), np.int64)
+    with np.errstate(over="ignore"):
+        key = h[code] * np.uint64(0xC2B2AE3D27D4EB4F) + _hashes(langs)[of_word] * np.uint64(0x165667B19E3779F9)
+        for k, bits in enumerate([*tables[1:], None], 2):
+            at = np.flatnonzero(on[:-1] & on[1:] & goes_on)
+            found = key[at] * np.uint64(0x9E3779B97F4A7C15) + h[code[at + k - 1]] * np.uint64(0xC2B2AE3D27D4EB4F)
+            found ^= found >> np.uint64(29)
+            if bits is None:
+                return words, langs, of_word, at, found, length
+            on = np.zeros(len(code), bool)
+            good = _set(bits, found)
+            on[at[good]] = True
+            key[at] = found
+            length[at[good]] = k
+
+
+def frequent_runs(docs: DataFrame, tables: list[np.ndarray], least: int, total: int) -> np.ndarray:
+    """The bits of runs, of one word more than tables has, that are frequent in their language. total: words of docs, from which the number of ranges of hashes follows."""
+    held, ranges = docs.sparkSession.sparkContext.broadcast(tables), -(-max(total, 1) // RANGE_RUNS)
+    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+
+    def sent(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        at = np.r_[0, np.searchsorted(key, edges), len(key)]
+        rows = [(r, key[i:j].tobytes(), n[i:j].astype(np.int32).tobytes()) for r, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["range", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
+        keys, size = [], 0
         for b in in_bytes(batches, "text", BATCH_BYTES):
-            words, piece, text = words_of(b.column("text"))
-            langs, lang = _by_lang(b)
-            code, of_word = words.indices.to_numpy(), lang[text].astype(np.int64)
-            good = _maybe_frequent(words.dictionary, bits)
-            size, vocabulary = max(len(words.dictionary), 1), words.dictionary.cast(pa.string())
-            for k, at in enumerate(projected(code, piece, good, most)[0], 2):
-                key = of_word[at]
+            key = _levels(b, held.value)[-2]
+            keys, size = [*keys, key], size + len(key)
+            if size >= HELD_RUNS:
+                yield sent(keys)
+                keys, size = [], 0
+        if size:
+            yield sent(keys)
+
+    def added(t: pa.Table) -> pa.Table:
+        key = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(t["counts"].to_pylist()), np.int32)
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        frequent = key[first[np.add.reduceat(n, first) >= least]]
+        return pa.table({"s": pa.array((frequent % np.uint64(RUN_BITS)).astype(np.int64))})
+
+    rows = docs.mapInArrow(run, "range int, keys binary, counts binary")
+    return _bits(rows.groupBy("range").applyInArrow(added, "s long"), RUN_BITS)
+
+
+def projections(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(lang, run, n long): runs of 2 words and more, each with a space behind it, and how many pointers have this frequent run and no longer one. tables: as _levels() has them, up to the longest phrase."""
+    held = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_bytes(batches, "text", BATCH_BYTES):
+            words, langs, of_word, _, _, length = _levels(b, held.value)
+            code, size, vocabulary = words.indices.to_numpy(), max(len(words.dictionary), 1), words.dictionary.cast(pa.string())
+            for k in range(2, len(held.value) + 1):
+                at = np.flatnonzero(length == k)
+                key = of_word[at].astype(np.int64)
                 for j in range(k):  # numbers of distinct beginnings, so that keys stay small whatever the length
                     key = key * size + code[at + j]
                     if j < k - 1:
@@ -224,10 +283,13 @@ def collocations(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST, to
     """lang, rank, phrase, a, l, r, n, score of the first top phrases of each language (None: all) of docs (lang, text)."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
     words, _ = written(word_counts(texts), "words")
-    runs, path = written(projections(texts, filter_bits(words, least), most), "projections")
+    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    total, tables = n.agg(F.sum("n")).first()[0] or 0, [frequent_words(words, least)]
+    while len(tables) < most:
+        tables.append(frequent_runs(texts, tables, least, total))
+    runs, path = written(projections(texts, tables), "projections")
     found, _ = written(grown(runs, least, most), "phrases")
     remove(docs.sparkSession, path)
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
     rows = uncovered(scored(found, words, least), cover)
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     if top is not None:
