@@ -34,3 +34,18 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     Context.get = lambda self, key, default=None: None
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_sizes_with_units(spark):
+    assert [C.setting_bytes(x) for x in ("64m", "2KB", "1048576", "1gb", "-1", " 3 k ", "5b")] == [64 << 20, 2048, 1 << 20, 1 << 30, -1, 3072, 5]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        C.small_batches(spark)
+        assert C.setting_bytes(spark.conf.get(key)) == C.BATCH_BYTES
+        spark.conf.set(key, "1k")
+        C.small_batches(spark)
+        assert spark.conf.get(key) == "1k"
+    finally:
+        spark.conf.set(key, before)

@@ -26,14 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 2 << 20
 
 
+def setting_bytes(value: str) -> int:
+    """Bytes of a setting such as 64m, 2kb or 1048576."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", value.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Have the session hand whole texts to Python in batches of at most BATCH_BYTES (or one row), where it allows more.
 
     Spark reads this setting when a plan runs, so that it can't be put back before. It bounds memory and changes no result.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(str(spark.conf.get(key)).rstrip("b"))
-    if now <= 0 or now > BATCH_BYTES:
+    if not 0 < setting_bytes(str(spark.conf.get(key))) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
