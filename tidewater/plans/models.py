@@ -1,16 +1,13 @@
-"""Gradient-boosted trees for jumps and prices, with Spark's own ML. They stand in for leaf-wise boosting, so scores differ from it."""
+"""Boosted trees for jumps and prices: leaf-wise, 31 leaves, on histograms, see boosting."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Inputs of the jump classifier, and of the forecasts at a market's grain; names of the feature tables' columns.
+from tidewater.plans.boosting import Boosted, BoostParams, fit, predicted
+
+#: Inputs of the jump classifier, and of the forecasts at a market's grain; names of the feature tables' columns.
 FEATURES = [
     "daily_close_price_cpl", "market_median_price_cpl", "local_competitor_median_price_cpl", "local_competitor_min_price_cpl", "local_competitor_max_price_cpl",
     "station_price_percentile", "station_vs_competitor_median_cpl", "rank_within_local_market", "competitor_count", "tgp_cpl", "indicative_margin_cpl", "margin_compression_cpl",
@@ -23,35 +20,21 @@ MARKET_FEATURES = [
 ]
 
 
-def _ready(rows: DataFrame, features: list[str]) -> DataFrame:
-    return rows.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"f_{c}") for c in features))
-
-
-def _front(features: list[str]) -> list:
-    return [StringIndexer(inputCol="fuel_type", outputCol="f_fuel", handleInvalid="keep"), VectorAssembler(inputCols=[*(f"f_{c}" for c in features), "f_fuel"], outputCol="_features")]
-
-
-def jump_classifier(rows: DataFrame, label: str = "jump_within_48h", features: list[str] = FEATURES, trees: int = 200, seed: int = 42) -> PipelineModel:
+def jump_classifier(rows: DataFrame, label: str = "jump_within_48h", features: list[str] = FEATURES, trees: int = 200) -> Boosted:
     """A classifier on balanced classes: each class weighs half."""
-    n = rows.agg(F.count("*").alias("n"), F.count_if(label).alias("p")).first()
-    weight = F.when(F.col(label), n.n / (2 * max(n.p, 1))).otherwise(n.n / (2 * max(n.n - n.p, 1)))
-    ready = _ready(rows, features).withColumns({"_label": F.col(label).cast("double"), "_weight": weight})
-    model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed)
-    return Pipeline(stages=[*_front(features), model]).fit(ready)
+    return fit(rows, [*features, "fuel_type"], label, True, BoostParams(trees=trees))
 
 
-def jump_probabilities(model: PipelineModel, rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    out = model.transform(_ready(rows, features)).withColumn("jump_probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return out.select(*rows.columns, "jump_probability")
+def jump_probabilities(model: Boosted, rows: DataFrame) -> DataFrame:
+    return predicted(model, rows, "jump_probability")
 
 
-def price_regressor(rows: DataFrame, label: str, features: list[str], trees: int = 300, seed: int = 42) -> PipelineModel:
-    ready = _ready(rows, features).withColumn("_label", F.col(label)).where("_label is not null")
-    return Pipeline(stages=[*_front(features), GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed)]).fit(ready)
+def price_regressor(rows: DataFrame, label: str, features: list[str], trees: int = 300) -> Boosted:
+    return fit(rows, [*features, "fuel_type"], label, False, BoostParams(trees=trees, min_child=10))
 
 
-def predicted_prices(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(_ready(rows, features)).select(*rows.columns, F.col("prediction").alias("predicted_price"))
+def predicted_prices(model: Boosted, rows: DataFrame) -> DataFrame:
+    return predicted(model, rows, "predicted_price")
 
 
 def horizon_forecasts(frame: DataFrame, train_end, horizons: tuple[int, ...] = (1, 3, 7), features: list[str] = MARKET_FEATURES, trees: int = 300) -> DataFrame:
@@ -59,6 +42,6 @@ def horizon_forecasts(frame: DataFrame, train_end, horizons: tuple[int, ...] = (
     out = frame.where(F.col("market_date") > F.lit(train_end))
     for h in horizons:
         model = price_regressor(frame.where(F.col("market_date") <= F.lit(train_end)), f"target_price_h{h}", features, trees)
-        out = predicted_prices(model, out, features).withColumnRenamed("predicted_price", f"forecast_{h}d")
+        out = predicted_prices(model, out).withColumnRenamed("predicted_price", f"forecast_{h}d")
         out = out.withColumn(f"forecast_{h}d_change_cpl", F.col(f"forecast_{h}d") - F.col("market_median_price_cpl"))
     return out

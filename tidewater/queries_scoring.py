@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: The events cover 30 days: shorter series than in production, and trees of fewer rounds.
 SERIES = SeriesParams(min_observations=8, extreme_change=20.0)
-TRAIN_END, TREES = date(2024, 1, 24), 20
+TRAIN_END, TREES = date(2024, 1, 24), 10
 
 
 def query(sql: str | None):
