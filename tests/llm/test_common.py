@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from tidewater.llm import common
+from tidewater.llm import common as C
 
 
 def test_batches_by_bytes():
