@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import BOX, in_box
+from tidewater.params import values_from_file
 
 
 #: Prices that are plausible, in cents per litre.
@@ -63,8 +63,10 @@ def parses(column: str, kind: str) -> Rule:
 def from_config(entries: list[dict]) -> list[Rule]:
     """Rules from entries such as {"rule": "between", "column": "price", "min": 80, "max": 300, "severity": "warning"}.
 
-    Kinds: not_null, is_numeric, between, greater_than, is_date, is_timestamp, in_set, valid_coordinates. An unknown kind raises
-    ValueError. unique_combination isn't a condition on a row but on all of them: unique_keys() has those entries' columns, for duplicates().
+    Kinds: not_null, is_numeric, between, greater_than, is_date, is_timestamp, in_set, valid_coordinates (also as valid_nsw_coordinates). An unknown
+    kind raises ValueError. in_set takes its values from "values", or from "reference", a file of a list, or of an object, whose values count.
+    unique_combination isn't a condition on a row but on all of them: unique_keys() has those entries, for duplicates(). Actions may be named as
+    imperatives (quarantine, flag, log); in issues they stand as what was done.
     """
     out = []
     for e in entries:
@@ -79,44 +81,59 @@ def from_config(entries: list[dict]) -> list[Rule]:
             "greater_than": lambda: [Rule(f"above_{column}", column, x <= e["value"])],
             "is_date": lambda: [parses(column, "date")],
             "is_timestamp": lambda: [parses(column, "timestamp")],
-            "in_set": lambda: [one_of(column, e["values"])],
-            "valid_coordinates": lambda: coordinates(e.get("latitude", "latitude"), e.get("longitude", "longitude")),
+            "in_set": lambda: [one_of(column, e["values"] if "values" in e else values_from_file(e["reference"]))],
+            "valid_coordinates": lambda: coordinates(*e.get("columns", (e.get("latitude", "latitude"), e.get("longitude", "longitude")))),
         }
+        made["valid_nsw_coordinates"] = made["valid_coordinates"]
         if kind not in made:
             raise ValueError(f"no rule {kind!r}")
-        out += [replace(r, severity=e.get("severity", r.severity), action=e.get("action", r.action)) for r in made[kind]()]
+        out += [replace(r, severity=e.get("severity", r.severity), action=done(e.get("action", r.action))) for r in made[kind]()]
     return out
 
 
-def unique_keys(entries: list[dict]) -> list[list[str]]:
-    return [e["columns"] for e in entries if e["rule"] == "unique_combination"]
+#: What a configured action is called once it was done; fixed values. Of duplicates the latest row stays: the others are dropped.
+DONE = {"quarantine": "quarantined", "flag": "flagged", "log": "logged", "deduplicate_keep_latest": "deduplicated"}
+
+
+def done(action: str) -> str:
+    return DONE.get(action, action)
+
+
+def unique_keys(entries: list[dict]) -> list[dict]:
+    """columns, severity and action of each unique_combination."""
+    return [{"columns": e["columns"], "severity": e.get("severity", "warning"), "action": done(e.get("action", "flag"))} for e in entries if e["rule"] == "unique_combination"]
 
 
 def configured_issues(rows: DataFrame, entries: list[dict], identifier: str, source: str, target: str) -> DataFrame:
     """issues() of all entries of a configuration, those on combinations of columns included: every row behind the first of its key breaks such a rule."""
     found = issues(rows, from_config(entries), identifier, source, target)
-    for key in unique_keys(entries):
+    for u in unique_keys(entries):
+        key = u["columns"]
         again = duplicates(rows, key, [identifier])
-        found = found.unionByName(issue_rows(again, identifier, f"unique_{'_'.join(key)}", "warning", ",".join(key), identifier, source, target).select(*found.columns))
+        made = issue_rows(again, identifier, f"unique_{'_'.join(key)}", u["severity"], ",".join(key), identifier, source, target, u["action"])
+        found = found.unionByName(made.select(*found.columns))
     return found
 
 
-def issue_rows(rows: DataFrame, identifier: str, rule: str, severity: str, columns: str, value: str, source: str, target: str) -> DataFrame:
-    """Every row as an issue, of a rule that is no condition on single rows."""
+def deduplicated(rows: DataFrame, entries: list[dict], latest: list) -> DataFrame:
+    """rows without those that a unique_combination of the entries with action deduplicate_keep_latest drops: of each key the first in the order latest stays; null counts as empty."""
+    for u in unique_keys(entries):
+        if u["action"] == "deduplicated":
+            w = Window.partitionBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in u["columns"])).orderBy(*latest)
+            rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return rows
+
+
+def issue_rows(rows: DataFrame, identifier: str, rule: str, severity: str, columns: str, value: str, source: str, target: str, action: str | None = None) -> DataFrame:
+    """Every row as an issue, of a rule that is no condition on single rows. action: quarantined, or flagged where the severity is less than a warning, if not said."""
     record = F.col(identifier).cast("string")
-    action = "quarantined" if severity in ("error", "critical", "warning") and not rule.startswith("unique_") else "flagged"
+    action = action or ("quarantined" if severity in ("error", "critical", "warning") else "flagged")
     return rows.select(
         F.sha2(F.concat_ws("||", record, F.lit(rule)), 256).alias("issue_id"), F.lit(source).alias("source_table"), F.lit(target).alias("target_table"), F.lit(rule).alias("rule_name"), F.lit(severity).alias("severity"),
         F.lit(columns).alias("column_name"), record.alias("record_identifier"), F.lit(action).alias("action_taken"), F.col(value).cast("string").alias("raw_value"),
     )
 
 
-def looks_ahead(df: DataFrame) -> list[str]:
-    """The window expressions of df's plan that read rows behind the current one: features must have none."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return sorted(set(re.findall(r"lead\([^)]*\)|\w+\([^()]*\) windowspecdefinition\([^)]*(?:unboundedfollowing|, [1-9][0-9]*\)|[0-9]+ following)[^)]*\)", plan, re.IGNORECASE)))
-
-
 def issues(rows: DataFrame, rules: list[Rule], identifier: str, source: str, target: str) -> DataFrame:
     """A row for each broken rule of each row, in one pass; issue_id is a hash of record and rule, so reruns find it again."""
     found = F.filter(F.array(*(F.when(r.broken, F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.column).alias("column_name"), F.lit(r.action).alias("action_taken"))) for r in rules)), lambda x: x.isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -45,27 +46,52 @@ class ThresholdParams:
     fallback: float = 0.5
 
 
-def from_file(kind: type, path: str, section: str | None = None):
-    """Parameters of a kind from a YAML or JSON file, or a section of it; what it doesn't name keeps its default, what the kind doesn't know raises TypeError."""
+def _read(path: str):
     with open(path, encoding="utf-8") as f:
         if path.endswith(".json"):
-            values = json.load(f)
-        else:
-            import yaml  # only where such files are used
+            return json.load(f)
+        import yaml  # only where such files are used
+
+        return yaml.safe_load(f)
+
 
-            values = yaml.safe_load(f)
+def from_file(kind: type, path: str, section: str | None = None):
+    """Parameters of a kind from a YAML or JSON file, or a section of it; what it doesn't name keeps its default, what the kind doesn't know raises TypeError."""
+    values = _read(path)
     values = values if section is None else values[section]
     return kind(**{k: tuple(map(tuple, v.items())) if isinstance(v, dict) else tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
 def rules_from_file(path: str, table: str) -> list[dict]:
-    """The entries of a table's quality rules, as operators.quality.from_config takes them: {table: {validations: {name: {column, rule, params, severity, action}}}}."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            found = json.load(f)
-        else:
-            import yaml
+    """The entries of a table's quality rules, as operators.quality.from_config takes them: {table: {validations: {name: {column, rule, params, severity, action}}}}, or the same under quality_rules.
 
-            found = yaml.safe_load(f)
+    Every column under required_columns is a not_null of critical severity. A reference to another file is read from the file's own folder, its parent's, or as it stands.
+    """
+    found = _read(path)
+    found = found.get("quality_rules", found)
     entries = [{**{k: v for k, v in e.items() if k != "params"}, **e.get("params", {})} for e in found[table]["validations"].values()]
+    here = Path(path).resolve().parent
+    for e in entries:
+        if "reference" in e:
+            e["reference"] = str(next((p for p in (here / e["reference"], here.parent / e["reference"]) if p.exists()), e["reference"]))
     return [{"rule": "not_null", "column": c, "severity": "critical"} for c in found[table].get("required_columns", [])] + entries
+
+
+def values_from_file(path: str) -> list[str]:
+    """The strings of a YAML or JSON file: of a list its items, of an object its values, of objects within it theirs."""
+
+    def of(x) -> list[str]:
+        if isinstance(x, dict):
+            return [v for y in x.values() for v in of(y)]
+        return [v for y in x for v in of(y)] if isinstance(x, list) else [str(x)]
+
+    return sorted(set(of(_read(path))))
+
+
+def freshness_limits(path: str) -> dict[str, dict[str, float]]:
+    """By source: hours after which it is stale, and after which to warn; limits in days count 24 hours."""
+    out = {}
+    for source, limits in _read(path)["freshness"].items():
+        hours = lambda kind, limits=limits: float(limits[f"{kind}_hours_stale"]) if f"{kind}_hours_stale" in limits else 24.0 * limits[f"{kind}_days_stale"]
+        out[source] = {"stale": hours("max"), "warn": hours("alert")}
+    return out

@@ -39,15 +39,75 @@ def schema(name: str) -> T.StructType:
 
 
 def ddl(name: str, database: str) -> str:
-    if not database.isidentifier():
-        raise ValueError(f"{database!r} is no identifier")
-    return f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema(name).toDDL()}) USING PARQUET"
+    return f"CREATE TABLE IF NOT EXISTS {_identifier(database)}.{name} ({schema(name).toDDL()}) USING PARQUET"
+
+
+#: Views by name, over tables of the same database: a CREATE VIEW's text with {db} for it.
+VIEWS = {
+    "pricing_dashboard": """SELECT r.station_id, s.brand, s.postcode, r.fuel_type, r.market_date, r.action, r.recommendation_status, r.hypothetical_price,
+        CASE r.recommendation_status WHEN 'disabled_unsafe' THEN concat('No wholesale margin guards ', r.fuel_type, ': for information only.')
+            WHEN 'watch_only' THEN concat(r.fuel_type, ' is watched only: advisory.') END AS warning_message
+        FROM {db}.recommendations r LEFT JOIN {db}.stations s ON s.station_id = r.station_id""",
+    "latest_recommendations": """SELECT * FROM {db}.recommendations r WHERE market_date = (SELECT max(market_date) FROM {db}.recommendations)""",
+    "failed_runs": """SELECT * FROM {db}.pipeline_runs WHERE status = 'failed'""",
+}
 
 
 def create_all(spark: SparkSession, database: str) -> None:
+    """The database with all tables and views; what is there already stays, and old tables gain the columns that they lack."""
+    _identifier(database)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in TABLES:
         spark.sql(ddl(name, database))
+    evolve(spark, database)
+    for name in VIEWS:
+        spark.sql(view_ddl(name, database))
+
+
+def _identifier(name: str) -> str:
+    if not name.isidentifier():
+        raise ValueError(f"{name!r} is no identifier")
+    return name
+
+
+def view_ddl(name: str, database: str) -> str:
+    return f"CREATE OR REPLACE VIEW {_identifier(database)}.{_identifier(name)} AS {VIEWS[name].format(db=database)}"
+
+
+def missing_columns(spark: SparkSession, name: str, database: str) -> list[T.StructField]:
+    """The columns of the definition that the catalog's table lacks. A column of another type than defined raises ValueError."""
+    there = {f.name: f.dataType for f in spark.table(f"{_identifier(database)}.{_identifier(name)}").schema}
+    if wrong := [f.name for f in schema(name) if there.get(f.name, f.dataType) != f.dataType]:
+        raise ValueError(f"{database}.{name} has columns of another type: {wrong}")
+    return [f for f in schema(name) if f.name not in there]
+
+
+def evolve(spark: SparkSession, database: str) -> dict[str, list[str]]:
+    """Add to every table of the database the columns that it lacks, null in its rows; by table, the columns that were added. Tables that don't exist are left out."""
+    added = {}
+    for name in TABLES:
+        if spark.catalog.tableExists(f"{_identifier(database)}.{name}") and (new := missing_columns(spark, name, database)):
+            spark.sql(f"ALTER TABLE {database}.{name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+            added[name] = [f.name for f in new]
+    return added
+
+
+def described(spark: SparkSession, database: str) -> DataFrame:
+    """(table_name, is_view, column_name, data_type, position) of everything in the database, as the catalog has it."""
+    rows = []
+    for t in spark.catalog.listTables(_identifier(database)):
+        if not t.isTemporary:
+            for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}")):
+                rows.append((t.name, t.tableType == "VIEW", c.name, c.dataType, i + 1))
+    return spark.createDataFrame(rows, "table_name string, is_view boolean, column_name string, data_type string, position int")
+
+
+def drop_all(spark: SparkSession, database: str) -> None:
+    """The database's tables and views of ours, for a rebuild; others stay."""
+    for name in VIEWS:
+        spark.sql(f"DROP VIEW IF EXISTS {_identifier(database)}.{name}")
+    for name in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
 
 
 def evolved(rows: DataFrame, name: str) -> DataFrame:
