@@ -52,11 +52,11 @@ def commit_gold(spark: SparkSession, prices: DataFrame, stations: DataFrame, who
         if name in only:
             rows = schemas.evolved(make(), name)
             versions.commit(rows, f"{database}.{name}", root, kept if name in SERIES_TABLES else None)
-            out[name] = here.table(f"{database}.{name}")
+            out[name] = versions.table(here, f"{database}.{name}")
 
     def base(name: str, rows: DataFrame, buckets: versions.Buckets | None = None) -> DataFrame:
         versions.commit(rows, f"{database}.{name}", root, buckets)
-        return here.table(f"{database}.{name}")
+        return versions.table(here, f"{database}.{name}")
 
     daily = base("daily_prices", P.daily_ohlc(prices), kept)
     pairs = base("competitor_pairs", P.competitor_pairs(stations)) if {"station_daily_market", "competitor_positioning"} & {*only} else None

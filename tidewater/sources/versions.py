@@ -46,6 +46,12 @@ def colocating(spark: SparkSession) -> SparkSession:
     return other
 
 
+def table(spark: SparkSession, name: str) -> DataFrame:
+    """The table as it is now. spark.table() alone may give the version that this session has read before, where another session has committed since."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def location(spark: SparkSession, name: str) -> str | None:
     """The folder of the table's current version; None if there is no such table."""
     if not spark.catalog.tableExists(name):
@@ -66,7 +72,7 @@ def commit(df: DataFrame, name: str, root: str, buckets: Buckets | None = None)
     raises ValueError before anything is written.
     """
     spark, _ = df.sparkSession, _quoted(name)
-    old = spark.table(name).schema if spark.catalog.tableExists(name) else None
+    old = table(spark, name).schema if spark.catalog.tableExists(name) else None
     if old is not None:
         _check(spark, name, df, buckets)
         df = df.select(*old.names, *(c for c in df.columns if c not in old.names))
@@ -86,16 +92,16 @@ def commit(df: DataFrame, name: str, root: str, buckets: Buckets | None = None)
             spark.sql(f"ALTER TABLE {_quoted(name)} ADD COLUMNS ({', '.join(f'`{c.name}` {c.dataType.simpleString()}' for c in new)})")
         _point(spark, name, path)
         spark.sql(f"DROP TABLE {_quoted(staged)}")  # external: its files are the table's now
-    return spark.table(name)
+    return table(spark, name)
 
 
-def _written(df: DataFrame, table: str, path: str, buckets: Buckets | None) -> None:
+def _written(df: DataFrame, name: str, path: str, buckets: Buckets | None) -> None:
     if buckets is None:
-        df.write.option("path", path).format("parquet").saveAsTable(table)
+        df.write.option("path", path).format("parquet").saveAsTable(name)
         return
     out = df.repartition(buckets.n, *buckets.by).write.bucketBy(buckets.n, *buckets.by)  # as buckets are dealt: a file each
     out = out.sortBy(*buckets.sort) if buckets.sort else out
-    out.option("path", path).format("parquet").saveAsTable(table)
+    out.option("path", path).format("parquet").saveAsTable(name)
 
 
 def _check(spark: SparkSession, name: str, df: DataFrame, buckets: Buckets | None) -> None:
@@ -122,7 +128,7 @@ def versions(spark: SparkSession, name: str, root: str) -> list[str]:
 def back_to(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Make an older version current again."""
     _point(spark, name, path)
-    return spark.table(name)
+    return table(spark, name)
 
 
 def vacuum(spark: SparkSession, name: str, root: str, keep: int = 2) -> list[str]:
