@@ -51,6 +51,48 @@ def test_links_against_brute_force(spark):
     assert got == brute({i: x for x, i in prints.items()})
 
 
+def test_segments_leave_out_a_quarter_each(spark):
+    fp = 0xF123_4567_89AB_CDEF
+    row = spark.createDataFrame([(fp - (1 << 64),)], "fp long").select(simhash.segments(F.col("fp")).alias("s")).first()
+    quarters = [fp >> 16 * q & 0xFFFF for q in range(4)]
+    assert row.s == [q << 48 | sum(x << 16 * i for i, x in enumerate(quarters[:q] + quarters[q + 1 :])) for q in range(4)]
+
+
+def test_complete_distance_decides(spark):
+    """Pairs that share a segment of 48 bits, or miss it by a bit, and lie 3 bits apart aren't linked; those 2 apart are, however the bits lie."""
+    rng = random.Random(8)
+    for bits, linked in ((3, False), (2, True), (1, True)):
+        rows, want = [], set()
+        for k in range(40):
+            x, at = rng.getrandbits(64), 16 * rng.randrange(4)
+            y = x
+            for b in rng.sample(range(16), bits):  # within a quarter: the segment without it is the same
+                y ^= 1 << at + b
+            z = y ^ 1 << (at + 20) % 64  # and one bit of another quarter
+            rows += [(3 * k, x), (3 * k + 1, y), (3 * k + 2, z)]
+            want |= {(3 * k, 3 * k + 1)} if linked else set()
+            want |= {(3 * k + 1, 3 * k + 2)} | ({(3 * k, 3 * k + 2)} if bits == 1 else set())
+        prints = spark.createDataFrame([(i, int(np.uint64(x).astype(np.int64))) for i, x in rows], "id long, fp long")
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.fingerprint_links(prints).collect()} == want
+
+
+def test_crowded_entries_against_brute_force(spark, monkeypatch):
+    """A large group around one fingerprint, another within one quarter of its bits: entries are cut, no link is lost, and links stay few."""
+    monkeypatch.setattr(simhash, "MOST_MEMBERS", 4)
+    rng = random.Random(9)
+    prints = {}
+    for k in range(700):
+        y = 0x0123_4567_89AB_CDEF
+        for _ in range(rng.randint(0, 4)):
+            y ^= 1 << (rng.randrange(16) if k % 2 else rng.randrange(64))
+        prints.setdefault(y, len(prints) * 3 + 1)
+    rows = [(i, int(np.uint64(x).astype(np.int64))) for x, i in prints.items()]
+    edges = simhash.fingerprint_links(spark.createDataFrame(rows, "id long, fp long"))
+    got = {i: i for i in prints.values()} | {r.id: r.component for r in connected_components(edges).collect()}
+    assert got == brute({i: x for x, i in prints.items()})
+    assert edges.count() < 200 * len(prints)
+
+
 def test_rows_in_rows_out(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(3, "x y z w"), (1, "x y z w"), (2, None), (9, ""), (None, "x y z w"), (4, "one"), (5, long), (6, long + " end"), (3, "x y z w"), (7, "alone in the world"), (7, "one")]

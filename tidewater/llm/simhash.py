@@ -1,10 +1,13 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has 64 bits, one for each bit that is set in over half of the XXH64 hashes (seed 42) of the text's word
-shingles. Two fingerprints link at no more than 2 differing bits. The index takes, of each of the two 32-bit segments, the
-Hamming ball of radius 1 around the segment's value, with the other segment as it is. Two fingerprints that differ in at most
-2 bits share a point of these balls, and the complete distance of what meets is verified. At most 65 different fingerprints
-meet in a point, so no entry is ever crowded. Equal fingerprints count once; their rows share the search.
+shingles. Two fingerprints link at no more than 2 differing bits. The index takes four overlapping segments of 48 bits, each all but
+one quarter of the fingerprint. Of two fingerprints that link, the segment without a quarter in which they differ differs in one bit
+at most. So a table is keyed by segment and value, each fingerprint looks for the values in the Hamming ball of radius 1 around its
+own (of two values a bit apart, the one with the bit set looks for the other), and the complete distance of what it meets is verified.
+An entry of the table holds at most 2^16 fingerprints, those that share 48 bits. Where one holds more than MOST_MEMBERS, its pairs aren't
+compared: its members, and the fingerprints that look for it, meet in the points of the balls of radius 1 around whole fingerprints, where
+all are within 2 bits of each other and a star of links does. Equal fingerprints count once; their rows share the search.
 
 Defined results. Null or empty text, or no word: fingerprint 0, linked like any other. Fewer words than a shingle has: the
 whole sequence is the one shingle. A null doc_id gets its fingerprint and no component. Repeated doc_ids share a component.
@@ -31,6 +34,8 @@ from tidewater.llm.common import connected_components, in_bytes, small_batches,
 BITS = 64
 SEED = 42
 SHINGLE_WORDS = 3
+#: Fingerprints of an entry that are compared one by one; larger entries have a way of their own.
+MOST_MEMBERS = 32
 #: The rule of the pipeline's stage: Jaccard similarity of the sets of shingles of so many words.
 STAGE_SHINGLE_WORDS, STAGE_SIMILARITY = 5, 0.8
 #: Its index: fingerprints of 256 bits over distinct 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
@@ -74,15 +79,39 @@ def fingerprint_column(text, shingle_words: int = SHINGLE_WORDS):
     return fingerprint(text)
 
 
+def segments(fp: Column) -> Column:
+    """The keys of a fingerprint's four segments: 48 bits, all but quarter q, and above them q."""
+    keys = []
+    for q in range(4):
+        above = F.shiftleft(F.shiftrightunsigned(fp, 16 * (q + 1)), 16 * q) if q < 3 else F.lit(0).cast("long")
+        keys.append(above.bitwiseOR(fp.bitwiseAND(F.lit((1 << 16 * q) - 1))).bitwiseOR(F.lit(q << 48)))
+    return F.array(*keys)
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the ids of prints (id long, fp long; one row a fingerprint) at no more than 2 differing bits.
 
-    Each point links what meets in it to the smallest id there, which makes the components that all pairs would make.
+    They make the components that all pairs would make: pairs that meet in a crowded entry may be linked by others there.
     """
+    keyed = prints.select("id", "fp", F.explode(segments(F.col("fp"))).alias("key"))
+    members = F.collect_list(F.struct("id", "fp"))  # 2^16 at most
+    entries, _ = written(keyed.groupBy("key").agg(members.alias("members")), "entries")
+    few = F.when(F.size("members") <= MOST_MEMBERS, F.col("members"))
+    flips = F.lit([0, *(1 << k for k in range(48))])
+    looked = F.filter(flips, lambda x: (x == 0) | (F.col("key").bitwiseAND(x) != 0))
+    asked = keyed.select("id", "fp", F.explode(F.transform(looked, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
+    met, _ = written(asked.join(entries.select("key", few.alias("members")), "key").select("id", "fp", "members").where("members is null or size(members) > 1 or members[0].id <> id"), "met")
+    near = met.select("id", "fp", F.inline("members").alias("b", "other")).where("id <> b and bit_count(fp ^ other) <= 2")
+    crowd = met.where("members is null").select("id", "fp").union(entries.where(F.size("members") > MOST_MEMBERS).select(F.inline("members"))).distinct()
+    return near.select(F.col("id").alias("a"), "b").union(_meeting_links(crowd))
+
+
+def _meeting_links(prints: DataFrame) -> DataFrame:
+    """Links of fingerprints to the smallest id of each point that their balls of radius 1 share."""
     flips = F.lit([0, *(1 << k for k in range(63)), -(1 << 63)])
-    points = prints.select("id", "fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
-    met = points.withColumn("first", F.min(F.struct("id", "fp")).over(Window.partitionBy("point")))
-    return met.where("id <> first.id and bit_count(fp ^ first.fp) <= 2").select(F.col("id").alias("a"), F.col("first.id").alias("b"))
+    points = prints.select("id", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    met = points.withColumn("first", F.min("id").over(Window.partitionBy("point")))
+    return met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
