@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater import queries_decisions, queries_features, queries_quality, queries_scoring, queries_stations
+from tidewater import queries_decisions, queries_features, queries_quality, queries_scoring, queries_stations, queries_tables
 
-MODULES = (queries_features, queries_decisions, queries_scoring, queries_quality, queries_stations)
+MODULES = (queries_features, queries_decisions, queries_scoring, queries_quality, queries_stations, queries_tables)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
