@@ -87,7 +87,7 @@ def _stand_in(train, test, features, label):
     n = train.agg(F.count("*").alias("n"), F.count_if(label).alias("p")).first()
     ready = lambda d: d.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"f_{c}") for c in features))
     weight = F.when(F.col(label), n.n / (2 * n.p)).otherwise(n.n / (2 * (n.n - n.p)))
-    gbt = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=6, maxDepth=5, stepSize=0.05, seed=42)
+    gbt = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=4, maxDepth=5, stepSize=0.05, seed=42)
     stages = [StringIndexer(inputCol="fuel_type", outputCol="f_fuel", handleInvalid="keep"), VectorAssembler(inputCols=[*(f"f_{c}" for c in features), "f_fuel"], outputCol="_x"), gbt]
     fitted = Pipeline(stages=stages).fit(ready(train).withColumns({"_y": F.col(label).cast("double"), "_w": weight}))
     return fitted.transform(ready(test)).select(F.col(label).alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
@@ -100,7 +100,7 @@ def _precision(scored):
 
 
 def test_beats_the_depth_wise_stand_in_on_held_out_rows(spark):
-    """Six trees of each on a rule of a few features that is deep on one side, learned from two thirds of the rows."""
+    """Four trees of each on a rule of a few features that is deep on one side, learned from two thirds of the rows."""
     rng = np.random.default_rng(3)
     n = 6000
     x = rng.normal(size=(n, 6))
@@ -108,7 +108,7 @@ def test_beats_the_depth_wise_stand_in_on_held_out_rows(spark):
     y = rule ^ (rng.random(n) < 0.05)
     df = spark.createDataFrame([(*map(float, r), "U91" if i % 2 else "DL", bool(v), i % 3 == 0) for i, (r, v) in enumerate(zip(x, y))], "a double, b double, c double, d double, e double, f double, fuel_type string, y boolean, held boolean").repartition(4)
     train, test, features = df.where("not held"), df.where("held"), list("abcdef")
-    ours = M.jump_probabilities(M.jump_classifier(train, "y", features, trees=6), test).select("y", F.col("jump_probability").alias("p"))
+    ours = M.jump_probabilities(M.jump_classifier(train, "y", features, trees=4), test).select("y", F.col("jump_probability").alias("p"))
     a, b = _precision(ours), _precision(_stand_in(train, test, features, "y"))
     print("average precision", a, b)
     assert a > b
@@ -118,7 +118,7 @@ def test_beats_it_on_the_markets_held_out_days(spark):
     sf = "/root/testdata/sf0.01"
     t = written(Q.D.training_set(Q.inputs(spark, sf), Q.eligible(spark, sf), Q.labels(spark, sf)), "t")
     train, test = t.where(F.col("market_date") <= F.lit(Q.TRAIN_END)), t.where(F.col("market_date") > F.lit(Q.TRAIN_END))
-    ours = M.jump_probabilities(M.jump_classifier(train, trees=6), test).select(F.col("jump_within_48h").alias("y"), F.col("jump_probability").alias("p"))
+    ours = M.jump_probabilities(M.jump_classifier(train, trees=4), test).select(F.col("jump_within_48h").alias("y"), F.col("jump_probability").alias("p"))
     a, b = _precision(ours), _precision(_stand_in(train, test, M.FEATURES, "jump_within_48h"))
     print("average precision", a, b)
     assert a > b
