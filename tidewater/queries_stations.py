@@ -13,11 +13,12 @@ from tidewater.operators import quality as Q
 from tidewater.operators import upsert as U
 from tidewater.plans import gold as G
 from tidewater.plans import stations as S
-from tidewater.queries_features import round_doubles, shared_daily
+from tidewater.queries_features import gold, round_doubles
 from tidewater.queries_quality import ADDRESS_KEY, AUDIT, ISSUES, RAW, audit, found_issues, raw
 from tidewater.queries_sql import with_
 from tidewater.sources import events as E
 from tidewater.sources.holidays import nsw
+from tidewater.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,7 +47,8 @@ def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.crosswalk(official(spark, sf_dir), bulk(spark, sf_dir))
+    """A written table: what is made from it reads it several times."""
+    return written(S.crosswalk(official(spark, sf_dir), bulk(spark, sf_dir)), "crosswalk")
 
 
 BULK = """select 'B' || station_id code, upper(replace(address, ',', ' -')) address, postcode from stations where station_id::bigint % 5 <> 0 union all select 'C' || station_id, address, postcode from stations where station_id::bigint % 7 = 0
@@ -232,7 +234,8 @@ def public_holidays(spark, sf_dir):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return G.gold_tables(shared_daily(spark, sf_dir), E.stations(spark, sf_dir), E.wholesale(spark, sf_dir), E.holidays(spark))
+    """All feature tables, committed."""
+    return gold(spark, sf_dir, *G.KEYS)
 
 
 @query("""select metric, round(value, 4) as value from (select 'competitor_positioning_row_count' metric, count(*)::double as value from rivals union all select 'daily_pricing_inputs_row_count', count(*) from daily union all select 'price_jump_labels_row_count', count(*) from labels
