@@ -24,6 +24,7 @@ def test_an_old_table_gains_columns_and_keeps_its_rows(spark, base):
     spark.sql("CREATE TABLE cat_test.stations (station_id string, brand string) USING PARQUET")
     spark.sql("INSERT INTO cat_test.stations VALUES ('1', 'Aster'), ('2', null)")
     schemas.create_all(spark, base)
+    schemas.create_views(spark, base)
     t = spark.table("cat_test.stations")
     assert set(t.columns) == set(schemas.schema("stations").names) and sorted((r.station_id, r.brand, r.latitude) for r in t.collect()) == [("1", "Aster", None), ("2", None, None)]
     assert schemas.evolve(spark, base) == {}
@@ -48,6 +49,7 @@ def test_another_type_is_no_evolution(spark, base):
 
 def test_the_dashboard_by_name(spark, base):
     schemas.create_all(spark, base)
+    schemas.create_views(spark, base)
     rows = [("1", "E10", "LEAD", "automated"), ("2", "U91", "HOLD", "watch_only"), ("3", "DL", "FOLLOW", "disabled_unsafe")]
     r = spark.createDataFrame(rows, "station_id string, fuel_type string, action string, recommendation_status string").withColumn("market_date", F.to_date(F.lit("2024-01-05")))
     schemas.evolved(r, "recommendations").write.insertInto("cat_test.recommendations")

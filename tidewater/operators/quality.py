@@ -65,7 +65,7 @@ def from_config(entries: list[dict]) -> list[Rule]:
 
     Kinds: not_null, is_numeric, between, greater_than, is_date, is_timestamp, in_set, valid_coordinates (also as valid_nsw_coordinates). An unknown
     kind raises ValueError. in_set takes its values from "values", or from "reference", a file of a list, or of an object, whose values count.
-    unique_combination isn't a condition on a row but on all of them: unique_keys() has those entries, for duplicates(). Actions may be named as
+    unique_combination isn't a condition on a row but on all of them: unique_rules() has those entries, for duplicates(). Actions may be named as
     imperatives (quarantine, flag, log); in issues they stand as what was done.
     """
     out = []
@@ -99,7 +99,11 @@ def done(action: str) -> str:
     return DONE.get(action, action)
 
 
-def unique_keys(entries: list[dict]) -> list[dict]:
+def unique_keys(entries: list[dict]) -> list[list[str]]:
+    return [u["columns"] for u in unique_rules(entries)]
+
+
+def unique_rules(entries: list[dict]) -> list[dict]:
     """columns, severity and action of each unique_combination."""
     return [{"columns": e["columns"], "severity": e.get("severity", "warning"), "action": done(e.get("action", "flag"))} for e in entries if e["rule"] == "unique_combination"]
 
@@ -107,7 +111,7 @@ def unique_keys(entries: list[dict]) -> list[dict]:
 def configured_issues(rows: DataFrame, entries: list[dict], identifier: str, source: str, target: str) -> DataFrame:
     """issues() of all entries of a configuration, those on combinations of columns included: every row behind the first of its key breaks such a rule."""
     found = issues(rows, from_config(entries), identifier, source, target)
-    for u in unique_keys(entries):
+    for u in unique_rules(entries):
         key = u["columns"]
         again = duplicates(rows, key, [identifier])
         made = issue_rows(again, identifier, f"unique_{'_'.join(key)}", u["severity"], ",".join(key), identifier, source, target, u["action"])
@@ -117,7 +121,7 @@ def configured_issues(rows: DataFrame, entries: list[dict], identifier: str, sou
 
 def deduplicated(rows: DataFrame, entries: list[dict], latest: list) -> DataFrame:
     """rows without those that a unique_combination of the entries with action deduplicate_keep_latest drops: of each key the first in the order latest stays; null counts as empty."""
-    for u in unique_keys(entries):
+    for u in unique_rules(entries):
         if u["action"] == "deduplicated":
             w = Window.partitionBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in u["columns"])).orderBy(*latest)
             rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

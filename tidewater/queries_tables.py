@@ -80,6 +80,7 @@ def dashboard_view(spark, sf_dir):
     """The dashboard by the name of its view, over catalog tables of recommendations and stations."""
     db = own_database(spark)
     schemas.create_all(spark, db)
+    schemas.create_views(spark, db)
     for name, rows in (("recommendations", D.decided(policy_inputs(spark, sf_dir))), ("stations", E.stations(spark, sf_dir))):
         schemas.evolved(rows, name).write.insertInto(f"{db}.{name}")
         spark.catalog.refreshTable(f"{db}.{name}")  # recommendations are written by a session of their own

@@ -54,12 +54,16 @@ VIEWS = {
 
 
 def create_all(spark: SparkSession, database: str) -> None:
-    """The database with all tables and views; what is there already stays, and old tables gain the columns that they lack."""
+    """The database with all tables; what is there already stays, and old tables gain the columns that they lack."""
     _identifier(database)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in TABLES:
         spark.sql(ddl(name, database))
     evolve(spark, database)
+
+
+def create_views(spark: SparkSession, database: str) -> None:
+    """All views over the database's tables, which must be there; a view that is there already is made anew."""
     for name in VIEWS:
         spark.sql(view_ddl(name, database))
 
