@@ -5,8 +5,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import simhash
-from tidewater.llm.common import connected_components
+from tidewater.llm import common, simhash
+from tidewater.llm.common import connected_components, written
 
 SCHEMA = "doc_id long, text string, id string, fp string, component_id string, a int"
 
@@ -154,3 +154,19 @@ def test_wide_fingerprints_and_word_hashes():
             for lane, salt in enumerate(salts):
                 h = [int(x) for x in simhash._mixed(shingles[at[i] : at[i + 1]] + salt)]
                 assert int(prints[i, lane]) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_joins_are_not_broadcast(spark, monkeypatch):
+    """Both sides of op4's joins grow with the input: none is built on the driver, however small Spark takes it to be."""
+    seen = []
+
+    def planned(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", planned)
+    monkeypatch.setattr(common, "written", planned)
+    docs = spark.createDataFrame([(i, f"a b c {i // 2} {i % 2}", "i", "f", "c", 1) for i in range(40)], SCHEMA)
+    got = simhash.near_duplicates(docs)
+    seen.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in seen) >= 3 and not any("Broadcast" in p for p in seen)

@@ -165,6 +165,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that must not be broadcast: it grows with the input, and Spark's guess, by bytes of compressed files, would build it on the driver."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a long, b long): component is the smallest id reachable.
 
@@ -199,11 +204,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every id hands each larger neighbour the smallest id that it knows, itself included."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every id hands itself and its smaller neighbours the smallest of them. Edges are (larger, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(shuffled(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import connected_components, in_bytes, small_batches, table, written
+from tidewater.llm.common import connected_components, in_bytes, shuffled, small_batches, table, written
 
 BITS = 64
 SEED = 42
@@ -100,7 +100,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     flips = F.lit([0, *(1 << k for k in range(48))])
     looked = F.filter(flips, lambda x: (x == 0) | (F.col("key").bitwiseAND(x) != 0))
     asked = keyed.select("id", "fp", F.explode(F.transform(looked, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
-    met, _ = written(asked.join(entries.select("key", few.alias("members")), "key").select("id", "fp", "members").where("members is null or size(members) > 1 or members[0].id <> id"), "met")
+    met, _ = written(asked.join(shuffled(entries.select("key", few.alias("members"))), "key").select("id", "fp", "members").where("members is null or size(members) > 1 or members[0].id <> id"), "met")
     near = met.select("id", "fp", F.inline("members").alias("b", "other")).where("id <> b and bit_count(fp ^ other) <= 2")
     crowd = met.where("members is null").select("id", "fp").union(entries.where(F.size("members") > MOST_MEMBERS).select(F.inline("members"))).distinct()
     return near.select(F.col("id").alias("a"), "b").union(_meeting_links(crowd))
@@ -121,14 +121,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     distinct, _ = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     # Fingerprints that share their smallest doc_id (repeated ids) meet in one node of the graph by themselves.
     component = connected_components(fingerprint_links(distinct).union(_repeated(prints, distinct)))
-    of_print = distinct.join(component, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of_print, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of_print = distinct.join(shuffled(component), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(shuffled(of_print), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def _repeated(prints: DataFrame, distinct: DataFrame) -> DataFrame:
     """Links between the fingerprints of doc_ids that occur with several ones."""
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    node = prints.join(several, "doc_id", "left_semi").join(distinct, "fp").select("doc_id", "id")
+    node = prints.join(shuffled(several), "doc_id", "left_semi").join(shuffled(distinct), "fp").select("doc_id", "id")
     return node.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
 
