@@ -66,3 +66,12 @@ def test_rows_of_all_pairs(spark):
     again = daily.union(daily.where("station_id = 's000' and fuel_type = 'A' and market_date = '2024-01-01'"))
     mine = [k for k in want if k[1:] == ("A", date(2024, 1, 1)) and (k[0] == "s000" or "s000" in want[k][1])]
     assert P.repeated_rivals(again, near).first().value == sum(len(want[k][1]) if k[0] == "s000" else 1 for k in mine)
+
+
+def test_both_directions_without_a_row_for_each_in_between(spark):
+    """Places are turned round before pairs are unfolded: each edge comes once, and no plan step turns pairs of stations."""
+    _, stations = market(spark)
+    pairs, edges = P.competitor_pairs(stations, places=3), P.competitor_edges(stations, places=3)
+    one, both = [tuple(r) for r in pairs.collect()], [tuple(r) for r in edges.collect()]
+    assert len(both) == len(set(both)) == 2 * len(one) and set(both) == {*one, *((b, a, d) for a, b, d in one)}
+    assert len(one) > 300 * 299 / 2 and all(a < b and d == round(d, 3) for a, b, d in one)

@@ -105,17 +105,35 @@ def spot_pairs(found: DataFrame, radius_km: float, lat_reach: float = 0.06, lon_
     )
 
 
-def grid_pairs(points: DataFrame, key: str, radius_km: float, lat_reach: float = 0.06, lon_reach: float = 0.07, tile_points: int = TILE_POINTS) -> DataFrame:
+def grid_pairs(points: DataFrame, key: str, radius_km: float, lat_reach: float = 0.06, lon_reach: float = 0.07, tile_points: int = TILE_POINTS, places: int | None = None) -> DataFrame:
     """Pairs (key, other, distance_km) of points within radius_km, key < other. Points without a place, or apart by more than a reach, are in no pair.
 
     Places are compared (spot_pairs), once however many points stand there; pairs of points are unfolded from theirs where those are found, and not moved.
+    places: decimal places that distances are rounded to, once a pair of places.
     """
-    near = spot_pairs(spots(points, key, tile_points), radius_km, lat_reach, lon_reach, tile_points)
-    each = near.select("a", "b", "distance_km", "b_members", F.explode("a_members").alias("_x")).select("a", "b", "distance_km", "_x", F.explode("b_members").alias("_y"))
+    each = _unfolded(_rounded(spot_pairs(spots(points, key, tile_points), radius_km, lat_reach, lon_reach, tile_points), places))
     apart = F.when(F.col("a") == F.col("b"), F.col("_x") < F.col("_y")).otherwise(F.col("_x") != F.col("_y"))
     return each.where(apart).select(F.least("_x", "_y").alias(key), F.greatest("_x", "_y").alias("other"), "distance_km")
 
 
+def grid_edges(points: DataFrame, key: str, radius_km: float, places: int | None = None) -> DataFrame:
+    """grid_pairs in both directions: pairs of places are turned round, not those of points."""
+    near = _rounded(spot_pairs(spots(points, key), radius_km), places)
+    there, back = ("a", "b", "a_members", "b_members"), ("b", "a", "b_members", "a_members")
+    ways = F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(way, there))) for way in (there, back)))
+    both = near.select("distance_km", F.inline(F.filter(ways, lambda w, i: (i == 0) | (w["a"] != w["b"]))))
+    return _unfolded(both).where("_x <> _y").select(F.col("_x").alias(key), F.col("_y").alias("other"), "distance_km")
+
+
+def _rounded(near: DataFrame, places: int | None) -> DataFrame:
+    return near if places is None else near.withColumn("distance_km", F.round("distance_km", places))
+
+
+def _unfolded(near: DataFrame) -> DataFrame:
+    """a, b, distance_km, _x, _y: a row for each member of a beside each of b."""
+    return near.select("a", "b", "distance_km", "b_members", F.explode("a_members").alias("_x")).select("a", "b", "distance_km", "_x", F.explode("b_members").alias("_y"))
+
+
 def symmetric(pairs: DataFrame, key: str, other: str = "other") -> DataFrame:
     """Each pair in both directions; the pairs are found once."""
     rest = [c for c in pairs.columns if c not in (key, other)]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.joins import asof_join, grid_pairs, spot_pairs, spots
+from tidewater.operators.joins import asof_join, grid_edges, grid_pairs, spot_pairs, spots
 from tidewater.operators.windows import change, days_since, last_rows, series, trailing_share
 from tidewater.params import SeriesParams
 from tidewater.sources.shared import written
@@ -34,8 +34,13 @@ def market_median(daily: DataFrame) -> DataFrame:
     return daily.groupBy("fuel_type", "market_date").agg(F.percentile_approx("daily_close_price_cpl", 0.5, 1_000_000).alias("market_median_price_cpl"))
 
 
-def competitor_pairs(stations: DataFrame, params: SeriesParams = SeriesParams()) -> DataFrame:
-    return grid_pairs(stations, "station_id", params.radius_km).withColumnRenamed("other", "competitor_station_id")
+def competitor_pairs(stations: DataFrame, params: SeriesParams = SeriesParams(), places: int | None = None) -> DataFrame:
+    return grid_pairs(stations, "station_id", params.radius_km, places=places).withColumnRenamed("other", "competitor_station_id")
+
+
+def competitor_edges(stations: DataFrame, params: SeriesParams = SeriesParams(), places: int | None = None) -> DataFrame:
+    """competitor_pairs in both directions."""
+    return grid_edges(stations, "station_id", params.radius_km, places).withColumnRenamed("other", "competitor_station_id")
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.joins import symmetric
 from tidewater.operators.windows import series
 from tidewater.plans import features as P
 from tidewater.plans.gold import commit_gold
@@ -97,12 +96,12 @@ def market_rank(spark, sf_dir):
 
 @query("select station_id, competitor_station_id, round(distance_km, 3) distance_km from pairs")
 def competitor_pairs(spark, sf_dir):
-    return round_doubles(P.competitor_pairs(E.stations(spark, sf_dir)), 3)
+    return P.competitor_pairs(E.stations(spark, sf_dir), places=3)
 
 
 @query("select station_id, competitor_station_id, round(distance_km, 3) distance_km from edges")
 def symmetric_edges(spark, sf_dir):
-    return round_doubles(symmetric(P.competitor_pairs(E.stations(spark, sf_dir)), "station_id", "competitor_station_id"), 3)
+    return P.competitor_edges(E.stations(spark, sf_dir), places=3)
 
 
 STATS = ["local_competitor_min_price_cpl", "local_competitor_max_price_cpl", "local_competitor_median_price_cpl", "local_competitor_mean_price_cpl", "station_price_percentile"]
