@@ -127,3 +127,13 @@ def test_small_sketches_are_exact(spark):
     got = S.sketched(rows, ["k"], "v").select(S.quantile("sketch", 0.5).alias("m"), S.rank("sketch", F.lit(0.5)).alias("r")).first()
     v = sorted(r.v for r in rows.collect())
     assert got.m == v[149] and abs(got.r - np.mean(np.array(v) <= 0.5)) < 1e-9
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """What is read of a load doesn't parse its lines again, however it is filtered."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEAD + "\n" + line("One", "150.5") + line("Two", "n/a"))
+    audit = spark.createDataFrame([], "source_file string, checksum string, finished_at timestamp, status string")
+    rows, made = raw.load_new(spark, str(tmp_path / "in"), audit, "r1")
+    assert "from_csv" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.Price for r in rows.collect()] == [150.5] and [(r.records_read, r.records_rejected) for r in made.collect()] == [(2, 1)]

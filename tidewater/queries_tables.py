@@ -59,7 +59,7 @@ def streamed_files(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     price = F.when(F.col("event_id") % 10 == 3, "n/a").otherwise(F.round("value", 2).cast("string"))
     made = {"ServiceStationName": F.concat(F.lit("Station, "), F.col("user_id")), "Address": F.col("event_id").cast("string"), "FuelCode": F.col("event_type"), "PriceUpdatedDate": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "Price": price}
-    e.select(*(made.get(c, F.lit("x")).alias(c) for c in R.PRICE_COLUMNS)).repartition(4, "Address").write.option("header", True).csv(at)
+    e.select(*(made.get(c, F.lit("x")).alias(c) for c in R.PRICE_COLUMNS)).repartition("Address").write.option("header", True).csv(at)
     ingest.load_files(spark, at, new_path(spark, "loads"), f"{db}.prices", f"{db}.loads", new_path(spark, "loaded")).awaitTermination()
     p = versions.table(spark, f"{db}.prices")
     return p.select(F.col("Address").alias("record"), F.col("FuelCode").alias("fuel"), F.col("Price").alias("price"), F.col("PriceUpdatedDate").alias("seen_at"))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewater.operators import upsert as U
 from tidewater.sources import versions
 from tidewater.sources.raw import loaded_files, parsed_lines
+from tidewater.sources.shared import new_path, remove
 
 #: What names an observation, and the columns of the table of loads.
 KEY = ["ServiceStationName", "Address", "FuelCode", "PriceUpdatedDate"]
@@ -22,16 +23,17 @@ LOADS = "source_file string, status string, records_read long, records_rejected
 
 def load_batch(lines: DataFrame, prices: str, loads: str, root: str) -> None:
     """Upsert the lines (source_file, value) of one batch into the two tables. Of a key that comes twice, the row of the file that is last by name counts."""
-    spark = lines.sparkSession
-    kept = lines.persist()
+    spark, path = lines.sparkSession, new_path(lines.sparkSession, "parsed")
     try:
-        rows, files = parsed_lines(kept)
+        rows, files = parsed_lines(lines)
+        rows.write.parquet(path)  # parsed once: a filter on what is parsed would be moved before the parsing, and parse anew for each of its terms
+        rows = spark.read.schema(rows.schema).parquet(path)
         good = U.latest_row(rows.where("_corrupt_record is null").drop("_corrupt_record"), KEY, "source_file")
         new = loaded_files(rows, files).withColumn("loaded_at", F.current_timestamp())
         for name, df, key in ((prices, good, KEY), (loads, new, ["source_file"])):
             versions.commit(U.upsert(versions.table(spark, name), df, key) if spark.catalog.tableExists(name) else df, name, root)
     finally:
-        kept.unpersist()
+        remove(spark, path)
 
 
 def load_files(spark: SparkSession, path: str, checkpoint: str, prices: str, loads: str, root: str, files_a_batch: int = 1000) -> StreamingQuery:
