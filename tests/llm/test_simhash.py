@@ -170,3 +170,51 @@ def test_joins_are_not_broadcast(spark, monkeypatch):
     got = simhash.near_duplicates(docs)
     seen.append(got._jdf.queryExecution().executedPlan().toString())
     assert sum("Join" in p for p in seen) >= 3 and not any("Broadcast" in p for p in seen)
+
+
+def test_no_link_is_lost(spark):
+    """A family whose members share one long passage and are similar in pairs only, just so: neither a named member nor the index leads to every partner."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for k in range(60):  # the ends of two pairs differ too much for a link, those within a pair in as many words as a link allows
+        own = [f"f{k}_{i}" for i in range(32)]
+        rows += [(len(rows) + 1, " ".join(passage + own)), (len(rows) + 2, " ".join(passage + own[:-16] + [f"g{k}_{i}" for i in range(16)]))]
+    pairs = [(2 * k + 1, 2 * k + 2) for k in range(60)]
+    for k in range(40):  # words changed all over
+        words = list(passage)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows) + 1, " ".join(words)))
+    sets = {i: {tuple(x) for x in zip(*(t.split()[k:] for k in range(5)))} for i, t in rows}
+    label = {i: i for i in sets}
+    near = {i: [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    while (new := {i: min(label[j] for j in near[i]) for i in sets}) != label:
+        label = new
+    assert all(label[j] == i for i, j in pairs) and len(set(label.values())) > 60
+    docs = spark.createDataFrame([(*r, "i", "f", "c", 1) for r in rows], SCHEMA)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == label
+
+
+def test_prefixes_and_bounds_leave_out_nothing():
+    """Similar sets share a shingle of both prefixes, before the first of which all shingles differ; bounds differ in no more bits than the sets."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 90), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[rng.random(len(base)) > d], base[:1], rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)]) for d in (0, 0.05, 0.1, 0.3)]
+    flat, at = np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]
+    some = np.unique(flat)[::3]
+    for common in ((some, rng.integers(2, 9, len(some))), (np.zeros(0, np.uint64), np.zeros(0, np.int64))):
+        first, upto = simhash.prefixes(flat, at, 0.8, common)
+        bits, met = simhash.bounds(flat, at).view(np.uint64), 0
+        for i in range(len(sets)):
+            for j in range(i):
+                shared, n = len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])
+                assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= n - 2 * shared
+                if shared >= 0.8 * (n - shared):
+                    x, y = first[upto[i] : upto[i + 1]].tolist(), first[upto[j] : upto[j + 1]].tolist()
+                    at_x = next(k for k, v in enumerate(x) if v in y)
+                    assert at_x + y.index(x[at_x]) <= n - 2 * shared
+                    met += 1
+        assert met > 100

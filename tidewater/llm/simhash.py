@@ -41,13 +41,10 @@ STAGE_SHINGLE_WORDS, STAGE_SIMILARITY = 5, 0.8
 #: Its index: fingerprints of 256 bits over distinct 2-word shingles, in segments of 32. Changed words touch fewer of these shingles than of longer ones.
 INDEX_WORDS, SEGMENTS, SEGMENT_BITS = 2, 8, 32
 LANES = SEGMENTS * SEGMENT_BITS // 64
-#: Complete distances, of 256 bits, beyond which a pair isn't compared by its sets: of the index's fingerprints and of those over 5-word
-#: shingles. At a similarity of 0.8 the expected distance is 39 at most (an angle of acos(8/9)), with a standard deviation of 5.7.
-MOST_INDEX_BITS, MOST_STAGE_BITS = 64, 56
-#: Before sets are read, pairs are compared by fingerprints over 5-word shingles of 64 times as many bits; 155 expected, with a deviation of 11.5.
-FINE_LANES, MOST_FINE_BITS = 16, 193
-#: Rounds in which every entry names one of its members to compare the others with.
-ROUNDS = 3
+#: The exact join's order of shingles, rarest first, is taken from one in SAMPLE_PART of the texts: of those that occur in it repeatedly, the FREQUENT commonest. It only steers the work.
+SAMPLE_PART, FREQUENT = 16, 1 << 19
+#: Bits, of 64 a lane, by which a pair's sets are bounded before they are read.
+BOUND_LANES = 16
 
 
 def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -202,20 +199,62 @@ def _set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
 
-def _prints(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, key (of the shingle set), n (its size), index and fp (fingerprints over INDEX_WORDS and shingle_words words, fp of FINE_LANES), same (a hash of the text)."""
+def common_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sorted; how often each occurs) of the sample's commonest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_bytes(batches, "text"):
+            found, counts = np.unique(shingle_sets(*shingle_hashes(*word_hashes(b.column("text")), shingle_words))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["shingle", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PART)) == 0).select("text").mapInArrow(run, "shingle long, n long")
+    most = sample.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingles, counts = (most.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], counts[order]
+
+
+def prefixes(sets: np.ndarray, offsets: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the first shingles of each set in one order of all shingles, the rarest first; their offsets and the end).
+
+    They are all but ceil(least * n) - 1 of a set of n: two sets of a Jaccard similarity of least share ceil(least * n) or more, so that one at least is among these, in both.
+    """
+    n = np.diff(offsets)
+    seen = np.zeros(len(sets), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], sets), len(common[0]) - 1)
+        seen = np.where(common[0][at] == sets, common[1][at], 0)
+    order = np.lexsort((sets, seen, np.repeat(np.arange(len(n)), n)))
+    count = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+    return sets[order][np.arange(len(sets)) - np.repeat(offsets[:-1], n) < np.repeat(count, n)], np.r_[0, np.cumsum(count)]
+
+
+def bounds(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(sets, BOUND_LANES) longs in which each shingle of a set has turned one bit: those of two sets differ in no more bits than the sets in shingles, as shared ones cancel out."""
+    n = np.diff(offsets)
+    out = np.zeros(len(n) * BOUND_LANES, np.uint64)
+    lane = np.repeat(np.arange(len(n)) * BOUND_LANES, n) + (sets >> np.uint64(6) & np.uint64(BOUND_LANES - 1)).astype(np.int64)
+    np.bitwise_xor.at(out, lane, np.uint64(1) << (sets & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, BOUND_LANES)
+
+
+def _prints(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """doc_id, same (a hash of the text), key (of the shingle set), n (its size), index (fingerprint over INDEX_WORDS words), bits (bounds of the set), prefix (see prefixes)."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_bytes(batches, "text"):
             words, offsets = word_hashes(b.column("text"))
             wide = wide_fingerprints(*shingle_sets(*shingle_hashes(words, offsets, INDEX_WORDS)))
             sets, at = shingle_sets(*shingle_hashes(words, offsets, shingle_words))
-            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, wide_fingerprints(sets, at, FINE_LANES))]
+            longs = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, bounds(sets, at))]
+            first, upto = prefixes(sets, at, least, common.value)
+            prefix = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first.view(np.int64)))
             keys = pa.array([_set_key(sets[i:j]) for i, j in zip(at[:-1], at[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(np.diff(at)), *longs, b.column("same")], ["doc_id", "key", "n", "index", "fp", "same"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), keys, pa.array(np.diff(at)), *longs, prefix], ["doc_id", "same", "key", "n", "index", "bits", "prefix"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, index array<long>, fp array<long>, same long")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, key long, n long, index array<long>, bits array<long>, prefix array<long>")
 
 
 def _entries(prints: DataFrame) -> DataFrame:
@@ -226,15 +265,41 @@ def _entries(prints: DataFrame) -> DataFrame:
     return prints.select("key", F.explode(entries).alias("entry"))
 
 
-def _distance(x: str, y: str, lanes: int = LANES) -> Column:
-    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(lanes)), F.lit(0))
+def _may_link(x: str, y: str, least: float, apart: Column | None = None) -> Column:
+    """Whether two sets can have the similarity by their sizes and the shingles that differ: apart at least, if given, and the bits of their bounds."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    most = (nx + ny) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+    bits = sum((F.bit_count(F.get(f"bits{x}", F.lit(k)).bitwiseXOR(F.get(f"bits{y}", F.lit(k)))) for k in range(BOUND_LANES)), F.lit(0))
+    sizes = (nx >= least * ny - 1e-9) & (ny >= least * nx - 1e-9)
+    return (sizes if apart is None else sizes & (apart <= most)) & (bits <= most)
 
 
-def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """a, b, bits (distance of the stage's fingerprints) of the pairs (a, b) of keys whose complete distances and sizes allow the similarity."""
-    of = lambda c: prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("index").alias(f"i{c}"), F.slice("fp", 1, LANES).alias(f"f{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9))
-    return both.where(_distance("ia", "ib") <= MOST_INDEX_BITS).select("a", "b", _distance("fa", "fb").alias("bits")).where(F.col("bits") <= MOST_STAGE_BITS)
+def _nearest(prints: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of keys by the index: each key with the one with which it shares most entries, of those that its entries name, if their sets may link."""
+    head = F.min(F.struct(F.xxhash64("key").alias("h"), "key")).over(Window.partitionBy("entry"))
+    met = _entries(prints).withColumn("head", head["key"]).where("key <> head").groupBy("key", "head").agg(F.count("*").alias("times"))
+    pairs, _ = written(met.groupBy("key").agg(F.max(F.struct("times", "head")).alias("m")).select(F.least("key", "m.head").alias("a"), F.greatest("key", "m.head").alias("b")).distinct(), "near")
+    of = lambda c: shuffled(prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b", least)).select("a", "b")
+
+
+def _apart(prints: DataFrame, component: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) of keys in different components whose sets can have the similarity: none is left out.
+
+    Such sets share a shingle of both prefixes; where they share the first one, all before it differ. Of a shingle's sets only those outside its largest component
+    look for others, so that a group that lies together already isn't compared with itself.
+    """
+    shingle = Window.partitionBy("shingle")
+    entries, _ = written(prints.select("key", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("times", F.count("*").over(shingle)).where("times > 1").drop("times"), "entries")
+    placed = entries.join(shuffled(component), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    mixed = placed.withColumns({"lo": F.min("c").over(shingle), "hi": F.max("c").over(shingle)}).where("lo <> hi").drop("lo", "hi")
+    mixed = mixed.withColumn("times", F.count("*").over(Window.partitionBy("shingle", "c"))).withColumn("main", F.max(F.struct("times", "c")).over(shingle)["c"]).drop("times")
+    mixed, _ = written(mixed.join(shuffled(prints.select("key", "bits")), "key"), "mixed")
+    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("key", "n", "bits", "pos", "c")]
+    x, y = mixed.where("c <> main").select("shingle", *side("x")), mixed.select("shingle", "main", *side("y"))
+    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("keyx") < F.col("keyy")))
+    pairs = x.join(shuffled(y), "shingle").where(once & _may_link("x", "y", least, F.col("posx") + F.col("posy")))
+    return pairs.select(F.least("keyx", "keyy").alias("a"), F.greatest("keyx", "keyy").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle_words: int, least: float) -> DataFrame:
@@ -246,15 +311,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle_word
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(found[i:j]) for i, j in zip(at[:-1], at[1:])], pa.int64()), lists], ["key", "set"])
 
-    of = lambda c: prints.select(F.col("key").alias(c), F.col("fp").alias(f"f{c}"))
-    pairs, _ = written(pairs.join(of("a"), "a").join(of("b"), "b").where(_distance("fa", "fb", FINE_LANES) <= MOST_FINE_BITS).select("a", "b"), "pairs")
+    pairs, _ = written(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = prints.join(needed, "key", "left_semi").select("doc_id", "same")
+    chosen = prints.join(shuffled(needed), "key", "left_semi").select("doc_id", "same")
     # One row has the text of a key; a repeated doc_id may come with several texts.
     texts = docs.join(chosen.withColumnRenamed("same", "_same"), "doc_id").where(F.xxhash64("text") == F.col("_same")).select("text")
     keyed, _ = written(texts.mapInArrow(sets, "key long, set array<long>"), "sets")
     keyed = keyed.dropDuplicates(["key"])
-    both = pairs.select("a", "b").join(keyed.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(keyed.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    of = lambda c, name: shuffled(keyed.select(F.col("key").alias(c), F.col("set").alias(name)))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
@@ -266,41 +331,22 @@ def _components(links: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """doc_id, same (hash of the text), component: a row for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    rows, _ = written(_prints(docs, shingle_words), "prints")
-    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "fp")).alias("one"))
+    rows, _ = written(_prints(docs, shingle_words, least), "prints")
+    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "bits", "prefix")).alias("one"))
     prints, _ = written(one.select("key", "one.*"), "distinct")
-    entry = Window.partitionBy("entry")
-    shared, _ = written(_entries(prints).withColumn("n", F.count("*").over(entry)).where("n > 1").drop("n"), "entries")
-    links, component = None, None
-    for r in range(ROUNDS):
-        # Each entry names a member, first the same one wherever it can, then by an order of each segment's own; what still lies apart from it is compared with it.
-        # That is a row for each member of an entry, however many there are.
-        named = shared if component is None else shared.join(component, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        head = F.min(F.struct(F.xxhash64("key", F.lit(r), *([F.shiftright("entry", SEGMENT_BITS)] if r else [])), *(c for c in named.columns if c != "entry"))).over(entry)
-        apart = (F.col("key") != F.col("h.key")) if component is None else F.col("c") != F.col("h.c")
-        pairs = named.withColumn("h", head).where(apart).select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
-        near, _ = written(_near(pairs, prints, least), "near")
-        if component is None:  # the nearest first: most others then lie together already
-            nearest = F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))
-            first, _ = written(near.withColumn("nth", nearest).where("nth = 1").select("a", "b"), "pairs")
-            links, _ = written(_verified(first, docs, prints, shingle_words, least), "links")
-            component = _components(links)
-        of = lambda c: component.select(F.col("key").alias(c), F.col("component").alias(f"{c}c"))  # noqa: E731, B023
-        near = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-        near, _ = written(near, "pairs")
-        more, _ = written(_verified(near, docs, prints, shingle_words, least), "links")
-        links = links.union(more)
-        component = _components(links)
-    return rows.select("doc_id", "same", "key").join(component, "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
+    # The index joins most that belong together, by a pair for each set at most; what then still lies apart is compared with all that it can be similar to.
+    component = _components(_verified(_nearest(prints, least), docs, prints, shingle_words, least))
+    more = _verified(_apart(prints, component, least), docs, prints, shingle_words, least)
+    component = _components(more.union(component.select("key", "component")))
+    return rows.select("doc_id", "same", "key").join(shuffled(component), "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = STAGE_SHINGLE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id, component_id, a row for each row of docs with a doc_id: the smallest doc_id that links lead to.
 
-    Texts link at a Jaccard similarity of least or more between the sets of their shingles. Multi-index hashing finds the candidates: of each of the SEGMENTS
-    segments of a wide fingerprint the Hamming ball of radius 1 is entered in a table, so that texts whose fingerprints differ in at most 2 bits of some segment
-    meet; complete distances are verified, and what remains by the sets themselves. Equal sets count once. An entry's members aren't all compared with each
-    other but with one of them, another one in each of ROUNDS rounds, so that work grows with the entries, not with the square of a group. README has the recall.
+    Texts link at a Jaccard similarity of least or more between the sets of their shingles; equal sets count once. Multi-index hashing finds each set's nearest: of
+    each of the SEGMENTS segments of a wide fingerprint the Hamming ball of radius 1 is entered in a table, and each set is compared with the one that it meets most.
+    The groups found so are completed by an exact join (_apart): of sets in different groups, all that can be similar are compared, so that no link is lost.
     """
     rows, _ = written(similar_sets(docs.where("doc_id is not null").select("doc_id", "text"), shingle_words, least), "similar")
     least_id = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
