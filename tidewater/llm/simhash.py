@@ -274,23 +274,28 @@ def _may_link(x: str, y: str, least: float, apart: Column | None = None) -> Colu
     return (sizes if apart is None else sizes & (apart <= most)) & (bits <= most)
 
 
-def _nearest(prints: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of keys by the index: each key with the one with which it shares most entries, of those that its entries name, if their sets may link."""
+def _nearest(prints: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of keys, two a key at most, if their sets may link.
+
+    Of those that its entries of the index name, each key with the one with which it shares most; of its shingles' sets with the fewest rarer ones, with that of the fewest before both.
+    """
     head = F.min(F.struct(F.xxhash64("key").alias("h"), "key")).over(Window.partitionBy("entry"))
     met = _entries(prints).withColumn("head", head["key"]).where("key <> head").groupBy("key", "head").agg(F.count("*").alias("times"))
-    pairs, _ = written(met.groupBy("key").agg(F.max(F.struct("times", "head")).alias("m")).select(F.least("key", "m.head").alias("a"), F.greatest("key", "m.head").alias("b")).distinct(), "near")
+    base = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "key", "pos", "n")).over(Window.partitionBy("shingle"))
+    apart = ((F.col("pos") + F.col("base.pos")) / (F.col("n") + F.col("base.n"))).alias("apart")
+    rare = entries.withColumn("base", base).where("key <> base.key").groupBy("key").agg(F.min(F.struct(apart, F.col("base.key").alias("head"))).alias("m")).select("key", "m.head")
+    pairs, _ = written(met.groupBy("key").agg(F.max(F.struct("times", "head")).alias("m")).select("key", "m.head").union(rare).select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "near")
     of = lambda c: shuffled(prints.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")))
     return pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b", least)).select("a", "b")
 
 
-def _apart(prints: DataFrame, component: DataFrame, least: float) -> DataFrame:
+def _apart(prints: DataFrame, entries: DataFrame, component: DataFrame, least: float) -> DataFrame:
     """Every pair (a, b) of keys in different components whose sets can have the similarity: none is left out.
 
     Such sets share a shingle of both prefixes; where they share the first one, all before it differ. Of a shingle's sets only those outside its largest component
     look for others, so that a group that lies together already isn't compared with itself.
     """
     shingle = Window.partitionBy("shingle")
-    entries, _ = written(prints.select("key", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("times", F.count("*").over(shingle)).where("times > 1").drop("times"), "entries")
     placed = entries.join(shuffled(component), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     mixed = placed.withColumns({"lo": F.min("c").over(shingle), "hi": F.max("c").over(shingle)}).where("lo <> hi").drop("lo", "hi")
     mixed = mixed.withColumn("times", F.count("*").over(Window.partitionBy("shingle", "c"))).withColumn("main", F.max(F.struct("times", "c")).over(shingle)["c"]).drop("times")
@@ -334,9 +339,10 @@ def similar_sets(docs: DataFrame, shingle_words: int, least: float) -> DataFrame
     rows, _ = written(_prints(docs, shingle_words, least), "prints")
     one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "same", "n", "index", "bits", "prefix")).alias("one"))
     prints, _ = written(one.select("key", "one.*"), "distinct")
-    # The index joins most that belong together, by a pair for each set at most; what then still lies apart is compared with all that it can be similar to.
-    component = _components(_verified(_nearest(prints, least), docs, prints, shingle_words, least))
-    more = _verified(_apart(prints, component, least), docs, prints, shingle_words, least)
+    entries, _ = written(prints.select("key", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1").drop("times"), "entries")
+    # The index joins most that belong together, by two pairs for each set at most; what then still lies apart is compared with all that it can be similar to.
+    component = _components(_verified(_nearest(prints, entries, least), docs, prints, shingle_words, least))
+    more = _verified(_apart(prints, entries, component, least), docs, prints, shingle_words, least)
     component = _components(more.union(component.select("key", "component")))
     return rows.select("doc_id", "same", "key").join(shuffled(component), "key", "left").select("doc_id", "same", F.coalesce("component", "key").alias("component"))
 
