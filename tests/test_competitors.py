@@ -75,3 +75,31 @@ def test_both_directions_without_a_row_for_each_in_between(spark):
     one, both = [tuple(r) for r in pairs.collect()], [tuple(r) for r in edges.collect()]
     assert len(both) == len(set(both)) == 2 * len(one) and set(both) == {*one, *((b, a, d) for a, b, d in one)}
     assert len(one) > 300 * 299 / 2 and all(a < b and d == round(d, 3) for a, b, d in one)
+
+
+def test_rounding_is_that_of_round(spark):
+    rng = random.Random(2)
+    values = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, -0.00001, 1e300, -1e17, 0.00005, 0.00015, 1.00005, -2.00025, 0.1 + 0.2, 123456.78905, 2.675, 4e5 + 0.00005]
+    values += [rng.uniform(-300, 300) for _ in range(3000)] + [rng.randrange(-60000, 60000) / 20000 for _ in range(3000)] + [(rng.randrange(9**9) + 0.5) / 10**4 for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.round("x", 4).alias("want"), P._round(F.col("x"), 4).alias("got"))
+    assert [(str(r.x), str(r.want)) for r in rows.collect()] == [(str(r.x), str(r.got)) for r in rows.collect()]
+
+
+def test_prices_are_looked_up_not_counted_through(spark):
+    """A price's place among n in reach takes no walk through them for each pair, and digits of prices are rounded before pairs are made."""
+    daily, stations = market(spark)
+    rows = P.competitor_positioning(daily, P.competitor_spots(stations), stations, 4, 3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan
+    assert all("round(" not in line.replace("round((own_price", "") for line in plan[: plan.index("Generate")].splitlines())
+    nan = float("nan")
+    groups = [[[3.0, None, 1.0], [2.0, 1.0], []], [[None]], [], [[nan, 5.0], [-0.0, 0.0, nan]]]
+    got = [r.o for r in spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, g array<array<double>>").coalesce(1).select("i", P._ordered("g").alias("o")).orderBy("i").collect()]
+    assert [(r.least, r.second) for r in got[:3]] == [(1.0, 1.0), (None, None), (None, None)] and (got[3].least, got[3].second) == (0.0, 0.0)
+    assert [r.below for r in got] == [[[3, 4, 0], [2, 0], []], [[0]], [], [[3, 2], [0, 0, 3]]]
+    shown = {(r.station_id, r.fuel_type, r.market_date, r.competitor_station_id): r for r in rows.collect()}
+    plain = P.competitor_positioning(daily, P.competitor_spots(stations), stations).collect()
+    assert len(shown) == len(plain) > 90_000
+    for r in plain[::53]:
+        s = shown[r.station_id, r.fuel_type, r.market_date, r.competitor_station_id]
+        assert s.rank_in_local_market == r.rank_in_local_market and s.distance_km == round(r.distance_km, 3) and (s.is_cheapest_local, s.price_difference_cpl) == (r.is_cheapest_local, r.price_difference_cpl)
